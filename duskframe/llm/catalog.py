@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, sharding, winnowing
+from . import licenses, minhash, mixing, sharding, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = winnowing.compare_with_edits(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", "edited_sha256", winnowing.fingerprint_text(F.col("kept")).alias("fingerprint"), winnowing.fingerprint_text(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -37,6 +41,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFra
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
+    "op3_minhash_groups": op3_minhash_groups,
     "op4_winnowing": op4_winnowing,
     "op10_sharding": op10_sharding,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, sharding, winnowing
+from . import licenses, minhash, mixing, sharding, vectors, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", winnowing.fingerprint_text(F.col("kept")).alias("fingerprint"), winnowing.fingerprint_text(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op8_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     text = F.col("text")
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_minhash_groups": op3_minhash_groups,
     "op4_winnowing": op4_winnowing,
+    "op8_vector_groups": op8_vector_groups,
     "op10_sharding": op10_sharding,
 }
 SQL: dict[str, str] = {}

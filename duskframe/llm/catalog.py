@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, minhash, mixing, sharding, vectors, winnowing
+from . import langid, licenses, minhash, mixing, sharding, toxicity, vectors, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(key: str, n: int) -> Column:
+    """CRC-32 of a key's text, modulo n. A null key counts as empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(_table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
 
@@ -31,6 +36,21 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", winnowing.fingerprint_text(F.col("kept")).alias("fingerprint"), winnowing.fingerprint_text(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _fold("doc_id", 4) == 2
+    model = langid.train(docs.filter(~held_out).select("text", "lang"))
+    rows = langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, lang="lang_pred", score="score")
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), _fold("doc_id", 5) != 0)
+    rows = toxicity.score(docs.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "text"), model, name="score")
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_minhash_groups": op3_minhash_groups,
     "op4_winnowing": op4_winnowing,
+    "op5_language_id": op5_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_vector_groups": op8_vector_groups,
     "op10_sharding": op10_sharding,
 }

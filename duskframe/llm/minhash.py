@@ -7,17 +7,17 @@ COORDINATES rounds no bin is empty; rounds stop as soon as none is. Bins of two
 probability equal to their Jaccard likeness, concentrated as for independent hashes, at the cost of about
 one hash for each shingle instead of COORDINATES.
 
-Bands of ROWS bins are bucket keys. At likeness 0.75 a pair shares no bucket with probability
-(1 - 0.75^4)^32 = 5e-6. Sets in one bucket are confirmed on the full sets, without all pairs of a bucket:
+Bands of ROWS bins are bucket keys; two sets that share two buckets or more are candidates. At likeness 0.75
+a pair shares fewer with a probability of 5e-6. Candidates are confirmed on the full sets:
 
 1. equal sets are one representative (the least id); the other ids are linked to it;
-2. every representative of a bucket meets the bucket's least one;
-3. in buckets whose members are not in one component yet, each member meets one drawn member of each other
-   component of the bucket;
-4. in buckets that still hold several components, members of different components meet, each pair once.
+2. in each bucket, the member that meets most others is the leader; members that are candidates with their
+   leader form clusters with it, so a group of edited copies is one cluster, whatever its size;
+3. within a cluster all pairs meet as a product of 0/1 matrices, in tiles of TILE x TILE sets, so no table
+   of pairs is made; of a tile only the links' components come out, a row for each set at most;
+4. candidates in different clusters that are still in different components meet one by one.
 
-Members of one component need not meet: the answer is components. A hot leader's set is dealt to its mates
-by salt, so no task holds a leader's whole group.
+A hot set of step 4 is dealt to its mates by salt, so no task holds all of them.
 """
 
 from __future__ import annotations
@@ -35,11 +35,16 @@ from .components import connected_components
 from .scratch import Scratch
 
 SHINGLE = 5
-BANDS = 32
+BANDS = 40
 ROWS = 4
 COORDINATES = BANDS * ROWS
 LIKENESS_PERCENT = 75
-#: Mates that meet one copy of a leader's set.
+#: Shared bands that make a candidate.
+SHARED = 2
+#: Sets on each side of a tile, and shingles that are multiplied at once.
+TILE = 512
+COLUMNS = 4096
+#: Mates that meet one copy of a set.
 SALT = 256
 
 _EMPTY = np.uint64(2**64 - 1)
@@ -67,8 +72,8 @@ def fill_bins(hashes: np.ndarray, owner: np.ndarray, n: int, t: int = COORDINATE
     with_rows[owner] = True
     for r in range(2 * t):
         drawn = textbytes.mix(hashes + np.uint64((r + 1) * _ROUND & _MASK))
-        # 8 bits of round, 56 of value; the bin comes from the other end of the hash.
-        value = (np.uint64(min(r, 255)) << np.uint64(56)) | (drawn >> np.uint64(8))
+        # 9 bits of round, 55 of value; the bin comes from another scramble.
+        value = (np.uint64(min(r, 511)) << np.uint64(55)) | (drawn >> np.uint64(9))
         place = (textbytes.mix(drawn) % np.uint64(t)).astype(np.int64) if r < t else np.full(len(hashes), r - t)
         at = owner * t + place
         if len(at) > 4 * n:
@@ -154,6 +159,71 @@ def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int)
     return out
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of all sets of `left` with all of `right`."""
+    total = np.zeros((len(left), len(right)), np.float32)
+    elements = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, column, count = np.unique(elements, return_inverse=True, return_counts=True)
+    common = count[column] > 1  # others are in one set only, or on one side
+    column, owner = column[common], owner[common]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    column = np.cumsum(np.r_[0, np.diff(column) > 0]) if len(column) else column
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+        ones = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        ones[owner[part], column[part] - a] = 1
+        total += ones[: len(left)] @ ones[len(left) :].T
+    return total
+
+
+def _link_tiles(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cluster, tile = table["cluster"].to_numpy(), table["tile"].to_numpy()
+        chunk, ids = table["chunk"].to_numpy(), table["id"].to_numpy()
+        sets = table["shingles"].combine_chunks()
+        values, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+        order = np.lexsort((ids, tile, cluster))
+        cut = np.flatnonzero((np.diff(cluster[order]) != 0) | (np.diff(tile[order]) != 0)) + 1
+        nodes, roots = [], []
+        for part in np.split(order, cut):
+            rows, cols = divmod(int(tile[part[0]]), 1 << 15)
+            left, right = (part[chunk[part] == c] for c in (rows, cols))
+            own = [[values[at[k] : at[k + 1]] for k in side] for side in (left, right)]
+            both = shared_counts(*own)
+            sizes = [np.array([len(x) for x in side], np.float32) for side in own]
+            linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+            least_l, least_r = ids[left].copy(), ids[right].copy()
+            far = np.iinfo(np.int64).max
+            while linked.any():
+                new_l = np.minimum(least_l, np.where(linked, least_r[None, :], far).min(1))
+                new_r = np.minimum(least_r, np.where(linked, new_l[:, None], far).min(0))
+                if (new_l == least_l).all() and (new_r == least_r).all():
+                    break
+                least_l, least_r = new_l, new_r
+            nodes += [ids[left], ids[right]]
+            roots += [least_l, least_r]
+        nodes, roots = np.concatenate(nodes), np.concatenate(roots)
+        return pa.table({"a": roots[roots < nodes], "b": nodes[roots < nodes]})
+
+    return run
+
+
+def _link_clusters(clusters: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) that span the components within each cluster of (id, cluster)."""
+    sizes = scratch.save(clusters.groupBy("cluster").agg(F.count("*").alias("members")).select("cluster", F.ceil(F.col("members") / TILE).cast("int").alias("chunks")))
+    rows = clusters.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = scratch.save(rows)
+    bundles = rows.count() // 1000 + 1
+    sets = shingle_sets(docs.join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, F.col("chunk")) * (1 << 15) + F.greatest(c, F.col("chunk")))
+    rows = rows.join(sets, F.col("id") == F.col("doc_id")).select("cluster", "chunk", "id", "shingles", F.explode(tiles).alias("tile"))
+    bundle = F.pmod(F.xxhash64("cluster", "tile"), F.lit(bundles))
+    return scratch.save(rows.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(_link_tiles(percent), "a long, b long").distinct())
+
+
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = LIKENESS_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `df`.
 
@@ -163,38 +233,39 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     link with nothing and have a null component. An empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "minhash")
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     drawn = scratch.save(sketches(docs))
     full = drawn.filter("n_shingles > 0 and doc_id is not null")
     first = scratch.save(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep")))
     rows = full.join(first, ["n_shingles", "set_a", "set_b"])
-    rows = scratch.save(rows.select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    rows = scratch.save(rows.select("doc_id", F.col("n_shingles").alias("n"), "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     copies = rows.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    keyed = rows.filter("bands is not null").select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.max("id").alias("last")).filter("leader.id < last")
-    shared = scratch.save(shared.select("key", F.col("leader.id").alias("a"), F.col("leader.n").alias("na")))
-    members = scratch.save(keyed.join(shared, "key").dropDuplicates(["key", "id"]))
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of too different sizes can't be
-    tested = scratch.save(members.filter((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct())
-    links = _confirm(tested, docs, scratch, percent)
-
-    for every_pair in (False, True):
-        parts = connected_components(links, scratch)
-        placed = members.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("part"))
-        mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-        placed = scratch.save(placed.join(mixed, "key", "left_semi"))
-        if every_pair:
-            other = placed
-        else:
-            other = placed.groupBy("key", "part").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key")).alias("x")).select("key", "part", "x.id", "x.n")
-        pairs = placed.alias("x").join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & alike(F.col("x.n"), F.col("y.n")))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        if not pairs.limit(1).count():
-            continue
-        links = links.unionByName(_confirm(pairs, docs, scratch, percent))
-        tested = tested.unionByName(pairs)
+    keyed = rows.filter("bands is not null").select(F.col("rep").alias("id"), F.explode("bands").alias("key")).distinct()
+    mates = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("mates")).filter("mates > 1"))
+    members = scratch.save(keyed.join(mates, "key"))
+    degree = scratch.save(members.groupBy("id").agg(F.sum("mates").alias("degree")))
+    leaders = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("top")).select("key", (-F.col("top.col2")).alias("leader"))
+    stars = members.join(scratch.save(leaders), "key").filter("id != leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    parts = connected_components(stars.filter(F.col("shared") >= SHARED).select("a", "b"), scratch)
+    clusters = parts.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    clusters = scratch.save(clusters.unionByName(clusters.select(F.col("cluster").alias("id"), "cluster").distinct()))
+    links = _link_clusters(clusters, docs, scratch, percent)
+
+    parts = connected_components(links, scratch)
+    placed = members.select("key", "id").join(clusters, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
+    placed = placed.select("key", "id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("cluster").alias("p"), F.max("cluster").alias("q")).filter("p < q").select("key")
+    sketch = rows.filter("bands is not null").select(F.col("rep").alias("id"), "n", "bands").dropDuplicates(["id", "bands"])
+    placed = scratch.save(placed.join(mixed, "key", "left_semi").join(sketch, "id"))
+    x, y = placed.alias("x"), placed.alias("y")
+    common = F.array_intersect("x.bands", "y.bands")
+    # Of the buckets that a pair shares, one gives it; sets of too different sizes can't be alike.
+    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.cluster") != F.col("y.cluster")) & (F.col("x.part") != F.col("y.part"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike & (F.size(common) >= SHARED) & (F.array_min(common) == F.col("x.key")))
+    pairs = scratch.save(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    links = links.unionByName(_confirm(pairs, docs, scratch, percent))
 
     parts = connected_components(links.unionByName(copies), scratch)
     out = drawn.select("doc_id", "n_shingles").join(parts, F.col("doc_id") == F.col("node"), "left")

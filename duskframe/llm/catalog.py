@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, minhash, mixing, sharding, toxicity, vectors, winnowing
+from . import bpe, langid, licenses, minhash, mixing, sharding, toxicity, vectors, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,12 @@ def op8_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    ranks = bpe.load(spark, vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rows = bpe.decode_documents(bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks), ranks)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     text = F.col("text")
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_vector_groups": op8_vector_groups,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
 }
 SQL: dict[str, str] = {}

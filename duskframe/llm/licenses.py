@@ -8,7 +8,6 @@ by an equi join on size. Long prose finds none and costs nothing more.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -31,33 +30,29 @@ TEMPLATES = {
 THRESHOLD = 0.8
 
 
-def template_words(text: str) -> list[str]:
-    """Words of a template, normalised as `unit_words` does it."""
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+#: ASCII characters that part words, as blanks do.
+_MARKS = "".join(chr(c) for c in (*range(9, 14), *range(33, 127)) if not chr(c).isalnum())
 
 
-def template_bigrams(text: str) -> list[str]:
-    words = template_words(text)
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
-
-
-def size_bounds(n: int, threshold: float) -> tuple[int, int]:
-    """The least and the largest number of bigrams that reach `threshold` against a template of n."""
-    return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+def unit_words(text: Column) -> Column:
+    """Lower-case words; white space and ASCII marks separate."""
+    return F.filter(F.split(F.translate(F.lower(text), _MARKS, " " * len(_MARKS)), " "), lambda w: w != "")
 
 
-def unit_words(text: Column) -> Column:
-    """Lower-case words: runs of ASCII letters and digits; everything else separates."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+def unit_bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbouring words of a unit, hashed to 64 bits; never null."""
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
+    none = F.array().cast("array<bigint>")
+    # The words are bound once, as a lambda variable.
+    bound = F.transform(F.array(unit_words(text)), lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))).otherwise(none))
+    return F.coalesce(F.get(bound, 0), none)
 
 
 def _template_table(spark, templates: Mapping[str, str], threshold: float) -> DataFrame:
-    rows = []
-    for name, text in sorted(templates.items()):
-        grams = template_bigrams(text)
-        low, high = size_bounds(len(grams), threshold)
-        rows += [(n, name, grams) for n in range(max(1, low), high + 1)]
-    return spark.createDataFrame(rows, "n long, license string, grams array<string>")
+    """license, grams and n: a row for each size that a template can match."""
+    rows = spark.createDataFrame(sorted(templates.items()), "license string, line string").select("license", unit_bigrams(F.col("line")).alias("grams"))
+    low, high = F.ceil(F.size("grams") * threshold / (2 - threshold) - 1e-9), F.floor(F.size("grams") * (2 - threshold) / threshold + 1e-9)
+    return rows.select("license", "grams", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int"))).alias("n"))
 
 
 def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,9 +65,8 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tem
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("unit"), F.col(text).alias("line"))))
     units = F.concat(F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line"))), F.coalesce(whole, F.array().cast("array<struct<unit:int,line:string>>")))
     rows = df.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.inline(units)).filter("line != ''")
-    rows = rows.withColumn("words", unit_words(F.col("line"))).filter(F.size("words") >= 2)
-    grams = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    rows = rows.select("doc_id", "unit", "line", grams.alias("own")).withColumn("n", F.size("own").cast("long"))
+    rows = rows.withColumn("own", unit_bigrams(F.col("line")))
+    rows = rows.withColumn("n", F.size("own"))
     # Bounded by the templates: one row for each size that each of them can match.
     table = F.broadcast(_template_table(df.sparkSession, templates, threshold))
     met = rows.join(table, "n").withColumn("dice", 2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.size("grams")))

@@ -110,25 +110,27 @@ def next_ids(ids: DataFrame, doc_id: str = "doc_id", ranges: int = ID_RANGES) ->
     return rows.join(F.broadcast(after), "range").select(doc_id, F.when(F.col("__place") < F.col("__n"), F.col("__next")).otherwise(F.col("follows")["first"]).alias("next_id"))
 
 
-def edited_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def edited_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", of_next: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, next_id, text, edited_text: the last quarter of every text (its length in code points by 4,
     rounded down) replaced by as many, or all, of the first code points of the next document.
 
     The next document is that of the next larger id, after the largest that of the least. Null texts count as
     empty. Rows that repeat an id are each edited on their own; as a next document such an id stands for the
-    least of its starts. Whole texts are shuffled once, by id; of the next document only its start is.
+    least of its starts. Whole texts are shuffled once, by id; of the next document only its start is, and
+    the columns `of_next`, given in terms of its `text` (the least value where rows repeat the id).
     """
+    of_next = of_next or {}
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     scratch = Scratch(df.sparkSession, "winnowing")
     ids = scratch.save(docs.groupBy("doc_id").agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("quarter")))
     follows = scratch.save(next_ids(ids.select("doc_id")).join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id"))
     heads = docs.alias("d").join(follows.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.next_id")))
-    heads = heads.groupBy("f.doc_id").agg(F.min("f.next_id").alias("next_id"), F.min(F.substring("d.text", F.lit(1), F.col("f.quarter"))).alias("head"))
+    heads = heads.groupBy("f.doc_id").agg(F.min("f.next_id").alias("next_id"), F.min(F.substring("d.text", F.lit(1), F.col("f.quarter"))).alias("head"), *[F.min(value).alias(name) for name, value in of_next.items()])
     both = docs.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left")
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter))
-    return both.select("d.doc_id", "next_id", "text", edited.alias("edited_text"))
+    return both.select("d.doc_id", "next_id", "text", edited.alias("edited_text"), *of_next)
 
 
 def compare_with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -136,11 +138,8 @@ def compare_with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     near_next compares with the fingerprint of the next document (its least one where rows repeat the id).
     """
-    scratch = Scratch(df.sparkSession, "winnowing")
-    rows = edited_texts(df, doc_id, text)
-    rows = rows.select("doc_id", "next_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text"), k, window).alias("kept"), winnow(F.col("edited_text"), k, window).alias("edited_kept"))
-    rows = scratch.save(rows)
-    follow = rows.groupBy("doc_id").agg(F.min(gram_hashes(F.col("kept"))).alias("next_hashes"))
-    rows = rows.alias("r").join(follow.alias("n"), F.col("r.next_id").eqNullSafe(F.col("n.doc_id")), "left")
-    own = gram_hashes(F.col("kept"))
-    return rows.select("r.doc_id", "n_chars", "edited_sha256", "kept", "edited_kept", likeness(own, gram_hashes(F.col("edited_kept"))).alias("near_edited"), likeness(own, F.coalesce("next_hashes", F.array().cast("array<bigint>"))).alias("near_next"))
+    rows = edited_texts(df, doc_id, text, {"next_hashes": gram_hashes(winnow(F.col("text"), k, window))})
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text"), k, window).alias("kept"), winnow(F.col("edited_text"), k, window).alias("edited_kept"), F.coalesce("next_hashes", F.array().cast("array<bigint>")).alias("next_hashes"))
+    # Both sets of hashes are bound once.
+    met = F.transform(F.array(F.struct("kept", "edited_kept", "next_hashes", gram_hashes(F.col("kept")).alias("own"))), lambda x: F.struct(x["kept"].alias("kept"), x["edited_kept"].alias("edited_kept"), likeness(x["own"], gram_hashes(x["edited_kept"])).alias("near_edited"), likeness(x["own"], x["next_hashes"]).alias("near_next")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.inline(met))

@@ -9,6 +9,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import times
 from ..schemas import IMAGE_EXTENSIONS
@@ -74,12 +75,12 @@ def _tags(tiff: bytes) -> dict[int, str]:
     return found
 
 
-@F.pandas_udf("timestamp")
+@F.pandas_udf(T.TimestampType())
 def _exif_times(content: pd.Series) -> pd.Series:
     return pd.to_datetime(content.map(lambda x: None if x is None else exif_time(bytes(x))))
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def _sizes(content: pd.Series) -> pd.DataFrame:
     sizes = [(None if x is None else jpeg_size(bytes(x))) or (None, None) for x in content]
     return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")

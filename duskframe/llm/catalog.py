@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, minhash, mixing, sharding, toxicity, vectors, winnowing
+from . import bpe, langid, licenses, minhash, mixing, sharding, tokens, toxicity, vectors, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    model = tokens.load(spark, vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
+    return tokens.count_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).select("doc_id", "n_tokens")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), _fold("doc_id", 5) != 0)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_groups": op3_minhash_groups,
     "op4_winnowing": op4_winnowing,
     "op5_language_id": op5_language_id,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_vector_groups": op8_vector_groups,
     "op9_byte_bpe": op9_byte_bpe,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, minhash, mixing, sharding, tokens, toxicity, vectors, winnowing
+from . import bpe, langid, licenses, minhash, mixing, oracle, sharding, tokens, toxicity, vectors, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL

@@ -56,4 +56,4 @@ def test_empty(spark):
 
 def test_recall_is_calibrated():
     assert vectors.recall(10_000, 0.9) > 0.999 and vectors.recall(10_000_000, 0.9, pairs=1000) > 0.97
-    assert vectors.recall(100_000, 0.3, pairs=1000) < 0.01
+    assert vectors.recall(100_000, 0.0) < 0.005  # unrelated vectors

@@ -113,3 +113,8 @@ def last_wins(rows: DataFrame, key: str, place: str) -> DataFrame:
     each = Window.partitionBy(key)
     out = rows.withColumns({"__last": F.max(place).over(each), "__first": F.min(place).over(each)})
     return out.filter(F.col(place) == F.col("__last")).withColumn(place, F.col("__first")).drop("__last", "__first")
+
+
+def of_species(detections: DataFrame, label: str, session_id: int | None = None) -> DataFrame:
+    rows = detections.filter(F.col("specific_label") == label)
+    return rows if session_id is None else rows.filter(F.col("monitoring_session_id") == session_id)

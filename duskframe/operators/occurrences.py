@@ -65,3 +65,10 @@ def by_label(detections: DataFrame) -> DataFrame:
     """Per track and label: count, first and last time."""
     rows = detections.filter("sequence_id is not null and specific_label is not null")
     return rows.groupBy("sequence_id", "specific_label").agg(F.count("*").alias("count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+
+
+def frame_counter(detections: DataFrame) -> DataFrame:
+    """counter: "k of n" by the numbers of a track's frames."""
+    last = F.max("sequence_frame").over(Window.partitionBy("sequence_id")) + 1
+    text = F.concat((F.col("sequence_frame") + 1).cast("string"), F.lit(" of "), last.cast("string"))
+    return detections.filter("sequence_id is not null").withColumn("counter", text)

@@ -446,6 +446,105 @@ def labels_threshold_split(spark, d):
     return rows.groupBy("quality").agg(F.count("*").alias("count"), F.count_if(F.coalesce("toxic", F.lit(0)) >= 1).alias("marked"), F.max("n_chars").alias("longest"))
 
 
+@query
+def frame_counter(spark, d):
+    """"k of n" for each detection of a track."""
+    return occurrences.frame_counter(a.detections(spark, d)).select("id", "counter")
+
+
+@query
+def objects_for_species(spark, d):
+    return objects.of_species(a.detections(spark, d), "species_3", 1001).select("id", "monitoring_session_id").unionByName(objects.of_species(a.detections(spark, d), "species_4").select("id", "monitoring_session_id"))
+
+
+@query
+def sessions_by_day(spark, d):
+    rows = sessions.by_days(_aggregates(spark, d), ["2024-01-01", "2024-01-08"])
+    return rows.select("id", "num_images", "num_detected_objects")
+
+
+@query
+def timestamped_folders(spark, d):
+    from ..sources import images
+
+    e = a.table(spark, d, "events").select(F.concat(F.lit("/data/"), F.date_format("ts", "yyyy_MM_dd"), F.lit("/x_y/"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("path"))
+    return images.timestamped_folders(e).select("name", F.col("day").cast("string").alias("day"))
+
+
+@query
+def category_maps(spark, d):
+    n = a.table(spark, d, "nation").select("n_nationkey", F.concat(F.lit('{"'), F.col("n_name"), F.lit('": '), F.col("n_nationkey").cast("string"), F.lit(', "other": 99}')).alias("text"))
+    m = n.withColumn("m", taxa.read_category_map(F.col("text")))
+    return m.select("n_nationkey", F.array_join(vectors.category_rows(F.col("m")), "|").alias("labels"), F.element_at("m", F.lit(99)).alias("last"))
+
+
+@query
+def decoded_payloads(spark, d):
+    """Base64 payloads, with and without a data URI, and the name that their bytes give."""
+    t = a.table(spark, d, "documents").select("doc_id", F.base64(F.encode("text", "utf-8")).alias("b"))
+    payload = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), "b")).otherwise(F.col("b"))
+    return t.select("doc_id", F.md5(strings.decode_base64(payload)).alias("name"))
+
+
+@query
+def batch_shapes(spark, d):
+    """Distinct image sizes of each batch of 8 tasks."""
+    e = a.table(spark, d, "events").select(F.floor(F.col("event_id") / 8).alias("batch"), (F.col("event_id") % 3).alias("width"), (F.floor(F.col("event_id") / 16) % 2).alias("height"))
+    return e.groupBy("batch").agg(F.count_distinct("width", "height").alias("shapes"))
+
+
+@query
+def time_labels(spark, d):
+    e = a.table(spark, d, "events")
+    end = F.timestamp_add("SECOND", (F.col("event_id") * 977 % 200000).cast("int"), F.col("ts"))
+    return e.select("event_id", times.duration_label(F.col("ts"), end).alias("label"), times.clock_label((F.col("event_id") * 977 % 200000)).alias("clock"))
+
+
+@query
+def crop_names(spark, d):
+    x = a.detections(spark, d).filter("bbox is not null")
+    return x.select("id", strings.crop_name(F.col("path"), F.col("bbox"), F.lit("20240101")).alias("name"))
+
+
+@query
+def capture_details(spark, d):
+    """Photos with the detections that they hold."""
+    x = a.detections(spark, d).groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("objects"))
+    i = a.images(spark, d)
+    return i.join(x, i["id"] == x["image_id"], "left").select("id", "path", "filesize", F.coalesce("objects", F.lit("")).alias("objects"))
+
+
+@query
+def queue_fill_sample(spark, d):
+    """The queue is filled to 400; which rows are drawn is a matter of hashes, so they are counted."""
+    rows = queues.fill_with_sample(a.images(spark, d).withColumn("in_queue", F.col("id") % 50 == 0), 400)
+    return rows.agg(F.count("*").alias("images"), F.count_if("in_queue").alias("queued"), F.count_if(F.col("in_queue") & F.col("last_processed").isNotNull() & (F.col("id") % 50 != 0)).alias("wrong"))
+
+
+@query
+def mark_processed(spark, d):
+    i = a.images(spark, d)
+    rows = upserts.mark_processed(i, i.filter("id % 3 = 0"), F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    return rows.select("id", F.date_format("last_processed", "yyyy-MM-dd HH:mm:ss").alias("last_processed"))
+
+
+@query
+def backfill_from_images(spark, d):
+    """Detections whose times and sizes are missing, filled from their photos."""
+    i = a.images(spark, d).withColumns({"width": F.lit(a.WIDTH), "height": F.lit(a.HEIGHT)})
+    x = a.detections(spark, d).select("id", "image_id", F.when(F.col("id") % 2 == 0, F.col("timestamp")).alias("timestamp"), F.lit(None).cast("int").alias("source_image_width"), F.when(F.col("id") % 3 == 0, 5).alias("source_image_height"), F.lit(None).cast("long").alias("source_image_previous_frame"))
+    rows = upserts.fill_from_images(x, i, sessions.neighbours(a.images(spark, d)))
+    return rows.select("id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "source_image_width", "source_image_height", "source_image_previous_frame")
+
+
+@query
+def retracked(spark, d):
+    """Track columns replaced for the detections that have new tracks; the others keep theirs."""
+    x = a.detections(spark, d).withColumns({"sequence_previous_id": F.lit(None).cast("long"), "sequence_previous_cost": F.lit(None).cast("double")})
+    t = x.filter("id % 6 = 0").select("id", F.lit("new").alias("sequence_id"), F.lit(0).alias("sequence_frame"), F.col("image_id").alias("sequence_previous_id"), F.lit(0.5).alias("sequence_previous_cost"))
+    return tracking.retrack(x, t).select("id", "sequence_id", "sequence_frame", "sequence_previous_id", "sequence_previous_cost")
+
+
 @query
 def process_pipeline(spark, d):
     r = inference.process(a.images(spark, d).select(F.col("id").cast("string").alias("id")))

@@ -173,4 +173,18 @@ SQL: dict[str, str] = {
     "reported_labels": _with("SELECT id, coalesce(specific_label, binary_label) AS label, CASE WHEN specific_label IS NOT NULL THEN specific_label_score ELSE binary_label_score END AS score FROM det"),
     "absolute_paths": _with("SELECT id, CASE WHEN id % 3 = 2 THEN NULL ELSE concat(base_directory, '/', path) END AS path FROM img"),
     "labels_threshold_split": "SELECT quality, count(*) AS count, count(*) FILTER (coalesce(toxic, 0) >= 1) AS marked, max(n_chars) AS longest FROM labels JOIN documents USING (doc_id) GROUP BY quality",
+    "frame_counter": _with("SELECT id, concat(sequence_frame + 1, ' of ', max(sequence_frame) OVER (PARTITION BY sequence_id) + 1) AS counter FROM det WHERE sequence_id IS NOT NULL"),
+    "objects_for_species": _with("SELECT id, monitoring_session_id FROM det WHERE specific_label = 'species_3' AND monitoring_session_id = 1001 UNION ALL SELECT id, monitoring_session_id FROM det WHERE specific_label = 'species_4'"),
+    "sessions_by_day": _with("SELECT id, num_images, num_detected_objects FROM agg WHERE day IN (DATE '2024-01-01', DATE '2024-01-08')"),
+    "timestamped_folders": "SELECT DISTINCT strftime(ts, '%Y_%m_%d') AS name, strftime(ts, '%Y-%m-%d') AS day FROM events",
+    "category_maps": "SELECT n_nationkey, concat(n_name, '|other') AS labels, 'other' AS last FROM nation",
+    "decoded_payloads": "SELECT doc_id, md5(text) AS name FROM documents",
+    "batch_shapes": "SELECT event_id // 8 AS batch, count(DISTINCT (event_id % 3) * 10 + (event_id // 16) % 2) AS shapes FROM events GROUP BY 1",
+    "time_labels": "SELECT event_id, concat(h, CASE WHEN h = 1 THEN ' hour' ELSE ' hours' END) AS label, printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock FROM (SELECT event_id, event_id * 977 % 200000 AS s, CAST(round_even((event_id * 977 % 200000) % 86400 / 3600.0, 0) AS INTEGER) AS h FROM events)",
+    "crop_names": _with("SELECT id, concat(replace(path, '.jpg', 'jpg'), '-', CAST(bbox[1] AS INTEGER), '_', CAST(bbox[2] AS INTEGER), '_', CAST(bbox[3] AS INTEGER), '_', CAST(bbox[4] AS INTEGER), '-20240101') AS name FROM det WHERE bbox IS NOT NULL"),
+    "capture_details": _with("SELECT i.id, i.path, i.filesize, coalesce(x.o, '') AS objects FROM img i LEFT JOIN (SELECT image_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS o FROM det GROUP BY 1) x ON i.id = x.image_id"),
+    "queue_fill_sample": _with("SELECT count(*) AS images, greatest(count(*) FILTER (id % 50 = 0), least(400, count(*) FILTER (id % 50 = 0 OR last_processed IS NULL))) AS queued, CAST(0 AS BIGINT) AS wrong FROM img"),
+    "mark_processed": _with("SELECT id, CASE WHEN id % 3 = 0 THEN '2024-06-01 00:00:00' ELSE strftime(last_processed, '%Y-%m-%d %H:%M:%S') END AS last_processed FROM img"),
+    "backfill_from_images": _with("""SELECT d.id, strftime(CASE WHEN d.id % 2 = 0 THEN d."timestamp" ELSE i."timestamp" END, '%Y-%m-%d %H:%M:%S') AS "timestamp", 1200 AS source_image_width, CASE WHEN d.id % 3 = 0 THEN 5 ELSE 800 END AS source_image_height, i.before AS source_image_previous_frame FROM det d JOIN (SELECT *, lag(id) OVER (PARTITION BY monitoring_session_id ORDER BY "timestamp", id) AS before FROM img) i ON d.image_id = i.id"""),
+    "retracked": _with("SELECT id, CASE WHEN id % 6 = 0 THEN 'new' ELSE sequence_id END AS sequence_id, CASE WHEN id % 6 = 0 THEN 0 ELSE sequence_frame END AS sequence_frame, CASE WHEN id % 6 = 0 THEN image_id END AS sequence_previous_id, CASE WHEN id % 6 = 0 THEN 0.5 END AS sequence_previous_cost FROM det"),
 }

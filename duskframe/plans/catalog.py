@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import geometry, strings, times, vectors
 from ..operators import dedupe, inference, occurrences, queues, sessions, tracking, upserts
 from ..operators import detections as objects
+from ..scratch import shared_root
 from ..sources import taxa
+from ..streaming import sessions as stream_sessions
+from ..streaming import worker
 from . import adapters as a
+from . import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -551,22 +553,40 @@ def process_pipeline(spark, d):
     return r.select("source_image_id", geometry.box_text(F.col("bbox")).alias("bbox"), F.array_join(F.transform("classifications", lambda c: c["classification"]), ",").alias("labels"))
 
 
+def _stream(spark, d, name):
+    """A table as a stream of its files, to the end of what is there."""
+    return spark.readStream.schema(a.table(spark, d, name).schema).parquet(f"{d}/{name}*.parquet")
+
+
+def _place(spark, name):
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def stream_worker(spark, d):
-    """A stream of tasks to its end; the results as a table."""
-    from ..scratch import shared_root
-    from ..sources import tasks
-    from ..streaming import worker
-
-    tasks.register(spark)
-    pages = a.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), "url").orderBy("page_id").limit(50).collect()
-    place = tempfile.mkdtemp(dir=os.environ.get("TMPDIR"))
-    with open(f"{place}/tasks.jsonl", "w", encoding="utf-8") as out:
-        for i, p in enumerate(pages):
-            out.write(json.dumps({"id": p["id"], "image_id": p["id"], "image_url": None if i % 7 == 3 else p["url"], "reply_subject": f"r{p['id']}"}) + "\n")
-    root = f"{shared_root(spark).rstrip('/')}/stream-{os.path.basename(place)}"
-    stream = spark.readStream.format("duskframe_tasks").option("path", f"{place}/tasks.jsonl").option("batch", 20).load()
-    q = worker.run(stream, f"{root}/out", f"{root}/state", interval="0 seconds")
-    q.processAllAvailable()
-    q.stop()
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    """A task for each page, as a stream; one in seven has no address and gives an error."""
+    n = F.col("page_id")
+    tasks = _stream(spark, d, "pages").select(n.cast("string").alias("id"), n.cast("string").alias("image_id"), F.when(n % 7 != 3, F.col("url")).alias("image_url"), F.concat(F.lit("r"), n.cast("string")).alias("reply_subject"))
+    root = _place(spark, "worker")
+    worker.run(tasks, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(worker.RESULT).parquet(f"{root}/out")
+
+
+@query
+def stream_sessionize(spark, d):
+    """Sessions of the events of each trap that were closed by the end of the stream."""
+    c = _stream(spark, d, "events").select(F.concat(F.lit("/traps/trap_"), F.col("user_id").cast("string")).alias("base_directory"), F.col("ts").alias("timestamp"))
+    root = _place(spark, "sessions")
+    rows = stream_sessions.sessionize(c)
+    writer = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream_sessions.OUTPUT).parquet(f"{root}/out").select("base_directory", "session_ordinal", "num_images")
+
+
+@query
+def export_roundtrip(spark, d):
+    """Detections written as JSON and read again."""
+    rows = a.detections(spark, d).select("id", "image_id", "bbox", "specific_label", "specific_label_score", "in_queue")
+    root = _place(spark, "export")
+    exports.export(rows, root, "json")
+    return spark.read.schema(rows.schema).json(root).select("id", "image_id", geometry.area(F.col("bbox")).alias("area"), "specific_label", "specific_label_score", "in_queue")

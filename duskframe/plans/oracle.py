@@ -187,4 +187,5 @@ SQL: dict[str, str] = {
     "mark_processed": _with("SELECT id, CASE WHEN id % 3 = 0 THEN '2024-06-01 00:00:00' ELSE strftime(last_processed, '%Y-%m-%d %H:%M:%S') END AS last_processed FROM img"),
     "backfill_from_images": _with("""SELECT d.id, strftime(CASE WHEN d.id % 2 = 0 THEN d."timestamp" ELSE i."timestamp" END, '%Y-%m-%d %H:%M:%S') AS "timestamp", 1200 AS source_image_width, CASE WHEN d.id % 3 = 0 THEN 5 ELSE 800 END AS source_image_height, i.before AS source_image_previous_frame FROM det d JOIN (SELECT *, lag(id) OVER (PARTITION BY monitoring_session_id ORDER BY "timestamp", id) AS before FROM img) i ON d.image_id = i.id"""),
     "retracked": _with("SELECT id, CASE WHEN id % 6 = 0 THEN 'new' ELSE sequence_id END AS sequence_id, CASE WHEN id % 6 = 0 THEN 0 ELSE sequence_frame END AS sequence_frame, CASE WHEN id % 6 = 0 THEN image_id END AS sequence_previous_id, CASE WHEN id % 6 = 0 THEN 0.5 END AS sequence_previous_cost FROM det"),
+    "export_roundtrip": _with("SELECT id, image_id, (bbox[4]-bbox[2])*(bbox[3]-bbox[1]) AS area, specific_label, specific_label_score, in_queue FROM det"),
 }

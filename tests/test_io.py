@@ -1,13 +1,16 @@
 """Sources, sinks and streams."""
 
 import json
+import os
 import struct
 from datetime import datetime
 
 
+import pytest
+
 from duskframe import schemas
 from duskframe.operators import sessions
-from duskframe.plans import exports, snapshots
+from duskframe.plans import adapters, catalog, exports, snapshots
 from duskframe.sources import images, taxa, tasks
 from duskframe.streaming import sessions as stream_sessions
 from duskframe.streaming import worker
@@ -103,3 +106,15 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
     found = {(r["session_ordinal"], r["num_images"]) for r in spark.table("closed").collect()}
     batch = {(r["session_ordinal"], r["count"]) for r in sessions.group_by_gap(rows).groupBy("session_ordinal").count().collect()}
     assert found == {x for x in batch if x[0] < 4}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_stream_sessions_of_the_events(spark):
+    data = "/root/testdata/sf0.001"
+    closed = {tuple(r) for r in catalog.QUERIES["stream_sessionize"](spark, data).collect()}
+    rows = sessions.group_by_gap(adapters.captures(spark, data)).groupBy("base_directory", "session_ordinal").count().collect()
+    last = {}
+    for r in rows:
+        last[r["base_directory"]] = max(last.get(r["base_directory"], 0), r["session_ordinal"])
+    batch = {(r["base_directory"], r["session_ordinal"], r["count"]) for r in rows}
+    assert closed <= batch and {x for x in batch if x[1] < last[x[0]]} <= closed

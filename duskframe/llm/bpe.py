@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes
+from .columns import small_batches
 from .perfect import PerfectHash
 
 #: Merged pre-tokens that a task remembers; when it is full, all are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
 # The white space of the pattern, as inclusive ranges of code points.
@@ -215,6 +216,7 @@ def _binary(parts: list[np.ndarray], offsets: list[np.ndarray]) -> pa.Array:
 
 def load(spark: SparkSession, path: str):
     """Read a rank file on the driver, for use in `encode` and `decode`. Vocabularies have a fixed size."""
+    small_batches(spark)
     with open(path, "rb") as file:
         return spark.sparkContext.broadcast(file.read())
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes
+from .columns import small_batches
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
@@ -98,6 +99,7 @@ class LanguageModel:
 
 def train(rows: DataFrame) -> LanguageModel:
     """Fit to all rows of (text, lang) with both known. No rows give a model without languages."""
+    small_batches(rows.sparkSession)
     rows = rows.filter("text is not null and lang is not null").select("text", "lang")
     priors = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(priors) > MAX_LANGUAGES:
@@ -120,6 +122,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang: str =
     Null and empty texts, and texts without a letter, are "und" with score 0, as is every text under a model
     without languages. Equal likelihoods go to the language that sorts first.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def guess(texts: pa.Array) -> pa.Array:

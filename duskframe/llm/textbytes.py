@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Words hashed at once.
 _CHUNK = 1 << 18
 
@@ -35,9 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, offsets) of runs of texts; nulls are empty texts."""
     texts = pc.fill_null(texts, "") if texts.null_count else texts
-    texts = texts.cast(pa.large_string())
     _, at, data = texts.buffers()
-    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    at = np.frombuffer(at, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < len(texts):

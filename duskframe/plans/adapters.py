@@ -51,7 +51,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-negative feature vectors: feature_id, cnn_features."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 500").select(F.col("vec_id").alias("feature_id"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("cnn_features"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("feature_id"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("cnn_features"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ UNION ALL SELECT 'untracked_objects', count(*) FILTER (sequence_id IS NULL), cou
 _DUP = """dup AS (SELECT *, count(*) OVER (PARTITION BY path) AS group_size, row_number() OVER (PARTITION BY path ORDER BY "timestamp" ASC NULLS LAST, id) AS place FROM cap)"""
 
 _COST = """
-feat AS (SELECT vec_id AS feature_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS f FROM embeddings WHERE vec_id < 500),
+feat AS (SELECT vec_id AS feature_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS f FROM embeddings),
 fr AS (SELECT id AS image_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp", id) - 1 AS frame_no FROM img),
 m AS (SELECT d.id, d.bbox AS b, f.f, fr.user_id, fr.frame_no FROM det d JOIN feat f USING (feature_id) JOIN fr USING (image_id) WHERE d.binary_label = 'moth' AND d.bbox IS NOT NULL),
 pr AS (SELECT x.id, y.id AS previous_id, x.b, y.b AS c, list_inner_product(x.f, y.f) / (sqrt(list_inner_product(x.f, x.f)) * sqrt(list_inner_product(y.f, y.f))) AS cosine FROM m x JOIN m y ON x.user_id = y.user_id AND x.frame_no = y.frame_no + 1),
@@ -113,7 +113,7 @@ SQL: dict[str, str] = {
     "track_info": _with("""SELECT sequence_id, strftime(min("timestamp"), '%Y-%m-%d %H:%M:%S') AS start_time, CAST(round_even(floor((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1000000.0) / 60.0, 0) AS INTEGER) AS minutes, max(sequence_frame) + 1 AS frames FROM det WHERE sequence_id IS NOT NULL GROUP BY 1"""),
     "tracks_collected": _with("SELECT monitoring_session_id, sequence_id, string_agg(concat(sequence_frame, ':', id), ' ' ORDER BY sequence_frame, id) AS frames FROM det WHERE sequence_id IS NOT NULL GROUP BY 1, 2"),
     "single_frame_tracks": _with("SELECT sequence_id, count(*) AS frames FROM det WHERE sequence_id IS NOT NULL GROUP BY 1 HAVING count(*) = 1"),
-    "broken_tracks": "SELECT CAST(conv_id AS VARCHAR) AS sequence_id, turn AS sequence_frame, e AS expected_frame FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS e FROM conversations WHERE turn % 5 <> 2) WHERE turn <> e",
+    "broken_tracks": "SELECT CAST(conv_id AS VARCHAR) AS sequence_id, turn + turn // 3 AS sequence_frame, e AS expected_frame FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS e FROM conversations) WHERE turn + turn // 3 <> e",
     "occurrences_by_label": _with("""SELECT sequence_id, specific_label, count(*) AS count, epoch_us(max("timestamp")) - epoch_us(min("timestamp")) AS span_us FROM det WHERE sequence_id IS NOT NULL AND specific_label IS NOT NULL GROUP BY 1, 2"""),
     "avg_detections_per_image": _with("SELECT (SELECT count(*) FROM det) AS num_detections, (SELECT count(*) FROM img) AS num_images, round((SELECT count(*) FROM det) / (SELECT count(*) FROM img), 6) AS average"),
     "orphan_detections": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'F')",
@@ -143,7 +143,7 @@ SQL: dict[str, str] = {
         """SELECT id, round_even(shared / (sb + sc - shared) * 100, 0) / 100 AS iou, round(least(sb, sc) / greatest(sb, sc), 6) AS ratio, round(sqrt(pow((b[1]+b[3])/2 - (c[1]+c[3])/2, 2) + pow((b[2]+b[4])/2 - (c[2]+c[4])/2, 2)) / 1443, 6) AS distance
         FROM (SELECT *, greatest(least(b[3], c[3]) - greatest(b[1], c[1]) + 1, 0) * greatest(least(b[4], c[4]) - greatest(b[2], c[2]) + 1, 0) AS shared, (b[3]-b[1]+1)*(b[4]-b[2]+1) AS sb, (c[3]-c[1]+1)*(c[4]-c[2]+1) AS sc FROM (SELECT x.id, x.bbox AS b, y.bbox AS c FROM det x JOIN det y ON y.id + 1 = x.id WHERE x.bbox IS NOT NULL AND y.bbox IS NOT NULL))"""
     ),
-    "l1_normalize": "SELECT vec_id AS feature_id, round(f[1] / list_sum(f), 9) AS first, round(list_sum(list_transform(f, lambda x: x / list_sum(f))), 6) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS f FROM embeddings WHERE vec_id < 500)",
+    "l1_normalize": "SELECT vec_id AS feature_id, round(f[1] / list_sum(f), 9) AS first, round(list_sum(list_transform(f, lambda x: x / list_sum(f))), 6) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS f FROM embeddings)",
     "softmax_argmax": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best, round(1 / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - list_max(embedding)))), 6) AS score FROM embeddings",
     "cosine_neighbours": "SELECT x.vec_id, round(list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))), 6) AS cosine FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x JOIN (SELECT vec_id + 1 AS vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y ON x.vec_id = y.vec_id",
     "tracking_costs": _with("SELECT id, previous_id, round(cost, 6) AS cost FROM cost", _COST),

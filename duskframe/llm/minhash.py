@@ -276,6 +276,10 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
 
 
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = LIKENESS_PERCENT) -> DataFrame:
-    """The rows of `df` that stay: one document, that of the least id, of every group; one row where rows repeat it."""
-    groups = near_groups(df, doc_id, text, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(groups, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
+    """The rows of `df` that stay: one document, that of the least id, of every group; one row where rows repeat it.
+
+    Rows without an id can't be told apart by one and all stay.
+    """
+    groups = near_groups(df.filter(F.col(doc_id).isNotNull()), doc_id, text, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = df.join(groups, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(df.filter(F.col(doc_id).isNull()))

@@ -61,6 +61,8 @@ def test_repeated_and_null_ids(spark):
     out = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 7
     assert {(r["doc_id"], r["component_id"]) for r in out} == {(3, 3), (5, 3), (9, 3), (None, None)}
+    kept = minhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 3]
 
 
 def test_empty(none):

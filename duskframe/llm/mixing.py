@@ -71,24 +71,40 @@ def _fold(units: Column, seed: Column) -> Column:
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(1))), start, step)
 
 
+#: Repeats of a row that are numbered at once.
+REPEATS = 4096
+
+
+def _number_repeats(rows: DataFrame) -> DataFrame:
+    """Add `__rep`: 0, 1, ... for rows that are equal in every column, so that their draws differ.
+
+    Equal rows are counted and dealt out again, so no task holds all repeats of a row at once.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    parts = counted.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / REPEATS).cast("long"))))
+    first = F.col("__part") * REPEATS
+    return parts.select(*rows.columns, F.explode(F.sequence(first, F.least(first + REPEATS, F.col("__n")) - 1)).alias("__rep"))
+
+
 def mix_sources(df: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, weight_cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """How often the mix takes each row of `df`: doc_id, source, size, source_size, target, copies, taken.
 
     `size` is words of `text` unless given. No row is taken more than `most` times. Rows of size 0 (null or
     blank text) are taken 0 times. Draws come from hashes of the ids, so reruns agree; rows that repeat an
     id are rounded one by one. A null source is a source, the last in order. An empty table gives no rows.
-    `keep` names further columns to carry along.
+    `keep` names further columns to carry along, of types that can be grouped by.
     """
     scratch = Scratch(df.sparkSession, "mixing")
     size = word_count(F.col("text")) if size is None else size
-    sizes = scratch.save(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"), *keep))
+    sizes = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"), *keep)
+    sizes = scratch.save(_number_repeats(sizes))
     targets = scratch.save(source_targets(sizes, weight_cycle=weight_cycle, most=float(most)))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     rows = rows.select("d.*", "t.source_size", "t.target", "t.n_docs", rate.alias("__rate"))
     rows = rows.withColumn("__whole", F.floor(F.col("__rate") + F.lit(1e-12)).cast("int")).withColumn("__part", F.greatest(F.col("__rate") - F.col("__whole"), F.lit(0.0)))
     buckets = F.ceil(F.col("n_docs") / F.lit(FAN)).cast("long")
-    rows = rows.withColumn("__draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("__bucket", F.pmod(F.col("__draw"), buckets))
+    rows = rows.withColumn("__draw", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("__rep"))).withColumn("__bucket", F.pmod(F.col("__draw"), buckets))
     open_rows = (F.col("__part") > 1e-12) & (F.col("size") > 0)
     columns = ["doc_id", "source", "size", "source_size", "target", *keep]
     done = [rows.filter(~open_rows).select(*columns, F.col("__whole").alias("copies"))]

@@ -84,6 +84,12 @@ def test_mixing_repeats_and_empty(spark, none):
     assert mixing.mix_sources(rows).count() == 6
     assert mixing.apply_mix(rows).filter("doc_id = 1").count() == sum(r["copies"] for r in mixing.mix_sources(rows).filter("doc_id = 1").collect())
     assert mixing.mix_sources(none).count() == 0 and mixing.apply_mix(none).count() == 0
+    odd = spark.createDataFrame([(None, None, "x y z")] * 9000 + [(None, None, None), (1, None, "p"), (None, "a", "q r")], "doc_id long, source string, text string")
+    mixed = mixing.mix_sources(odd).collect()
+    assert len(mixed) == 9003
+    taken = sum(r["taken"] for r in mixed if r["source"] is None)
+    assert abs(taken - next(r["target"] for r in mixed if r["source"] is None)) <= 3
+    assert mixing.apply_mix(odd).count() == sum(r["copies"] for r in mixed)
 
 
 def _signed(x):

@@ -140,9 +140,11 @@ def apply_mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     at the end. Rows that share an id are told apart by source and size.
     """
     mixed = mix_sources(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), **options)
-    order = F.struct("size", "source", "copies")
-    lists = mixed.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("__copies")).select(F.col("doc_id").alias("__id"), "__copies")
-    place = Window.partitionBy(doc_id).orderBy(F.struct(word_count(F.col(text)), F.col(source)))
-    rows = df.withColumn("__place", F.row_number().over(place)).join(lists, F.col(doc_id).eqNullSafe(F.col("__id")))
-    copies = F.element_at("__copies", F.col("__place"))["copies"]
+    # Nulls are equal in structs; the sizes are never null, so both sides have one type.
+    key = lambda d, n, s: F.struct(d.alias("doc_id"), F.coalesce(n, F.lit(0).cast("long")).alias("size"), s.alias("source"))
+    lists = mixed.groupBy(key(F.col("doc_id"), F.col("size"), F.col("source")).alias("__key")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+    rows = df.withColumn("__key", key(F.col(doc_id), word_count(F.col(text)), F.col(source)))
+    # The window and the join have one key, so whole texts are shuffled and sorted once.
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).join(lists, "__key")
+    copies = F.element_at("__copies", F.col("__place"))
     return rows.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(c) for c in df.columns])

@@ -33,7 +33,7 @@ def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = winnowing.compare_with_edits(_table(spark, sf_dir, "documents"))
+    rows = winnowing.compare_with_edits(_table(spark, sf_dir, "documents"), characters=True)
     return rows.select("doc_id", "n_chars", "edited_sha256", winnowing.fingerprint_text(F.col("kept")).alias("fingerprint"), winnowing.fingerprint_text(F.col("edited_kept")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 

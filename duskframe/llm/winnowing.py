@@ -4,12 +4,18 @@ The grams are runs of GRAM words (a text of fewer words is one gram). Each gram
 WINDOW grams in a row the one with the least hash is kept, the rightmost among equals, with its position.
 Two texts that share GRAM + WINDOW - 1 words in a row share a kept gram.
 
+Or they are runs of CHARS code points (`winnow_characters`), for texts of any script, with blanks or without:
+texts that share CHARS + WINDOW - 1 code points in a row share a kept gram. A short text has windows of a
+quarter or a sixteenth of that; what a wide window keeps, the narrow ones within it keep too.
+
 A gram is one long: hash in the upper bits, 2^31 - 1 - position below, so the least long of a window is the
 least hash and, among equals, the rightmost. Window minima come by doubling: minima over 2 grams, 4, 8, ...
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +24,8 @@ from .scratch import Scratch
 
 GRAM = 5
 WINDOW = 16
+#: Code points of a gram of characters: the square of a number, so that it is hashed in two steps.
+CHARS = 16
 _LAST = 2**31 - 1
 
 
@@ -62,13 +70,52 @@ def winnow(text: Column, k: int = GRAM, window: int = WINDOW) -> Column:
     return let(_words(text), whole)
 
 
+def _plain(text: Column) -> Column:
+    """The text with one blank for each run of white space, and none at its ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+
+
+def winnow_characters(text: Column) -> Column:
+    """As `winnow`, of runs of CHARS code points in windows of WINDOW; white space counts as one blank.
+
+    A text of fewer than CHARS code points is one gram. Of fewer than 4 * WINDOW grams the windows are WINDOW / 4,
+    of fewer than WINDOW they are 1, so that a short text fills several.
+    """
+    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    step = math.isqrt(CHARS)
+    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31) + (F.lit(_LAST) - i)
+
+    def grams(part: Column) -> Column:
+        """Packed grams, from the hashes of `step` code points at each place."""
+        at = F.sequence(F.lit(0), F.greatest(F.size(part) - CHARS, F.lit(0)))
+        return F.transform(at, lambda i: pack(F.xxhash64(*[F.get(part, i + j) for j in range(0, CHARS, step)]), i))
+
+    def fours(g: Column, span: int) -> Column:
+        """Minima over 4 * span grams, from those over span."""
+        return F.transform(F.slice(g, 1, F.size(g) - 3 * span), lambda x, i: F.least(x, *[F.get(g, i + j * span) for j in (1, 2, 3)]))
+
+    def thin(m: Column) -> Column:
+        """One of each; equal minima are neighbours."""
+        return F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
+
+    def minima(g: Column) -> Column:
+        wide = lambda: let(fours(g, 1), lambda m: let(fours(m, WINDOW // 4), thin))
+        return F.when(F.size(g) >= 4 * WINDOW, wide()).when(F.size(g) >= WINDOW, let(fours(g, 1), thin)).otherwise(g)
+
+    def whole(chars: Column) -> Column:
+        part = F.transform(chars, lambda c, i: F.xxhash64(c, *[F.get(chars, i + j) for j in range(1, step)]))
+        return let(part, lambda p: let(grams(p), minima))
+
+    return let(_plain(text), lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(let(F.split(t, ""), whole)))
+
+
 def gram_hashes(kept: Column) -> Column:
     """Distinct hashes (0 to 2^32 - 1) of kept grams."""
     return F.array_distinct(F.transform(kept, lambda g: F.shiftrightunsigned(g, 31)))
 
 
 def gram_positions(kept: Column) -> Column:
-    """Word positions, from 0, of kept grams."""
+    """Positions (of words or code points), from 0, of kept grams."""
     return F.transform(kept, lambda g: F.lit(_LAST) - g.bitwiseAND(F.lit(_LAST)))
 
 
@@ -133,13 +180,18 @@ def edited_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", of_n
     return both.select("d.doc_id", "next_id", "text", edited.alias("edited_text"), *of_next)
 
 
-def compare_with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, window: int = WINDOW) -> DataFrame:
+def compare_with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, window: int = WINDOW, characters: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, kept, edited_kept (packed grams), near_edited, near_next.
 
     near_next compares with the fingerprint of the next document (its least one where rows repeat the id).
+    With `characters` the grams are those of `winnow_characters`, else k words in windows of `window`.
     """
-    rows = edited_texts(df, doc_id, text, {"next_hashes": gram_hashes(winnow(F.col("text"), k, window))})
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text"), k, window).alias("kept"), winnow(F.col("edited_text"), k, window).alias("edited_kept"), F.coalesce("next_hashes", F.array().cast("array<bigint>")).alias("next_hashes"))
+    kept = winnow_characters if characters else lambda t: winnow(t, k, window)
+    # Shuffled in half their width.
+    narrow = F.transform(gram_hashes(kept(F.col("text"))), lambda h: (h - F.lit(2**31)).cast("int"))
+    rows = edited_texts(df, doc_id, text, {"next_hashes": narrow})
+    wide = F.transform(F.coalesce("next_hashes", F.array().cast("array<int>")), lambda h: h.cast("bigint") + F.lit(2**31))
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), kept(F.col("text")).alias("kept"), kept(F.col("edited_text")).alias("edited_kept"), wide.alias("next_hashes"))
     # Both sets of hashes are bound once.
     met = F.transform(F.array(F.struct("kept", "edited_kept", "next_hashes", gram_hashes(F.col("kept")).alias("own"))), lambda x: F.struct(x["kept"].alias("kept"), x["edited_kept"].alias("edited_kept"), likeness(x["own"], gram_hashes(x["edited_kept"])).alias("near_edited"), likeness(x["own"], x["next_hashes"]).alias("near_next")))
     return rows.select("doc_id", "n_chars", "edited_sha256", F.inline(met))

@@ -1,12 +1,13 @@
 """License scans, mixing, winnowing, sharding."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import xxhash
 
-from duskframe.llm import licenses, mixing, sharding, winnowing
+from duskframe.llm import catalog, licenses, mixing, sharding, winnowing
 
 
 def test_licenses(spark, docs, corpus):
@@ -146,6 +147,50 @@ def test_winnowing_odd_tables(spark, none):
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def _plain_characters(text, k=16):
+    points = re.sub(r"[\x20\x09-\x0D]+", " ", text or "").strip(" ")
+    h = lambda parts, seed=42: xxhash.xxh64_intdigest(b"".join(parts), seed)
+
+    def fold(values):
+        seed = 42
+        for v in values:
+            seed = h([v], seed)
+        return seed
+
+    if not points:
+        return []
+    four = [fold([c.encode() for c in points[i : i + 4]]) for i in range(len(points))]
+    grams = [fold([four[i + j].to_bytes(8, "little") for j in range(0, k, 4) if i + j < len(points)]) >> 32 for i in range(max(1, len(points) - k + 1))]
+    window = 16 if len(grams) >= 64 else 4 if len(grams) >= 16 else 1
+    kept = []
+    for i in range(len(grams) - window + 1):
+        part = grams[i : i + window]
+        at = i + max(j for j, g in enumerate(part) if g == min(part))
+        if not kept or kept[-1] != (grams[at], at):
+            kept.append((grams[at], at))
+    return kept
+
+
+def test_winnowing_of_characters(spark, docs, corpus):
+    rows = {r["doc_id"]: list(zip(r["h"], r["p"])) for r in docs.select("doc_id", winnowing.winnow_characters(docs["text"]).alias("k")).selectExpr("doc_id", "transform(k, g -> shiftrightunsigned(g, 31)) h", "transform(k, g -> 2147483647 - (g & 2147483647)) p").collect()}
+    for doc_id, text, *_ in corpus:
+        assert rows[doc_id] == _plain_characters(text), doc_id
+
+
+def test_op4_sees_texts_without_blanks_and_short_texts(spark, tmp_path):
+    rng = random.Random(2)
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400)) for _ in range(2)]
+    han.append(han[0][:100] + han[1][100:200])  # the end of the second, the start of the first
+    short = ["The quick brown fox jumps over the lazy dog near the river bank.", "Pack my box with five dozen liquor jugs, then go home at once."]
+    rows = list(enumerate([han[1], han[2], "😀 mixed", *short]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in catalog.op4_winnowing(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    assert 0.4 < out[0]["near_edited"] < 1 and out[0]["near_next"] > 0.05
+    assert all(0.2 < out[i]["near_edited"] < 1 for i in (3, 4))
+    assert all(len(out[i]["fingerprint"].split(" ")) > 4 for i in (0, 1, 3, 4))
+
+
 def test_next_ids(spark):
     ids = spark.range(0, 5000, 7).toDF("doc_id")
     rows = {r["doc_id"]: r["next_id"] for r in winnowing.next_ids(ids, ranges=16).collect()}

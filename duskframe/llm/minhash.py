@@ -45,6 +45,8 @@ SHARED = 2
 #: Sets on each side of a tile, and shingles that are multiplied at once.
 TILE = 512
 COLUMNS = 4096
+#: Sets, a copy for each of their tiles, of the small tiles that are met together.
+BUNDLE = 1000
 #: Mates that meet one copy of a set.
 SALT = 256
 
@@ -219,12 +221,16 @@ def _link_clusters(clusters: DataFrame, docs: DataFrame, scratch: Scratch, perce
     sizes = scratch.save(clusters.groupBy("cluster").agg(F.count("*").alias("members")).select("cluster", F.ceil(F.col("members") / TILE).cast("int").alias("chunks")))
     rows = clusters.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = scratch.save(rows)
-    bundles = rows.count() // 1000 + 1
+    # A set is in a tile for each chunk of its cluster. Small tiles share a task; whole ones have their own.
+    copies = rows.agg(F.sum(F.when(F.col("chunks") <= 2, F.col("chunks")))).first()[0] or 0
+    bundles = copies // BUNDLE + 1
     sets = shingle_sets(docs.join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, F.col("chunk")) * (1 << 15) + F.greatest(c, F.col("chunk")))
-    rows = rows.join(sets, F.col("id") == F.col("doc_id")).select("cluster", "chunk", "id", "shingles", F.explode(tiles).alias("tile"))
-    bundle = F.pmod(F.xxhash64("cluster", "tile"), F.lit(bundles))
-    return scratch.save(rows.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(_link_tiles(percent), "a long, b long").distinct())
+    rows = rows.join(sets, F.col("id") == F.col("doc_id")).select("cluster", "chunks", "chunk", "id", "shingles", F.explode(tiles).alias("tile"))
+    small = F.col("chunks") <= 2
+    bundle = F.when(small, F.pmod(F.xxhash64("cluster", "tile"), F.lit(bundles)))
+    alone = [F.when(~small, F.col(c)).alias(f"own_{c}") for c in ("cluster", "tile")]
+    return scratch.save(rows.withColumn("bundle", bundle).groupBy("bundle", *alone).applyInArrow(_link_tiles(percent), "a long, b long").distinct())
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = LIKENESS_PERCENT) -> DataFrame:

@@ -1,4 +1,6 @@
+import os
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,28 @@ def test_large_groups_in_several_tiles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(df).collect()} == plain_groups(rows)
 
 
+def test_no_task_holds_more_than_a_few_tiles(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(minhash, "TILE", 16)
+    link = minhash._link_tiles
+
+    def counted(percent):
+        run = link(percent)
+
+        def count(table):
+            (tmp_path / f"{time.time_ns()}-{os.getpid()}").write_text(str(table.num_rows))
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(minhash, "_link_tiles", counted)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(d, " ".join(base[:30] + [f"x{d}"] + base[31:])) for d in range(400)]
+    out = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in out} == {0}
+    held = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert len(held) > 100 and max(held) <= 100  # 25 chunks: about 2 x 16 sets in each of 325 tiles
+
+
 def test_repeated_and_null_ids(spark):
     same = "one two three four five six seven"
     rows = [(3, same), (3, same), (5, same), (3, "a b c d e f"), (9, "a b c d e f"), (None, same), (None, None)]

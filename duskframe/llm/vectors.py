@@ -14,7 +14,7 @@ their mean length, and the work grows in proportion to the vectors.
 
 A row of a list carries the vector and its other lists, so collisions of a pair are counted and its cosine
 is verified where the pair first meets; no table of pairs is made. A list that is long (a dense group) is
-dealt to several tasks by query.
+parted into blocks, and each two blocks meet in a task.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ ENDS = 4
 LISTS = 2 * TURNS * ENDS
 COUNT = 2
 WIDTH = 1.0
-#: Queries of a list that meet it in one task.
+#: Members of a block of a long list, on average.
 QUERIES = 4096
 _SEED = 20240229
 
@@ -184,7 +184,7 @@ def _match(cosine: float, name: type, kind: type):
         of = table["list"].to_numpy()
         order = np.argsort(of, kind="stable")
         starts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
-        ids, copies, query = table["id"].to_numpy(), table["copies"].to_numpy(), table["query"].to_numpy(zero_copy_only=False)
+        ids, copies, side = table["id"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy()
         vectors, lists, places = (table[c].to_pylist() for c in ("vector", "lists", "places"))
         out_id, out_links, out_least = [], [], []
         for part in np.split(order, starts[1:]):
@@ -193,8 +193,11 @@ def _match(cosine: float, name: type, kind: type):
             x = _unit(np.array([np.frombuffer(vectors[i], kind) for i in part]))
             group = _List(int(of[part[0]]), ids[part], x, [np.frombuffer(lists[i], name) for i in part], [np.frombuffer(places[i], np.float16).astype(np.float32) for i in part])
             label, links = np.arange(len(part)), np.zeros(len(part), np.int64)
-            for q in np.flatnonzero(query[part]):
+            own = side[part]
+            for q in range(len(part)):
                 near = group.candidates(q)
+                if own[q]:
+                    near = near[own[near] != own[q]]
                 if len(near):
                     near = near[x[near] @ x[q] >= cosine]
                 if len(near):
@@ -233,16 +236,19 @@ def vector_groups(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     n = reps.count()
     deal_schema = "list long, dim int, id long, copies long, vector binary, lists binary, places binary"
     dealt = reps.repartition(max(spark.sparkContext.defaultParallelism, n // 5000 + 1)).mapInArrow(_deal(n, kind), deal_schema)
-    # Lists of more than QUERIES rows go to several tasks; each has the list, and a part of its queries. There
+    # Lists of more than QUERIES rows are parted into blocks; a row goes to the tiles of its block with each of
+    # the list's blocks, where the members of one meet those of the other (side 0: a block meets itself). There
     # is at most one such list for every QUERIES / LISTS vectors.
     hot = dealt.groupBy("dim", "list").agg(F.count("*").alias("n")).filter(F.col("n") > QUERIES)
     hot = scratch.save(hot.select("dim", "list", F.ceil(F.col("n") / QUERIES).cast("int").alias("chunks")))
     lists = dealt.join(hot, ["dim", "list"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    lists = lists.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    lists = lists.withColumn("query", F.pmod(F.xxhash64("id"), F.col("chunks")) == F.col("chunk")).drop("chunks")
+    lists = lists.withColumn("block", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    lists = lists.withColumn("chunk", F.least("block", "with") * F.lit(1 << 20) + F.greatest("block", "with"))
+    lists = lists.withColumn("side", F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2))
+    lists = lists.withColumn("own_list", F.when(F.col("chunks") > 1, F.col("list"))).drop("chunks", "block", "with")
     # Short lists are met some dozens at a time.
     bundle = F.pmod(F.xxhash64("list"), F.lit(2 * TURNS * half_directions(n) ** 2 // 32 + 1))
-    met = lists.withColumn("bundle", bundle).groupBy("dim", "bundle", "chunk").applyInArrow(_match(cosine, _name_type(n), kind), "id long, links long, least long")
+    met = lists.withColumn("bundle", bundle).groupBy("dim", "bundle", "own_list", "chunk").applyInArrow(_match(cosine, _name_type(n), kind), "id long, links long, least long")
     met = scratch.save(met.groupBy("id", "least").agg(F.sum("links").alias("links")))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(met.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)

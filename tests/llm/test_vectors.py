@@ -1,3 +1,6 @@
+import os
+import time
+
 import numpy as np
 
 from duskframe.llm import vectors
@@ -50,6 +53,30 @@ def test_long_lists_in_several_tasks(spark, monkeypatch):
     assert {r["component_id"] for r in out} == set(parts.values())
 
 
+def test_a_task_holds_two_blocks_of_a_long_list(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectors, "QUERIES", 40)
+    match = vectors._match
+
+    def counted(*args):
+        run = match(*args)
+
+        def count(table):
+            held = np.unique(table["list"].to_numpy(), return_counts=True)[1].max()
+            (tmp_path / f"{time.time_ns()}-{os.getpid()}").write_text(str(held))
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(vectors, "_match", counted)
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.ones(8) + rng.standard_normal(8) * 0.1).tolist()) for i in range(300)]
+    links, _ = plain(rows)
+    out = vectors.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in out} == links
+    held = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert len(held) > 36 and max(held) <= 140
+
+
 def test_empty(spark):
     assert vectors.vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -23,8 +23,10 @@ from . import textbytes
 from .columns import small_batches
 from .perfect import PerfectHash
 
-#: Merged pre-tokens that a task remembers; when it is full, all are forgotten.
-REMEMBERED = 500_000
+#: Bytes of merged pre-tokens (and ENTRY more for each) that a worker remembers; beyond them all are forgotten.
+REMEMBERED = 24 << 20
+ENTRY = 200
+SEED = 3
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
 # The white space of the pattern, as inclusive ranges of code points.
@@ -100,21 +102,35 @@ class BytePairs:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         used = np.flatnonzero(self.lengths)
-        keys = self._keys(self.bytes, self.starts[used], self.starts[used] + self.lengths[used])
+        values, within, first = textbytes.lanes(self.bytes, self.starts[used], self.starts[used] + self.lengths[used])
+        self.lanes, self.first_lane = values, np.zeros(len(tokens), np.int64)
+        self.first_lane[used] = first
+        keys = textbytes.lane_hashes(values, within, first, self.lengths[used], SEED)
         self.whole = PerfectHash(keys)
         self.rank_of = np.empty(len(used), np.int64)
         self.rank_of[self.whole.find(keys)] = used
         self.pairs = [ranks.get(bytes(divmod(k, 256)), -1) for k in range(1 << 16)]
         self.merged: dict[bytes, bytes] = {}
+        self.held = 0
         self.classes = None
 
     @staticmethod
     def from_file(lines: bytes) -> BytePairs:
         return BytePairs({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines()) if token})
 
-    @staticmethod
-    def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return textbytes.span_hashes(data, start, end, seed=3)
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Ids of the spans of bytes that are tokens, -1 for the others."""
+        length = end - start
+        values, within, first = textbytes.lanes(data, start, end)
+        number = self.whole.find(textbytes.lane_hashes(values, within, first, length, SEED))
+        ids = self.rank_of[np.maximum(number, 0)]
+        found = (number >= 0) & (self.lengths[ids] == length)
+        # A hash says where to look; the bytes decide.
+        count = np.diff(np.append(first, len(values)))
+        own = np.repeat(found, count)
+        at = np.repeat(self.first_lane[ids], count) + within
+        found &= np.logical_and.reduceat(own & (self.lanes[np.where(own, at, 0)] == values), first)
+        return np.where(found, ids, -1)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token that isn't a token as a whole.
@@ -170,26 +186,29 @@ class BytePairs:
             places = np.searchsorted(lead, offsets)
             starts = lead[split_places(points, places, self.classes)]
         ends = np.append(starts[1:], len(data))
-        number = self.whole.find(self._keys(data, starts, ends))
-        found = number >= 0
+        whole = self.find(data, starts, ends)
+        found = whole >= 0
         count = np.ones(len(starts), np.int64)
         missing = np.flatnonzero(~found)
         flat = np.zeros(0, np.uint32)
         if len(missing):
-            if len(self.merged) > REMEMBERED:
-                self.merged.clear()
             text, merged, pieces = data.tobytes(), self.merged, []
             for a, b in zip(starts[missing].tolist(), ends[missing].tolist()):
                 piece = text[a:b]
                 ids = merged.get(piece)
                 if ids is None:
-                    ids = merged[piece] = array("I", self.merge(piece)).tobytes()
+                    ids = array("I", self.merge(piece)).tobytes()
+                    self.held += ENTRY + len(piece) + len(ids)
+                    if self.held > REMEMBERED:
+                        merged.clear()
+                        self.held = ENTRY + len(piece) + len(ids)
+                    merged[piece] = ids
                 pieces.append(ids)
             flat = np.frombuffer(b"".join(pieces), np.uint32)
             count[missing] = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         at = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.uint32)
-        out[at[found]] = self.rank_of[number[found]]
+        out[at[found]] = whole[found]
         if len(missing):
             sizes = count[missing]
             out[np.repeat(at[missing] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))] = flat
@@ -237,12 +256,14 @@ def encode(text: Column, ranks) -> Column:
     """Ids of a text: binary, each id a little-endian unsigned 32-bit integer. Null counts as empty."""
 
     def run(texts: pa.Array) -> pa.Array:
-        coder, parts, offsets = _coder(ranks), [], []
-        for _, _, data, at in textbytes.blocks(texts):
+        coder, parts, size = _coder(ranks), [], np.zeros(len(texts) + 1, np.int64)
+        for i, j, data, at, _ in textbytes.blocks(texts):
             ids, ends = coder.encode_run(data, at)
             parts.append(ids.astype("<u4").view(np.uint8))
-            offsets.append(ends * 4)
-        return _binary(parts, offsets)
+            size[i + 1 : j + 1] += 4 * np.diff(ends)
+        out = _binary([np.concatenate(parts)] if parts else [], [np.cumsum(size)] if parts else [])
+        textbytes.release()
+        return out
 
     return F.arrow_udf(run, "binary")(F.coalesce(text, F.lit("")))
 
@@ -272,10 +293,18 @@ def decode(ids: Column, ranks) -> Column:
 
 
 def encode_documents(df: DataFrame, ranks, text: str = "text") -> DataFrame:
-    """Add `ids` (see `encode`) and `n_tokens`. Null and empty texts have no ids."""
+    """Add `ids` (see `encode`) and `n_tokens`. Null and empty texts have no ids (an empty binary) and 0 tokens.
+
+    Repeated rows are encoded each; an empty table gives no rows. Columns `ids` and `n_tokens` of the input are
+    replaced, other columns pass through.
+    """
     return df.withColumn("ids", encode(F.col(text), ranks)).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def decode_documents(df: DataFrame, ranks, ids: str = "ids") -> DataFrame:
-    """Add `decoded`, the bytes of the ids."""
+    """Add `decoded`, the bytes of the ids: null for null, empty for no ids.
+
+    Repeated rows are decoded each; an empty table gives no rows. A column `decoded` of the input is replaced,
+    other columns pass through.
+    """
     return df.withColumn("decoded", decode(F.col(ids), ranks))

@@ -24,7 +24,6 @@ ALPHA = 0.5
 #: The broadcast matrix has BUCKETS x MAX_LANGUAGES floats at most: 128 MB.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
-_CHUNK = 1 << 19
 
 # Lower case for the letters below U+0250 that have a lower case of one character.
 _LOWER = np.arange(0x250, dtype=np.uint32)
@@ -43,25 +42,25 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return points, lead[offsets]
 
 
-def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, texts) of the n-grams of a run of texts, in order of text, part by part."""
+def gram_buckets(data: np.ndarray, offsets: np.ndarray, lead: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, texts) of the n-grams of a run of texts that end after its first `lead` bytes, in order of text."""
+    lead = int(np.count_nonzero((data[:lead] & 0xC0) != 0x80))
     points, offsets = code_points(data, offsets)
     low = points < len(_LOWER)
     points = np.where(low, _LOWER[np.where(low, points, 0)], points).astype(np.uint64)
     text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for a in range(0, len(points), _CHUNK):
-        b = min(a + _CHUNK, len(points))
-        for n in GRAMS:
-            stop = min(b, len(points) - n + 1)
-            if stop <= a:
-                continue
-            total = np.full(stop - a, n, np.uint64)
-            for k in range(n):
-                total = total * np.uint64(0x9E3779B97F4A7C15) + points[a + k : stop + k]
-            total ^= total >> np.uint64(29)
-            total *= np.uint64(0xBF58476D1CE4E5B9)
-            whole = text_of[a:stop] == text_of[a + n - 1 : stop + n - 1]
-            yield (total >> np.uint64(48)).astype(np.int64)[whole], text_of[a:stop][whole]
+    for n in GRAMS:
+        first = max(0, lead - n + 1)
+        stop = len(points) - n + 1
+        if stop <= first:
+            continue
+        total = np.full(stop - first, n, np.uint64)
+        for k in range(n):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + points[first + k : stop + k]
+        total ^= total >> np.uint64(29)
+        total *= np.uint64(0xBF58476D1CE4E5B9)
+        whole = text_of[first:stop] == text_of[first + n - 1 :]
+        yield (total >> np.uint64(48)).astype(np.int64)[whole], text_of[first:stop][whole]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,12 +69,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
         number = np.array([names.index(x) for x in langs])
-        for i, j, data, offsets in textbytes.blocks(batch.column("text")):
-            for buckets, text_of in gram_buckets(data, offsets):
+        for i, j, data, offsets, lead in textbytes.blocks(batch.column("text"), lead=max(GRAMS) - 1):
+            for buckets, text_of in gram_buckets(data, offsets, lead):
                 found = np.bincount(number[i:j][text_of] * BUCKETS + buckets, minlength=len(names) * BUCKETS)
                 for k, name in enumerate(names):
                     counts.setdefault(name, np.zeros(BUCKETS, np.int64))
                     counts[name] += found[k * BUCKETS : (k + 1) * BUCKETS]
+    textbytes.release()
     for name, n in counts.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
@@ -87,10 +87,10 @@ class LanguageModel:
     def __init__(self, languages: list[str], matrix: np.ndarray, prior: np.ndarray):
         self.languages, self.matrix, self.prior = languages, matrix, prior
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log likelihood plus prior, texts x languages."""
-        total = np.tile(self.prior, (len(offsets) - 1, 1))
-        for buckets, text_of in gram_buckets(data, offsets):
+    def likelihood(self, data: np.ndarray, offsets: np.ndarray, lead: int = 0) -> np.ndarray:
+        """Log likelihoods of what follows the first `lead` bytes, texts x languages."""
+        total = np.zeros((len(offsets) - 1, len(self.languages)))
+        for buckets, text_of in gram_buckets(data, offsets, lead):
             if len(buckets):
                 first = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]])
                 total[text_of[first]] += np.add.reduceat(self.matrix[buckets], first, axis=0, dtype=np.float64)
@@ -127,15 +127,13 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang: str =
 
     def guess(texts: pa.Array) -> pa.Array:
         model = shared.value
-        names, scores = [], []
-        for i, j, data, offsets in textbytes.blocks(texts):
-            total = model.score(data, offsets)
-            best = total.argmax(1)
-            total = np.exp(total - total.max(1, keepdims=True))
-            names.append(best)
-            scores.append(1.0 / total.sum(1))
-        best = np.concatenate(names) if names else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(model.languages, pa.string()).take(pa.array(best)), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang", "score"])
+        total = np.tile(model.prior, (len(texts), 1))
+        for i, j, data, offsets, lead in textbytes.blocks(texts, lead=max(GRAMS) - 1):
+            total[i:j] += model.likelihood(data, offsets, lead)
+        best = total.argmax(1)
+        score = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        textbytes.release()
+        return pa.StructArray.from_arrays([pa.array(model.languages, pa.string()).take(pa.array(best)), pa.array(score)], ["lang", "score"])
 
     if not model.languages:
         return df.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})

@@ -57,9 +57,7 @@ _MASK = 2**64 - 1
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, distinct shingle hashes, their texts): sorted by text, then hash."""
-    for i, j, data, offsets in textbytes.blocks(texts):
-        start, end, text_of = textbytes.words(data, offsets)
-        hashes = textbytes.span_hashes(textbytes.LOWER[data], start, end)
+    for i, j, hashes, text_of in textbytes.word_blocks(texts):
         hashes, owner = textbytes.shingle_hashes(hashes, text_of, j - i, SHINGLE)
         order = np.lexsort((hashes, owner))
         hashes, owner = hashes[order], owner[order]

@@ -1,6 +1,6 @@
 """Minimal perfect hashing of 64-bit keys, by levels of bitmaps.
 
-On each level the keys that are left are hashed into GAMMA bits each; a key that is alone on its bit stays
+On each level the keys that are left are hashed into GAMMA bits each, or up to twice as many; a key that is alone on its bit stays
 there, the others go to the next level. A key's number is the rank of its bit over all levels, so n keys get
 the numbers 0 to n - 1. Look-ups of arrays of keys are a few gathers a level.
 """
@@ -11,7 +11,7 @@ import numpy as np
 
 from .textbytes import mix
 
-GAMMA = 2
+GAMMA = 4
 _MASK = 2**64 - 1
 
 
@@ -23,7 +23,7 @@ class PerfectHash:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
         left, before = keys, 0
         while len(left):
-            bits = max(64, GAMMA * len(left))
+            bits = max(64, 1 << (GAMMA * len(left) - 1).bit_length())
             at = self._place(left, len(self.levels), bits)
             count = np.bincount(at, minlength=bits)
             alone = count == 1
@@ -38,7 +38,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
-        return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & _MASK)) % np.uint64(bits)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & _MASK)) & np.uint64(bits - 1)).view(np.int64)
 
     def _number(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
@@ -60,4 +60,4 @@ class PerfectHash:
             return np.full(len(keys), -1, np.int64)
         out = self._number(keys)
         out[self.keys[np.maximum(out, 0)] != keys] = -1
-        return out
+        return out  # of the keys themselves, so another key is never taken for one of them

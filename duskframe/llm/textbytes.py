@@ -6,16 +6,15 @@ megabytes at a time, so that no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 20
-#: Words hashed at once.
-_CHUNK = 1 << 18
+#: Bytes of text that are worked on at once; a longer text comes in parts.
+BLOCK = 1 << 18
 
 GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,8 +31,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, bytes, offsets) of runs of texts; nulls are empty texts."""
+def _ends(data: np.ndarray, size: int, words: bool) -> Iterator[int]:
+    """Where the parts of one text end: before a blank that follows a printable ASCII character, or at any
+    character. A run without such a blank is one part."""
+    at = 0
+    while len(data) - at > size:
+        end = at + size
+        if words:
+            end, start, step = 0, at + size // 2, size - size // 2
+            while not end and start < len(data) - 1:
+                part = data[start : start + step + 1]
+                found = np.flatnonzero((part[1:] == 0x20) & (part[:-1] > 0x20) & (part[:-1] < 0x7F))
+                end = start + 1 + int(found[-1]) if len(found) else 0
+                start += step
+            if not end:
+                break
+        else:
+            while end > at + 1 and data[end] & 0xC0 == 0x80:
+                end -= 1
+        yield end
+        at = end
+    yield len(data)
+
+
+def blocks(texts: pa.Array, size: int = BLOCK, lead: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(first, last + 1, bytes, offsets, 0) of runs of texts; nulls are empty texts.
+
+    A text of more than `size` bytes comes in parts, each as a run of this one text. They are cut between
+    words or, if `lead` is given, at any character; a later part then repeats the `lead` characters before it,
+    whose number of bytes is the last value. For a later part without a lead it is -1.
+    """
     texts = pc.fill_null(texts, "") if texts.null_count else texts
     _, at, data = texts.buffers()
     at = np.frombuffer(at, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -42,10 +69,43 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.nd
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         j = min(j, len(texts))
-        yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
+        run = data[at[i] : at[j]]
+        if len(run) <= size:
+            yield i, j, run, at[i : j + 1] - at[i], 0
+        else:
+            begin = 0
+            for end in _ends(run, size, lead is None):
+                back = begin
+                for _ in range(lead or 0):
+                    back = max(back - 1, 0)
+                    while back and run[back] & 0xC0 == 0x80:
+                        back -= 1
+                yield i, j, run[back:end], np.array([0, end - back]), begin - back if lead is not None or not begin else -1
+                begin = end
         i = j
 
 
+def word_blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, hashes of the lower-case words, their texts) of runs of whole texts."""
+    parts: list[np.ndarray] = []
+    held = (0, 0)
+    for i, j, data, offsets, part in blocks(texts, size):
+        start, end, text_of = words(data, offsets)
+        hashes = span_hashes(LOWER[data], start, end)
+        if part == -1:
+            parts.append(hashes)
+            continue
+        if parts:
+            yield *held, np.concatenate(parts), np.zeros(sum(map(len, parts)), np.int64)
+            parts = []
+        if len(data) and j == i + 1:  # more may follow
+            parts, held = [hashes], (i, j)
+        else:
+            yield i, j, hashes, text_of
+    if parts:
+        yield *held, np.concatenate(parts), np.zeros(sum(map(len, parts)), np.int64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the index of each word's text."""
     n = len(data)
@@ -64,20 +124,38 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+# For 0 to 8 bytes that are left, what of a number they fill.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of spans, eight to a number, zeros after the last; each number's place in its span; each span's first.
+
+    Spans hold a byte at least.
+    """
+    count = (end - start + 7) >> 3
+    first = np.cumsum(count) - count
+    within = np.arange(int(count.sum())) - np.repeat(first, count)
+    at = np.repeat(start, count) + 8 * within
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    return eights[at] & _FILLED[np.minimum(np.repeat(end, count) - at, 8)], within, first
+
+
+def lane_hashes(values: np.ndarray, within: np.ndarray, first: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of `lanes`. Every eight bytes are scrambled with their place before they are
+    summed, so no sum of powers is there to be met by other bytes."""
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    salt = np.uint64((seed + 1) * int(_STEP) & (2**64 - 1))
+    parts = mix(values ^ mix(within.astype(np.uint64) * _STEP + salt))
+    return mix(np.add.reduceat(parts, first) + length.astype(np.uint64) * _STEP + salt)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes. Spans are in order and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    salt = np.uint64(seed * int(_STEP) & (2**64 - 1))
-    for i in range(0, len(start), _CHUNK):
-        s, e = start[i : i + _CHUNK], end[i : i + _CHUNK]
-        length = e - s
-        first = np.zeros(len(s), np.int64)
-        np.cumsum(length[:-1], out=first[1:])
-        within = np.arange(int(length.sum())) - np.repeat(first, length)
-        powers = _powers(int(length.max()), 0x100000001B3 + 2 * seed)
-        parts = (data[np.repeat(s, length) + within].astype(np.uint64) + np.uint64(1)) * powers[within]
-        out[i : i + _CHUNK] = mix(np.add.reduceat(parts, first) + length.astype(np.uint64) * _STEP + salt)
-    return out
+    """A 64-bit hash of each span of bytes, none of them empty."""
+    return lane_hashes(*lanes(data, start, end), end - start, seed)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -86,6 +164,16 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give memory that NumPy and Arrow have freed back to the system; a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def shingle_hashes(word_hash: np.ndarray, text_of: np.ndarray, n_texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words within a text, and their texts; a text of 1 to k - 1 words is one run."""
     factors = _powers(k, 0xD6E8FEB86659FD93)

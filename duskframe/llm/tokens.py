@@ -27,8 +27,9 @@ from .columns import small_batches
 
 #: The tokenizer's constant: what an unknown character costs below the least score.
 UNKNOWN_PENALTY = 10.0
-#: Segments that a task remembers; when it is full, all are forgotten.
-REMEMBERED = 1_000_000
+#: Bytes of segments (and ENTRY more for each) that a worker remembers; beyond them all are forgotten.
+REMEMBERED = 32 << 20
+ENTRY = 150
 BLANK = "▁"
 
 
@@ -47,7 +48,8 @@ class UnigramCounter:
                 self.split = False
         self.automaton.make_automaton()
         self.unknown, self.byte_fallback = least - UNKNOWN_PENALTY, byte_fallback
-        self.counts: dict[int, int] = {}
+        self.counts: dict[bytes, int] = {}
+        self.held = 0
 
     def count(self, text: str) -> int:
         """Pieces of a text in which blanks are already marked."""
@@ -73,29 +75,42 @@ class UnigramCounter:
             best[end], pieces[end] = score, count
         return pieces[n]
 
-    def count_run(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Pieces of each of a run of texts. A blank is put before each text that isn't empty."""
+    def count_run(self, data: np.ndarray, offsets: np.ndarray, later: bool = False) -> np.ndarray:
+        """Pieces of each of a run of texts. A blank is put before each text that isn't empty, but not before a
+        `later` part of one."""
         n = len(offsets) - 1
         total = np.zeros(n, np.int64)
         filled = np.flatnonzero(np.diff(offsets) > 0)
         if not len(filled):
             return total
-        blank = np.insert(data, offsets[filled], 0x20)
-        first = offsets[filled] + np.arange(len(filled))
+        blank = data if later else np.insert(data, offsets[filled], 0x20)
+        first = offsets[filled] + (0 if later else np.arange(len(filled)))
         start = np.zeros(len(blank), bool)
         if self.split:
             start[1:] = (blank[1:] == 0x20) & (blank[:-1] != 0x20)
         start[first] = True
         start = np.flatnonzero(start)
         end = np.append(start[1:], len(blank))
-        keys, at, back = np.unique(textbytes.span_hashes(blank, start, end, seed=6), return_index=True, return_inverse=True)
-        if len(self.counts) > REMEMBERED:
-            self.counts.clear()
-        counts, raw, known = np.empty(len(keys), np.int64), blank.tobytes(), self.counts
-        for k, (key, a, b) in enumerate(zip(keys.tolist(), start[at].tolist(), end[at].tolist())):
-            found = known.get(key)
+        values, within, at = textbytes.lanes(blank, start, end)
+        _, one, back = np.unique(textbytes.lane_hashes(values, within, at, end - start), return_index=True, return_inverse=True)
+        # Hashes only bring equal segments together; a segment that differs from the first of its hash stands alone.
+        same = (end - start) == (end - start)[one][back]
+        lanes = np.diff(np.append(at, len(values)))
+        other = np.repeat(at[one][back], lanes) + within
+        same &= np.logical_and.reduceat(values == values[np.minimum(other, len(values) - 1)], at)
+        alone = np.flatnonzero(~same)
+        back[alone] = len(one) + np.arange(len(alone))
+        one = np.append(one, alone)
+        raw, known, counts = blank.tobytes(), self.counts, np.empty(len(one), np.int64)
+        for k, (a, b) in enumerate(zip(start[one].tolist(), end[one].tolist())):
+            segment = raw[a:b]
+            found = known.get(segment)
             if found is None:
-                found = known[key] = self.count(raw[a:b].decode("utf-8").replace(" ", BLANK))
+                self.held += ENTRY + b - a
+                if self.held > REMEMBERED:
+                    known.clear()
+                    self.held = ENTRY + b - a
+                found = known[segment] = self.count(segment.decode("utf-8").replace(" ", BLANK))
             counts[k] = found
         owner = filled[np.searchsorted(first, start, "right") - 1]
         return np.bincount(owner, counts[back], n).astype(np.int64)
@@ -126,12 +141,19 @@ def count_tokens(text: Column, model) -> Column:
         if raw not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[raw] = UnigramCounter(read_pieces(raw))
-        parts = [_COUNTERS[raw].count_run(data, at) for _, _, data, at in textbytes.blocks(texts)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+        out = np.zeros(len(texts), np.int64)
+        for i, j, data, at, part in textbytes.blocks(texts):
+            out[i:j] += _COUNTERS[raw].count_run(data, at, part == -1)
+        textbytes.release()
+        return pa.array(out)
 
     return F.arrow_udf(run, "long")(F.coalesce(text, F.lit("")))
 
 
 def count_documents(df: DataFrame, model, text: str = "text", name: str = "n_tokens") -> DataFrame:
-    """Add the number of tokens of every row's text."""
+    """Add the number of tokens of every row's text: 0 for null and empty texts.
+
+    Repeated rows are counted each; an empty table gives no rows. A column `name` of the input is replaced,
+    other columns pass through.
+    """
     return df.withColumn(name, count_tokens(F.col(text), model))

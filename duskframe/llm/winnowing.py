@@ -5,8 +5,10 @@ WINDOW grams in a row the one with the least hash is kept, the rightmost among e
 Two texts that share GRAM + WINDOW - 1 words in a row share a kept gram.
 
 Or they are runs of CHARS code points (`winnow_characters`), for texts of any script, with blanks or without:
-texts that share CHARS + WINDOW - 1 code points in a row share a kept gram. A short text has windows of a
-quarter or a sixteenth of that; what a wide window keeps, the narrow ones within it keep too.
+texts that share CHARS + WINDOW - 1 code points in a row share a kept gram. Their hash is the rolling one: the
+code points as digits in base BASE, modulo PRIME. It is rolled by doubling, which is what arrays can do: the
+value of 2 k code points comes from two of k, and both have other neighbours to serve. A short text has windows
+of a quarter or a sixteenth of WINDOW; what a wide window keeps, the narrow ones within it keep too.
 
 A gram is one long: hash in the upper bits, 2^31 - 1 - position below, so the least long of a window is the
 least hash and, among equals, the rightmost. Window minima come by doubling: minima over 2 grams, 4, 8, ...
@@ -20,12 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import GAP
-from .scratch import Scratch
 
 GRAM = 5
 WINDOW = 16
-#: Code points of a gram of characters: the square of a number, so that it is hashed in two steps.
+#: Code points of a gram of characters, a power of two.
 CHARS = 16
+#: Base and modulus of the rolling hash: products of two numbers below 2^30 fit a long.
+BASE, PRIME = 625_340_561, 1_073_741_789
 _LAST = 2**31 - 1
 
 
@@ -70,43 +73,77 @@ def winnow(text: Column, k: int = GRAM, window: int = WINDOW) -> Column:
     return let(_words(text), whole)
 
 
+def _let(value: Column, *steps) -> Column:
+    """The value passed through the steps, each bound to a lambda variable, so that it is made once."""
+    return F.element_at(F.transform(F.array(value), lambda x: _let(steps[0](x), *steps[1:])), 1) if steps else value
+
+
+def _beside(values: Column, span: int, meet) -> Column:
+    """Every value with the one `span` places on."""
+    return F.zip_with(values, F.slice(values, span + 1, F.size(values)), meet)
+
+
 def _plain(text: Column) -> Column:
-    """The text with one blank for each run of white space, and none at its ends."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    """The text with a blank for each character of white space: as long as before."""
+    return F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5)
+
+
+def _spans(n: int) -> list[int]:
+    return [1 << i for i in range(n.bit_length() - 1)]
+
+
+def _character_grams(text: Column) -> Column:
+    """Packed (hash, position) of the runs of CHARS code points of a text of as many or more."""
+    power = lambda k: F.lit(pow(BASE, k, PRIME)).cast("long")
+    roll = [lambda h, k=k: _beside(h, k, lambda x, y: (x * power(k) + y) % F.lit(PRIME)) for k in _spans(CHARS)]
+    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    pack = lambda h: F.transform(F.slice(h, 1, F.size(h) - (CHARS - 1)), lambda x, i: F.shiftleft(x, 31) + (F.lit(_LAST) - i))
+    return _let(points, *roll, pack)
+
+
+def _thin(kept: Column) -> Column:
+    """One of each; equal ones are neighbours."""
+    return F.filter(kept, lambda x, i: (i == 0) | (x != F.get(kept, i - 1)))
+
+
+def _least_of(grams: Column, window: int) -> Column:
+    minima = [lambda m, k=k: _beside(m, k, lambda x, y: F.least(x, y)) for k in _spans(window)]
+    return _let(grams, *minima, lambda m: F.slice(m, 1, F.size(m) - (window - 1)), _thin)
 
 
 def winnow_characters(text: Column) -> Column:
-    """As `winnow`, of runs of CHARS code points in windows of WINDOW; white space counts as one blank.
+    """As `winnow`, of runs of CHARS code points in windows of WINDOW; every white space counts as a blank.
 
-    A text of fewer than CHARS code points is one gram. Of fewer than 4 * WINDOW grams the windows are WINDOW / 4,
-    of fewer than WINDOW they are 1, so that a short text fills several.
+    Null and empty texts keep none. A text of fewer than CHARS code points is one gram. Of fewer than 4 * WINDOW
+    grams the windows are WINDOW / 4, of fewer than WINDOW they are 1, so that a short text fills several.
     """
-    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-    step = math.isqrt(CHARS)
-    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 32), 31) + (F.lit(_LAST) - i)
+    short = lambda t: F.array(F.shiftleft(F.pmod(F.xxhash64(t), F.lit(PRIME)), 31) + F.lit(_LAST))
+    minima = lambda g: F.when(F.size(g) >= 4 * WINDOW, _least_of(g, WINDOW)).when(F.size(g) >= WINDOW, _least_of(g, WINDOW // 4)).otherwise(g)
+    none = F.array().cast("array<bigint>")
+    return _let(_plain(text), lambda t: F.when(t == "", none).when(F.char_length(t) < CHARS, short(t)).otherwise(_let(_character_grams(t), minima)))
 
-    def grams(part: Column) -> Column:
-        """Packed grams, from the hashes of `step` code points at each place."""
-        at = F.sequence(F.lit(0), F.greatest(F.size(part) - CHARS, F.lit(0)))
-        return F.transform(at, lambda i: pack(F.xxhash64(*[F.get(part, i + j) for j in range(0, CHARS, step)]), i))
 
-    def fours(g: Column, span: int) -> Column:
-        """Minima over 4 * span grams, from those over span."""
-        return F.transform(F.slice(g, 1, F.size(g) - 3 * span), lambda x, i: F.least(x, *[F.get(g, i + j * span) for j in (1, 2, 3)]))
+def winnow_edited(kept: Column, text: Column, same: Column, more: Column) -> Column:
+    """`winnow_characters` of the first `same` code points of a text and `more`, from what the text keeps.
 
-    def thin(m: Column) -> Column:
-        """One of each; equal minima are neighbours."""
-        return F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
-
-    def minima(g: Column) -> Column:
-        wide = lambda: let(fours(g, 1), lambda m: let(fours(m, WINDOW // 4), thin))
-        return F.when(F.size(g) >= 4 * WINDOW, wide()).when(F.size(g) >= WINDOW, let(fours(g, 1), thin)).otherwise(g)
+    Windows that lie within the first part keep what they kept; only those that reach the rest are made anew.
+    """
+    full = 4 * WINDOW + CHARS - 1  # code points from which the windows are wide
+    reach = CHARS + WINDOW - 2  # of a window that begins here, the code points after the first
+    position = lambda g: F.lit(_LAST) - g.bitwiseAND(F.lit(_LAST))
 
-    def whole(chars: Column) -> Column:
-        part = F.transform(chars, lambda c, i: F.xxhash64(c, *[F.get(chars, i + j) for j in range(1, step)]))
-        return let(part, lambda p: let(grams(p), minima))
+    def first_window(g: Column, before: Column) -> Column:
+        """Where the first window begins that keeps g, if the one kept before it is `before`."""
+        enters = F.shiftrightunsigned(g, 31) <= F.shiftrightunsigned(before, 31)
+        return F.when(enters, position(g) - (WINDOW - 1)).otherwise(position(before) + 1)
 
-    return let(_plain(text), lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(let(F.split(t, ""), whole)))
+    begin = same - reach  # the first window that reaches the rest
+    old = F.filter(kept, lambda g, i: (i == 0) | (first_window(g, F.get(kept, i - 1)) < begin))
+    rest = F.concat(F.substring(text, begin + 1, F.lit(reach)), more)
+    new = F.transform(_let(_character_grams(_plain(rest)), lambda g: _least_of(g, WINDOW)), lambda g: g - begin)
+    joined = F.when(F.char_length(more) > 0, F.concat(old, new)).otherwise(old)
+    known = (F.char_length(text) >= full) & (begin > 0) & (same + F.char_length(more) >= full)
+    return F.when(known, _let(joined, _thin)).otherwise(winnow_characters(F.concat(F.substring(text, F.lit(1), same), more)))
 
 
 def gram_hashes(kept: Column) -> Column:
@@ -121,8 +158,9 @@ def gram_positions(kept: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness, 0 to 1, of two arrays of distinct hashes; two empty ones are alike."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    met = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), F.size(F.array_intersect(a, b)).alias("both"))), lambda x: F.struct((F.size(x["a"]) + F.size(x["b"]) - x["both"]).alias("either"), x["both"].alias("both")))
+    met = F.get(met, 0)
+    return F.when(met["either"] == 0, F.lit(1.0)).otherwise(met["both"] / met["either"])
 
 
 def fingerprint_text(kept: Column) -> Column:
@@ -136,62 +174,66 @@ def fingerprint(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: in
     return kept.select("doc_id", F.transform("kept", lambda g: F.shiftrightunsigned(g, 31)).alias("hashes"), gram_positions(F.col("kept")).alias("positions"))
 
 
-#: Ranges of ids within which neighbours are sought; their first ids are all that crosses ranges.
-ID_RANGES = 256
+#: Ranges of ids in which the rows are put in order; their bounds and first ids are all that the driver holds.
+RANGES = 1024
 
 
-def next_ids(ids: DataFrame, doc_id: str = "doc_id", ranges: int = ID_RANGES) -> DataFrame:
-    """doc_id, next_id of distinct ids: the next larger id, and the least after the largest.
+def _range_of(key: Column, marks: list[float]) -> Column:
+    """How many of the sorted marks are at most `key`: first by every step-th of them, then among those that follow."""
+    if not marks:
+        return F.lit(0)
+    step = math.isqrt(len(marks)) + 1
+    groups = [marks[i : i + step] for i in range(0, len(marks), step)]
+    up_to = lambda values: F.size(F.filter(values, lambda m: m <= key))
+    literal = lambda values: F.array(*[F.lit(m) for m in values])
+    passed = up_to(literal([g[0] for g in groups]))
+    return F.when(passed == 0, 0).otherwise((passed - 1) * step + up_to(F.get(F.array(*[literal(g) for g in groups]), passed - 1)))
 
-    Ids are dealt into ranges of about equal counts by approximate quantiles; each range is ordered apart,
-    and its last id is followed by the first of the next range. Null ids come before all others.
-    """
-    marks = ids.agg(F.percentile_approx(doc_id, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []  # `ranges` - 1 ids
-    marks = F.array(*[F.lit(m) for m in sorted(set(marks))]) if marks else F.array().cast("array<bigint>")
-    dealt = ids.select(doc_id, F.when(F.col(doc_id).isNull(), -1).otherwise(F.size(F.filter(marks, lambda m: m <= F.col(doc_id)))).alias("range"))
-    order = Window.partitionBy("range").orderBy(doc_id)
-    rows = dealt.select(doc_id, "range", F.lead(doc_id).over(order).alias("__next"), F.row_number().over(order).alias("__place"), F.count("*").over(Window.partitionBy("range")).alias("__n"))
-    firsts = rows.filter("__place = 1").select("range", F.col(doc_id).alias("first"))
-    table = Window.orderBy("range")  # one row for each range
-    after = firsts.select("range", F.coalesce(F.lead(F.struct("first")).over(table), F.first(F.struct("first")).over(table)).alias("follows"))
-    return rows.join(F.broadcast(after), "range").select(doc_id, F.when(F.col("__place") < F.col("__n"), F.col("__next")).otherwise(F.col("follows")["first"]).alias("next_id"))
-
-
-def edited_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", of_next: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, next_id, text, edited_text: the last quarter of every text (its length in code points by 4,
-    rounded down) replaced by as many, or all, of the first code points of the next document.
-
-    The next document is that of the next larger id, after the largest that of the least. Null texts count as
-    empty. Rows that repeat an id are each edited on their own; as a next document such an id stands for the
-    least of its starts. Whole texts are shuffled once, by id; of the next document only its start is, and
-    the columns `of_next`, given in terms of its `text` (the least value where rows repeat the id).
+
+def with_next(df: DataFrame, columns: dict[str, Column], ranges: int = RANGES) -> DataFrame:
+    """Rows of (doc_id long, text) with `columns`, and `next`: a struct of these and of doc_id and text of the row
+    that follows by doc_id, then by the hash of the text; the first follows the last. Null ids come first.
+
+    The rows are dealt into ranges by approximate quantiles of (doc_id, hash), so rows that repeat an id, or have
+    none, are dealt too, unless their texts are equal as well. Texts are shuffled once. The first row of a range
+    goes to the range before it as well, as the last row's next. `columns` are made after that, once for each row.
     """
-    of_next = of_next or {}
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    scratch = Scratch(df.sparkSession, "winnowing")
-    ids = scratch.save(docs.groupBy("doc_id").agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("quarter")))
-    follows = scratch.save(next_ids(ids.select("doc_id")).join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id"))
-    heads = docs.alias("d").join(follows.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.next_id")))
-    heads = heads.groupBy("f.doc_id").agg(F.min("f.next_id").alias("next_id"), F.min(F.substring("d.text", F.lit(1), F.col("f.quarter"))).alias("head"), *[F.min(value).alias(name) for name, value in of_next.items()])
-    both = docs.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left")
-    n = F.char_length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter))
-    return both.select("d.doc_id", "next_id", "text", edited.alias("edited_text"), *of_next)
+    # A double in the order of (doc_id, hash): rounding may make ties, never turn the order.
+    within = F.col("__hash").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    key = F.when(F.col("doc_id").isNull(), F.lit(-(2.0**64)) + within * F.lit(2.0**62)).otherwise(F.col("doc_id").cast("double") + within)
+    rows = df.select("doc_id", "text").withColumn("__hash", F.xxhash64("text"))
+    marks = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []  # `ranges` - 1 numbers
+    rows = rows.withColumn("__range", _range_of(key, sorted(set(marks))))
+    firsts = sorted(rows.groupBy("__range").agg(F.min(F.struct("doc_id", "__hash")).alias("least")).collect(), key=lambda r: r["__range"])  # a row for each range
+    if firsts:
+        before = {r["__range"]: (r["least"]["doc_id"], r["least"]["__hash"], firsts[i - 1]["__range"]) for i, r in enumerate(firsts)}
+        at = lambda k, kind: F.get(F.array(*[F.lit(before.get(r, (None,) * 3)[k]).cast(kind) for r in range(firsts[-1]["__range"] + 1)]), F.col("__range"))
+        is_first = F.col("doc_id").eqNullSafe(at(0, "long")) & (F.col("__hash") == at(1, "long"))
+        ends = F.when(is_first, F.array(F.struct(F.col("__range").alias("__in"), F.lit(False).alias("__again")), F.struct(at(2, "int").alias("__in"), F.lit(True).alias("__again"))))
+        rows = rows.select("doc_id", "text", "__hash", F.inline(F.coalesce(ends, F.array(F.struct(F.col("__range").alias("__in"), F.lit(False).alias("__again"))))))
+    else:
+        rows = rows.select("doc_id", "text", "__hash", F.col("__range").alias("__in"), F.lit(False).alias("__again"))
+    rows = rows.repartition("__in").withColumns(columns)
+    order = Window.partitionBy("__in").orderBy("__again", F.col("doc_id").asc_nulls_first(), "__hash")
+    return rows.withColumn("next", F.lead(F.struct("doc_id", "text", *columns)).over(order)).filter("not __again").drop("__hash", "__in", "__again")
 
 
 def compare_with_edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = GRAM, window: int = WINDOW, characters: bool = False) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, kept, edited_kept (packed grams), near_edited, near_next.
+    """doc_id, next_id, n_chars, edited_sha256, kept, edited_kept (packed grams), near_edited, near_next.
 
-    near_next compares with the fingerprint of the next document (its least one where rows repeat the id).
-    With `characters` the grams are those of `winnow_characters`, else k words in windows of `window`.
+    A text is edited: its last quarter (its length in code points by 4, rounded down) is replaced by as many, or
+    all, of the first code points of the next document, that of the next larger id; after the largest comes the
+    least. Null texts count as empty, null ids come first. Rows that repeat an id follow one another. An empty
+    table gives no rows. With `characters` the grams are those of `winnow_characters`, else k words in windows of
+    `window`. Every text is fingerprinted once.
     """
     kept = winnow_characters if characters else lambda t: winnow(t, k, window)
-    # Shuffled in half their width.
-    narrow = F.transform(gram_hashes(kept(F.col("text"))), lambda h: (h - F.lit(2**31)).cast("int"))
-    rows = edited_texts(df, doc_id, text, {"next_hashes": narrow})
-    wide = F.transform(F.coalesce("next_hashes", F.array().cast("array<int>")), lambda h: h.cast("bigint") + F.lit(2**31))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), kept(F.col("text")).alias("kept"), kept(F.col("edited_text")).alias("edited_kept"), wide.alias("next_hashes"))
-    # Both sets of hashes are bound once.
-    met = F.transform(F.array(F.struct("kept", "edited_kept", "next_hashes", gram_hashes(F.col("kept")).alias("own"))), lambda x: F.struct(x["kept"].alias("kept"), x["edited_kept"].alias("edited_kept"), likeness(x["own"], gram_hashes(x["edited_kept"])).alias("near_edited"), likeness(x["own"], x["next_hashes"]).alias("near_next")))
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.inline(met))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = with_next(docs, {"kept": kept(F.col("text"))})
+    n = F.char_length("text")
+    rows = rows.withColumn("same", (n - F.floor(n / 4)).cast("int")).withColumn("head", F.substring("next.text", F.lit(1), n - F.col("same")))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("same")), "head")
+    edited_kept = winnow_edited(F.col("kept"), F.col("text"), F.col("same"), F.col("head")) if characters else kept(edited)
+    rows = rows.select("doc_id", F.col("next.doc_id").alias("next_id"), n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "kept", edited_kept.alias("edited_kept"), gram_hashes(F.col("kept")).alias("own"), gram_hashes(F.col("next.kept")).alias("after"))
+    near_edited, near_next = likeness(F.col("own"), gram_hashes(F.col("edited_kept"))), likeness(F.col("own"), F.col("after"))
+    return rows.select("doc_id", "next_id", "n_chars", "edited_sha256", "kept", "edited_kept", near_edited.alias("near_edited"), near_next.alias("near_next"))

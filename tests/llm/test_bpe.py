@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -25,7 +26,7 @@ def test_random_texts(coder, plain):
     rng = random.Random(1)
     parts = [*"abst'lrevedm''   \n\t.,!1239éñß漢字🙂 　\x85", "\x1c", "ć", "½", "'s", "'ll", "'re ", " '", "  '", "\n'", "'S", "don't", " ’s"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(8000)] + ["", "a" * 4000, " " * 3000 + "x", "<|endoftext|>", "'s"]
-    for i, j, data, at in textbytes.blocks(pa.array(texts), 1 << 14):
+    for i, j, data, at, _ in textbytes.blocks(pa.array(texts), 1 << 14):
         ids, ends = coder.encode_run(data, at)
         for k in range(i, j):
             own = ids[ends[k - i] : ends[k - i + 1]]
@@ -33,6 +34,40 @@ def test_random_texts(coder, plain):
             assert bytes(coder.decode(own)) == texts[k].encode()
 
 
+def test_long_texts_come_in_parts(coder, plain):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b's", " ", "  ", "\n", " 12", "é", "漢", "!", "'ll"]) for _ in range(900)) for _ in range(20)] + ["x" * 500, " " * 500, None, ""]
+    parts = {}
+    for i, j, data, at, _ in textbytes.blocks(pa.array(texts), 64):
+        ids, ends = coder.encode_run(data, at)
+        for k in range(i, j):
+            parts[k] = parts.get(k, []) + ids[ends[k - i] : ends[k - i + 1]].tolist()
+    assert parts == {k: plain.encode_ordinary(t or "") for k, t in enumerate(texts)}
+
+
+def test_equal_hashes_do_not_make_equal_tokens(monkeypatch):
+    real = textbytes.lane_hashes
+
+    def clash(values, within, first, length, seed=0):
+        return real(values >> np.uint64(8) << np.uint64(8), within, first, length, seed)  # the first byte does not count
+
+    monkeypatch.setattr(textbytes, "lane_hashes", clash)
+    pairs = bpe.BytePairs({b"ab": 300, b"cdef": 301})
+    data = np.frombuffer(b"xb", np.uint8)
+    assert pairs.find(data, np.array([0]), np.array([2])).tolist() == [-1]
+    assert pairs.find(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2])).tolist() == [300]
+
+
+def test_repeating_words_have_hashes_of_their_own():
+    """Thue-Morse words make sums of powers equal."""
+    for n in (1024, 2048, 4096):
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        both = "".join("th"[b] for b in bits), "".join("ht"[b] for b in bits)
+        data = np.frombuffer("".join(both).encode(), np.uint8)
+        start = np.array([0, n])
+        assert all(len(set(textbytes.span_hashes(data, start, start + n, seed).tolist())) == 2 for seed in range(8))
+
+
 def test_documents(spark, docs, corpus, plain):
     ranks = bpe.load(spark, PATH)
     rows = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "text"), ranks), ranks).collect()

@@ -115,7 +115,17 @@ def test_shared_counts():
     assert (got == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]).all()
 
 
+def test_words_of_long_texts():
+    texts = ["one two  three\n" * 30, "x" * 200, None, "a b", "end " * 50]
+    whole = {i: (h.tolist(), of.tolist()) for i, _, h, of in textbytes.word_blocks(pa.array(texts[:1]))}
+    parts = list(textbytes.word_blocks(pa.array(texts), 40))
+    assert parts[0][2].tolist() == whole[0][0]
+    assert sum(len(p[2]) for p in parts) == 90 + 1 + 0 + 2 + 50 and [p[:2] for p in parts][0] == (0, 1)
+    twins = ["".join("th"[bin(i).count("1") & 1 ^ k] for i in range(2048)) for k in (0, 1)]
+    assert len({h for _, _, hashes, _ in minhash._sets(pa.array(twins)) for h in hashes.tolist()}) == 2  # Thue-Morse words
+
+
 def test_words_at_text_ends():
-    for i, j, data, at in textbytes.blocks(pa.array(["ab", "cd ef", None, "", " g"]), 4):
+    for i, j, data, at, _ in textbytes.blocks(pa.array(["ab", "cd ef", None, "", " g"]), 6):
         start, end, of = textbytes.words(data, at)
         assert [bytes(data[s:e]).decode() for s, e in zip(start, end)] == [w for t in ["ab", "cd ef", "", "", " g"][i:j] for w in t.split()]

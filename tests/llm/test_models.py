@@ -1,12 +1,15 @@
 """Language ID and toxicity: accuracy on rows that were held out."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from duskframe.llm import langid, perfect, textbytes, toxicity
+from duskframe.llm.scratch import Scratch
 
 SYLLABLES = {"en": "th er on an re he in ed nd ha at en es of or nt ea ti to it".split(), "fr": "eau oi ou ion ent que le de la é è aux tre ment ai".split(), "de": "sch ei en er ch ung ge ä ü te st be ie ver".split()}
 RUDE = {"en": ["idiot", "scum"], "fr": ["veju", "vequ"], "de": ["lowei", "lostra"]}
@@ -49,13 +52,111 @@ def test_language_without_letters(spark, docs, none):
 
 
 def test_language_counts_are_exact():
-    texts = ["Ab é", "", "漢字", "x"]
-    seen = [0] * len(texts)
-    for i, _, data, at in textbytes.blocks(pa.array(texts), 3):
-        for buckets, of in langid.gram_buckets(data, at):
-            for t in of:
-                seen[i + t] += 1
-    assert seen == [4 + 3 + 2, 0, 2 + 1, 1]
+    texts = ["Ab é", "", "漢字", "x", "漢字kana" * 9]
+    for size in (3, 20, 1 << 18):
+        seen = [0] * len(texts)
+        for i, _, data, at, lead in textbytes.blocks(pa.array(texts), size, lead=2):
+            for buckets, of in langid.gram_buckets(data, at, lead):
+                for t in of:
+                    seen[i + t] += 1
+        assert seen == [4 + 3 + 2, 0, 2 + 1, 1, 54 + 53 + 52]
+
+
+def _bucket(gram):
+    total = len(gram)
+    for c in gram:
+        total = (total * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+    total ^= total >> 29
+    return (total * 0xBF58476D1CE4E5B9) % 2**64 >> 48
+
+
+def test_language_against_a_plain_version(spark):
+    """Multinomial naive Bayes with dictionaries."""
+    rows = [tuple(r) for r in _tables(spark, 120).select("doc_id", "text", "lang").collect()] + [(900, None, "en"), (901, "", "en"), (902, "text", None)]
+    grams = lambda t: [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+    lower = lambda t: "".join(c.lower() if len(c.lower()) == 1 and ord(c) < 0x250 else c for c in t)
+    counts, priors = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            priors[lang] += 1
+            counts[lang].update(_bucket(g) for g in grams(lower(text)))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("text", "lang"))
+    for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert r["lang_pred"] == "und" and r["lang_score"] == 0
+            continue
+        total = {}
+        for lang in sorted(priors):
+            whole = sum(counts[lang].values()) + langid.ALPHA * langid.BUCKETS
+            total[lang] = math.log(priors[lang] / sum(priors.values())) + sum(math.log((counts[lang][_bucket(g)] + langid.ALPHA) / whole) for g in grams(lower(r["text"])))
+        best = max(total, key=total.get)
+        assert r["lang_pred"] == best
+        assert abs(r["lang_score"] - 1 / sum(math.exp(x - total[best]) for x in total.values())) < 1e-3
+
+
+def _plain_kneser_ney(rows):
+    """P(character | three before it) of both classes, by dictionaries of strings; rows: (text, toxic or None)."""
+    fold = lambda t: "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalnum() else " " for c in t)
+    padded = lambda t: "   " + fold(t)
+    grams = lambda t: [padded(t)[i : i + 4] for i in range(len(fold(t)))]
+    every = {g for t, _ in rows for g in grams(t)}
+    levels = {4: [Counter(g for t, c in rows if c == k for g in set(grams(t))) for k in (0, 1)]}
+    types = every
+    for m in (3, 2, 1):
+        levels[m] = Counter(g[1:] for g in types)
+        types = set(levels[m])
+
+    def cut(counts):
+        d = toxicity.discounts([sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)])
+        return {g: d[min(n, 3) - 1] for g, n in counts.items()}
+
+    def contexts(counts, d):
+        total, taken = Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            taken[g[:-1]] += d[g]
+        return total, taken
+
+    made = {m: (counts, d := cut(counts), *contexts(counts, d)) for m in (1, 2, 3) for counts in [levels[m]]}
+    made |= {(4, k): (counts, d := cut(counts), *contexts(counts, d)) for k, counts in enumerate(levels[4])}
+
+    def p(gram, key):
+        counts, d, total, taken = made[key]
+        m = len(gram)
+        lower = 1 / (len(levels[1]) + 1) if m == 1 else p(gram[1:], m - 1)
+        u = gram[:-1]
+        return (counts.get(gram, 0) - d.get(gram, 0) + taken[u] * lower) / total[u] if total[u] else lower
+
+    return lambda text: sum(math.log(p(g, (4, 1)) / p(g, (4, 0))) for g in grams(text)) / (len(fold(text)) + toxicity.SHORT)
+
+
+def test_toxicity_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 500)
+    rows = [(r["doc_id"], r["text"], r["toxic"]) for r in _tables(spark, 60).collect()]
+    rows += [(1000 + i, t, c) for i, (t, c) in enumerate([("Élan  — 漢字 x9", 1), ("zzzz zzzz", None), ("", 0), (_doc(random.Random(1), "en", 1) * 3, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.ToxicityModel(toxicity.gram_counts(df.select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))), Scratch(spark, "test"))
+    plain = _plain_kneser_ney([(t, c) for _, t, c in rows])
+    asked = rows + [(2000, "unseen Ünseen qqq 漢 x", None)]
+    for size in (64, 1 << 18):
+        out = {}
+        for i, j, data, at, lead in textbytes.blocks(pa.array([t for _, t, _ in asked]), size, lead=3):
+            total, n = model.compare(data, at, lead)
+            for k in range(i, j):
+                a, b = out.get(k, (0.0, 0))
+                out[k] = a + total[k - i], b + n[k - i]
+        for k, (_, t, _) in enumerate(asked):
+            assert abs(out[k][0] / (out[k][1] + toxicity.SHORT) - plain(t)) < 1e-6, t
+    got = {r["doc_id"]: r["difference"] for r in toxicity.differences(df, model).collect()}
+    assert all(abs(got[d] - plain(t)) < 1e-6 for d, t, _ in rows)
+
+
+def test_toxicity_folds_tables_beyond_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 512)
+    rows = _tables(spark, 300)
+    model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.col("doc_id") % 5 != 0)
+    assert len(model.tables[4].values) <= 513 and model.tables[4].folded
+    assert all(0 <= r["toxic_score"] <= 1 for r in toxicity.score(rows, model).collect())
 
 
 def test_toxicity_held_out(spark):

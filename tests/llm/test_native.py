@@ -1,11 +1,13 @@
 """License scans, mixing, winnowing, sharding."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
 
 import xxhash
+from pyspark.sql import functions as F
 
 from duskframe.llm import catalog, licenses, mixing, sharding, winnowing
 
@@ -148,19 +150,18 @@ def test_winnowing_odd_tables(spark, none):
 
 
 def _plain_characters(text, k=16):
-    points = re.sub(r"[\x20\x09-\x0D]+", " ", text or "").strip(" ")
-    h = lambda parts, seed=42: xxhash.xxh64_intdigest(b"".join(parts), seed)
-
-    def fold(values):
-        seed = 42
-        for v in values:
-            seed = h([v], seed)
-        return seed
-
+    """Rolling: each gram's value from the one before it."""
+    base, prime = winnowing.BASE, winnowing.PRIME
+    points = [ord(c) for c in re.sub(r"[\x20\x09-\x0D]", " ", text or "")]
     if not points:
         return []
-    four = [fold([c.encode() for c in points[i : i + 4]]) for i in range(len(points))]
-    grams = [fold([four[i + j].to_bytes(8, "little") for j in range(0, k, 4) if i + j < len(points)]) >> 32 for i in range(max(1, len(points) - k + 1))]
+    if len(points) < k:
+        return [(_signed(xxhash.xxh64_intdigest("".join(map(chr, points)).encode(), 42)) % prime, 0)]
+    value, grams = 0, []
+    for i, c in enumerate(points):
+        value = (value * base + c - (points[i - k] * pow(base, k, prime) if i >= k else 0)) % prime
+        if i >= k - 1:
+            grams.append(value)
     window = 16 if len(grams) >= 64 else 4 if len(grams) >= 16 else 1
     kept = []
     for i in range(len(grams) - window + 1):
@@ -177,24 +178,60 @@ def test_winnowing_of_characters(spark, docs, corpus):
         assert rows[doc_id] == _plain_characters(text), doc_id
 
 
+def _check_op4(texts, rows):
+    """Rows of op4 by id against the plain version."""
+    ids = sorted(texts)
+    fp = {i: _plain_characters(texts[i]) for i in ids}
+    show = lambda kept: " ".join(f"{h:x}@{p}" for h, p in kept)
+    like = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+    for place, i in enumerate(ids):
+        text, follows = texts[i], ids[(place + 1) % len(ids)]
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + texts[follows][:quarter]
+        kept, r = _plain_characters(edited), rows[i]
+        a, b, c = ({h for h, _ in x} for x in (fp[i], kept, fp[follows]))
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == show(fp[i]) and r["edited_fingerprint"] == show(kept), i
+        assert abs(r["near_edited"] - like(a, b)) < 1e-12 and abs(r["near_next"] - like(a, c)) < 1e-12
+
+
+def test_op4_against_a_plain_version(spark, corpus, tmp_path):
+    rng = random.Random(9)
+    texts = {c[0]: c[1] or "" for c in corpus}
+    for i in range(300):  # lengths about those at which windows change, few letters, so that hashes tie
+        texts[5000 + i] = "".join(rng.choice("ab \n") for _ in range(rng.randint(60, 130))) if i % 3 else "".join(rng.choice("ab😀é") for _ in range(rng.randint(0, 400)))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in catalog.op4_winnowing(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    _check_op4(texts, rows)
+
+
 def test_op4_sees_texts_without_blanks_and_short_texts(spark, tmp_path):
     rng = random.Random(2)
-    han = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400)) for _ in range(2)]
-    han.append(han[0][:100] + han[1][100:200])  # the end of the second, the start of the first
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(2000)) for _ in range(2)]
+    near = han[0][:999] + "x" + han[0][1000:]
     short = ["The quick brown fox jumps over the lazy dog near the river bank.", "Pack my box with five dozen liquor jugs, then go home at once."]
-    rows = list(enumerate([han[1], han[2], "😀 mixed", *short]))
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = dict(enumerate([han[0], near, han[1], "😀 mixed", *short]))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = {r["doc_id"]: r for r in catalog.op4_winnowing(spark, str(tmp_path)).collect()}
-    assert len(out) == len(rows)
-    assert 0.4 < out[0]["near_edited"] < 1 and out[0]["near_next"] > 0.05
-    assert all(0.2 < out[i]["near_edited"] < 1 for i in (3, 4))
-    assert all(len(out[i]["fingerprint"].split(" ")) > 4 for i in (0, 1, 3, 4))
+    _check_op4(texts, out)
+    assert out[0]["near_next"] > 0.8 and 0.5 < out[0]["near_edited"] < 1
+    assert all(0.2 < out[i]["near_edited"] < 1 for i in (4, 5))
+
+
+def test_next_rows(spark):
+    rows = spark.range(0, 5000, 7).selectExpr("id as doc_id", "cast(id as string) as text")
+    found = {r["doc_id"]: r["next"] for r in winnowing.with_next(rows, {}, ranges=16).collect()}
+    assert len(found) == 715 and all(n["doc_id"] == (d + 7 if d + 7 < 5000 else 0) and n["text"] == str(n["doc_id"]) for d, n in found.items())
 
 
-def test_next_ids(spark):
-    ids = spark.range(0, 5000, 7).toDF("doc_id")
-    rows = {r["doc_id"]: r["next_id"] for r in winnowing.next_ids(ids, ranges=16).collect()}
-    assert len(rows) == 715 and all(n == (d + 7 if d + 7 < 5000 else 0) for d, n in rows.items())
+def test_next_rows_of_hot_ids(spark):
+    """Rows without an id, and rows of one id, are dealt to many ranges; each row has a next one."""
+    rows = spark.range(30_000).selectExpr("case when id < 10000 then null when id < 20000 then 7 else id end as doc_id", "cast(id as string) as text")
+    out = winnowing.with_next(rows, {}, ranges=64)
+    assert out.select("doc_id", "text").distinct().count() == 30_000 and out.select("next.doc_id", "next.text").distinct().count() == 30_000
+    ordered = {(r["doc_id"], r["text"]): (r["next"]["doc_id"], r["next"]["text"]) for r in out.collect()}
+    assert sum(a[0] is None and b[0] is not None for a, b in ordered.items()) == 1 and sum(a[0] == 7 and b[0] != 7 for a, b in ordered.items()) == 1
 
 
 def test_sharding(spark, docs):
@@ -211,6 +248,25 @@ def test_sharding(spark, docs):
     assert {r["s"] for r in weighted} == {0, 1} and abs(max(r["count"] for r in weighted) - 15_000) < 400
 
 
+def test_sharding_against_a_plain_version(spark):
+    """Rendezvous hashing with the hash library."""
+
+    def chain(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x, seed)
+        return seed
+
+    def shard(key, weights):
+        stem = chain((0).to_bytes(4, "little"), key.encode())
+        race = [(-math.log(((chain(stem.to_bytes(8, "little"), s.to_bytes(4, "little")) >> 11) + 1) * 2.0**-53) / w, s) for s, w in enumerate(weights)]
+        return min(race)[1]
+
+    weights = [1.0, 2.0, 1.0, 0.5, 3.0]
+    for r in sharding.shard_records(spark.range(500).toDF("doc_id"), "doc_id", weights, [*weights, 1.0]).collect():
+        assert r["shard"] == shard(str(r["doc_id"]), weights) and r["grown_shard"] == shard(str(r["doc_id"]), [*weights, 1.0])
+
+
 def test_sharding_repeats_and_empty(spark, none):
     rows = sharding.shard_records(spark.createDataFrame([(1,), (1,), (None,), (None,)], "doc_id long"), "doc_id", [1.0] * 3).collect()
     assert len(rows) == 4 and len({r["shard"] for r in rows if r["doc_id"] == 1}) == 1

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -77,7 +78,7 @@ def test_against_the_library(model, plain):
     parts = [*"abcdefgthe  .,!19éßø", "the", " of", "tion", "ing", " a"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["", "a" * 40, "the of the house"]
     got = []
-    for _, _, data, at in textbytes.blocks(pa.array(texts), 1 << 12):
+    for _, _, data, at, _ in textbytes.blocks(pa.array(texts), 1 << 12):
         got += counter.count_run(data, at).tolist()
     for text, n in zip(texts, got):
         assert n in best_counts(plain, text), text
@@ -94,6 +95,19 @@ def test_unknown_characters_count_as_bytes():
     assert tokens.UnigramCounter([("a", -1.0)], byte_fallback=False).count("漢") == 1
 
 
+def test_equal_hashes_do_not_make_equal_counts(model, monkeypatch):
+    """Segments are told apart by their bytes, in a task of any company; long texts come in parts."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    texts = ["".join("th"[b] for b in bits), "".join("ht"[b] for b in bits), "a  bc the  end " * 40, "the", "tha", "thb x"]
+    alone = [tokens.UnigramCounter(tokens.read_pieces(model)).count("▁" + t.replace(" ", "▁")) for t in texts]
+    for size, hashes in ((1 << 16, textbytes.lane_hashes), (64, textbytes.lane_hashes), (1 << 16, lambda values, within, first, length, seed=0: np.zeros(len(length), np.uint64))):
+        monkeypatch.setattr(textbytes, "lane_hashes", hashes)
+        counter, total = tokens.UnigramCounter(tokens.read_pieces(model)), np.zeros(len(texts), int)
+        for i, j, data, at, part in textbytes.blocks(pa.array(texts), size):
+            total[i:j] += counter.count_run(data, at, part == -1)
+        assert total.tolist() == alone
+
+
 def test_documents(spark, docs, corpus, model):
     rows = {r["doc_id"]: r["n_tokens"] for r in tokens.count_documents(docs, tokens.load(spark, PATH)).collect()}
     exact = tokens.UnigramCounter(tokens.read_pieces(model))

@@ -15,9 +15,9 @@ a pair shares fewer with a probability of 5e-6. Candidates are confirmed on the
    leader form clusters with it, so a group of edited copies is one cluster, whatever its size;
 3. within a cluster all pairs meet as a product of 0/1 matrices, in tiles of TILE x TILE sets, so no table
    of pairs is made; of a tile only the links' components come out, a row for each set at most;
-4. candidates in different clusters that are still in different components meet one by one.
-
-A hot set of step 4 is dealt to its mates by salt, so no task holds all of them.
+4. candidates that are in different clusters and still in different components share two buckets: such buckets
+   of two keys, whose members all are candidates of one another, are met in tiles as clusters are. Buckets of
+   one key that hold many sets of no more than that in common thus make no pairs, however long they are.
 """
 
 from __future__ import annotations
@@ -47,8 +47,6 @@ TILE = 512
 COLUMNS = 4096
 #: Sets, a copy for each of their tiles, of the small tiles that are met together.
 BUNDLE = 1000
-#: Mates that meet one copy of a set.
-SALT = 256
 
 _EMPTY = np.uint64(2**64 - 1)
 _ROUND = 0xA0761D6478BD642F
@@ -145,23 +143,6 @@ def shingle_sets(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(_set_batches, schema)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are alike enough. A pair is met once for each pair of its texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(shingle_sets(docs.join(ids, "doc_id", "left_semi")))
-    salts = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts")))
-    leaders = sets.join(salts, F.col("doc_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("set_a"))
-    dealt = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    mates = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    met = mates.join(leaders, ["a", "salt"])
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    met = met.filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
-    out = scratch.save(met.select("a", "b").distinct())
-    scratch.drop(sets)
-    scratch.drop(salts)
-    return out
-
-
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Numbers of common elements of all sets of `left` with all of `right`."""
     total = np.zeros((len(left), len(right)), np.float32)
@@ -215,7 +196,7 @@ def _link_tiles(percent: int):
 
 
 def _link_clusters(clusters: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) that span the components within each cluster of (id, cluster)."""
+    """Links (a, b) that span the components within each cluster of (id, cluster); an id may be in several."""
     sizes = scratch.save(clusters.groupBy("cluster").agg(F.count("*").alias("members")).select("cluster", F.ceil(F.col("members") / TILE).cast("int").alias("chunks")))
     rows = clusters.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = scratch.save(rows)
@@ -263,16 +244,14 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     placed = members.select("key", "id").join(clusters, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
     placed = placed.select("key", "id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("cluster").alias("p"), F.max("cluster").alias("q")).filter("p < q").select("key")
-    sketch = rows.filter("bands is not null").select(F.col("rep").alias("id"), "n", "bands").dropDuplicates(["id", "bands"])
-    placed = scratch.save(placed.join(mixed, "key", "left_semi").join(sketch, "id"))
-    x, y = placed.alias("x"), placed.alias("y")
-    common = F.array_intersect("x.bands", "y.bands")
-    # Of the buckets that a pair shares, one gives it; sets of too different sizes can't be alike.
-    alike = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.cluster") != F.col("y.cluster")) & (F.col("x.part") != F.col("y.part"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & alike & (F.size(common) >= SHARED) & (F.array_min(common) == F.col("x.key")))
-    pairs = scratch.save(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    links = links.unionByName(_confirm(pairs, docs, scratch, percent))
+    placed = placed.join(mixed, "key", "left_semi").groupBy("id", "part").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # BANDS keys for each text
+    twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda l: F.struct(k.alias("k"), l.alias("l")))))
+    placed = scratch.save(placed.select("id", "part", F.inline(twos)))
+    buckets = placed.groupBy("k", "l").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("p < q")
+    # Of buckets of the same members one is met.
+    once = scratch.save(buckets.groupBy("n", "who").agg(F.min(F.struct("k", "l")).alias("kl")).select("kl.k", "kl.l"))
+    apart = scratch.save(placed.join(once, ["k", "l"]).select("id", F.xxhash64("k", "l").alias("cluster")).distinct())
+    links = links.unionByName(_link_clusters(apart, docs, scratch, percent))
 
     parts = connected_components(links.unionByName(copies), scratch)
     out = drawn.select("doc_id", "n_shingles").join(parts, F.col("doc_id") == F.col("node"), "left")

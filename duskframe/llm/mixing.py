@@ -137,14 +137,28 @@ def apply_mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     """The mix itself: the rows of `df`, each as often as it is taken; columns as in `df`.
 
     Only ids, sources and sizes go through the rounding; the texts meet their numbers of copies in one join
-    at the end. Rows that share an id are told apart by source and size.
+    at the end. Rows that share an id, or have none, are told apart by source and size. Rows that share these
+    too are numbered, in blocks of about REPEATS by the hashes of their texts: the first so many are taken
+    `most` times, the next once less, and so on. Null and blank texts are not taken; an empty table gives no rows.
     """
     mixed = mix_sources(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), **options)
+    most = options.get("most", 3)
     # Nulls are equal in structs; the sizes are never null, so both sides have one type.
     key = lambda d, n, s: F.struct(d.alias("doc_id"), F.coalesce(n, F.lit(0).cast("long")).alias("size"), s.alias("source"))
-    lists = mixed.groupBy(key(F.col("doc_id"), F.col("size"), F.col("source")).alias("__key")).agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+    keyed = mixed.groupBy(key(F.col("doc_id"), F.col("size"), F.col("source")).alias("__key"))
+    # How many rows are taken c times or more, for c = 1, 2, ...
+    shares = keyed.agg(F.count("*").alias("__rows"), *[F.count_if(F.col("copies") >= c).alias(f"__at_least_{c}") for c in range(1, most + 1)]).filter("__at_least_1 > 0")
+    shares = Scratch(df.sparkSession, "mix").save(shares.withColumn("__blocks", F.ceil(F.col("__rows") / REPEATS).cast("int")))
+    # Keys of several blocks are few: their blocks are counted, and each begins where those before it end.
+    wide = shares.filter("__blocks > 1").select("__key", "__blocks")
+    block = F.pmod(F.xxhash64(F.col(text)), F.col("__blocks")).cast("int")
     rows = df.withColumn("__key", key(F.col(doc_id), word_count(F.col(text)), F.col(source)))
-    # The window and the join have one key, so whole texts are shuffled and sorted once.
-    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).join(lists, "__key")
-    copies = F.element_at("__copies", F.col("__place"))
+    counted = rows.select("__key", text).join(wide, "__key").groupBy("__key", block.alias("__block")).agg(F.count("*").alias("__n"))
+    begins = F.coalesce(F.sum("__n").over(Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = counted.select(F.col("__key").alias("__key_of"), F.col("__block").alias("__block_of"), begins.alias("__begin"))
+    rows = rows.join(shares, "__key").withColumn("__block", block)
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key", "__block").orderBy("__key")))
+    rows = rows.join(begins, (F.col("__key") == F.col("__key_of")) & (F.col("__block") == F.col("__block_of")), "left")
+    place = F.col("__place") + F.coalesce("__begin", F.lit(0))
+    copies = sum((F.when(place <= F.col(f"__at_least_{c}"), 1).otherwise(0) for c in range(2, most + 1)), F.when(place <= F.col("__at_least_1"), 1).otherwise(0))
     return rows.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(c) for c in df.columns])

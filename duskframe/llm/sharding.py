@@ -33,10 +33,11 @@ def rendezvous_shard(key: Column, weights: Sequence[float], seed: int = 0) -> Co
 
 
 def number_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", blocks: int = SLOT_BLOCKS, n_shards: int | None = None) -> DataFrame:
-    """Add `slot`: 0, 1, 2, ... without gaps within each shard.
+    """Add `slot`: 0, 1, 2, ... without gaps within each shard; a column of that name is replaced.
 
-    A shard's rows are dealt into hashed blocks that are numbered apart and put behind one another by a
-    running sum of block counts, so no task sorts a whole shard. Repeated rows get slots of their own.
+    A shard's rows are dealt into blocks, by a hash of `order`, that are numbered apart and put behind one another
+    by a running sum of block counts, so no task sorts a whole shard. Rows that are equal in `order` share a
+    block and get slots of their own.
     """
     block = F.pmod(F.xxhash64(F.lit("slot"), *[F.col(c) for c in order]), F.lit(blocks)).cast("int")
     rows = df.withColumn("__block", block)
@@ -51,10 +52,14 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "s
 def shard_records(df: DataFrame, key: str, weights: Sequence[float], grown_weights: Sequence[float] | None = None, seed: int = 0) -> DataFrame:
     """Add `shard`, `slot` and, with `grown_weights`, `grown_shard` to every row of `df`.
 
-    The key alone decides; equal texts under different keys may part. Null keys share one shard; an empty
-    table gives an empty result; other columns pass through.
+    The key alone decides on shards; equal texts under different keys may part. Null keys share one shard. Slots
+    go by all columns that can be hashed, so the rows of one key, or without one, are dealt to many blocks unless
+    they are equal as a whole. An empty table gives an empty result. Columns of the three names are replaced,
+    other columns pass through.
     """
+    df = df.drop("shard", "slot", "grown_shard")
+    spread = [c for c, kind in df.dtypes if c != key and not kind.startswith(("map", "variant"))]
     out = df.withColumn("shard", rendezvous_shard(F.col(key), weights, seed))
     if grown_weights is not None:
         out = out.withColumn("grown_shard", rendezvous_shard(F.col(key), grown_weights, seed))
-    return number_slots(out, "shard", [key], n_shards=len(weights))
+    return number_slots(out, "shard", [key, *spread], n_shards=len(weights))

@@ -1,4 +1,5 @@
 import os
+import random
 import re
 import time
 
@@ -57,6 +58,24 @@ def test_large_groups_in_several_tiles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(df).collect()} == plain_groups(rows)
 
 
+def test_long_buckets_of_unlike_sets(spark, monkeypatch):
+    """Texts around a shared passage fill buckets without being near copies; a few of them are."""
+    monkeypatch.setattr(minhash, "TILE", 64)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for d in range(500):
+        share = 60 if d % 2 else rng.randint(40, 60)
+        own = [f"o{d}-{i}" for i in range(25)]
+        rows.append((d, " ".join(own[:12] + passage[:share] + own[12:])))
+        if d % 50 == 0:
+            rows.append((1000 + d, " ".join(own[:12] + passage[:share] + own[12:-1] + ["z"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = plain_groups(rows)
+    assert 10 <= len(rows) - len(set(expected.values()))
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(df).collect()} == expected
+
+
 def test_no_task_holds_more_than_a_few_tiles(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(minhash, "TILE", 16)
     link = minhash._link_tiles

@@ -95,6 +95,15 @@ def test_mixing_repeats_and_empty(spark, none):
     assert mixing.apply_mix(odd).count() == sum(r["copies"] for r in mixed)
 
 
+def test_mixing_of_a_hot_key(spark):
+    """Rows without an id, of one size and source: numbered in blocks, equal texts among them."""
+    rows = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "case when id % 3 = 0 then 'b' else 'a' end as source", "case when id % 5 = 0 then 'x y' else concat('w ', id) end as text")
+    taken = {r["source"]: r["n"] for r in mixing.mix_sources(rows).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    mixed = mixing.apply_mix(rows)
+    assert {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()} == taken
+    assert mixed.filter("text != 'x y'").groupBy("text").count().filter("count > 3").count() == 0
+
+
 def _signed(x):
     return x - 2**64 if x >= 2**63 else x
 
@@ -267,6 +276,16 @@ def test_sharding_against_a_plain_version(spark):
         assert r["shard"] == shard(str(r["doc_id"]), weights) and r["grown_shard"] == shard(str(r["doc_id"]), [*weights, 1.0])
 
 
+def test_sharding_of_one_key(spark):
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "id as size", "'mine' as shard", "1.5 as slot")
+    out = sharding.shard_records(rows, "doc_id", [1.0] * 4, [1.0] * 5)
+    assert set(out.columns) == {"doc_id", "size", "shard", "grown_shard", "slot"}
+    got = out.collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(20_000))
+    again = sharding.shard_records(rows.repartition(5), "doc_id", [1.0] * 4, [1.0] * 5).collect()
+    assert {r["size"]: r["slot"] for r in got} == {r["size"]: r["slot"] for r in again}
+
+
 def test_sharding_repeats_and_empty(spark, none):
     rows = sharding.shard_records(spark.createDataFrame([(1,), (1,), (None,), (None,)], "doc_id long"), "doc_id", [1.0] * 3).collect()
     assert len(rows) == 4 and len({r["shard"] for r in rows if r["doc_id"] == 1}) == 1

@@ -68,12 +68,15 @@ def box_text(box: Column) -> Column:
 
 
 def degrees_minutes_seconds(value: Column) -> Column:
-    """struct(degrees, minutes, seconds) of a decimal coordinate."""
-    size = F.abs(value)
-    degrees = F.floor(size)
-    minutes = F.floor((size - degrees) * 60)
-    seconds = F.round(((size - degrees) * 60 - minutes) * 60, 4)
-    return F.struct(degrees.cast("int").alias("degrees"), minutes.cast("int").alias("minutes"), seconds.alias("seconds"))
+    """struct(degrees, minutes, seconds) of a decimal coordinate; all three have its sign."""
+    degrees = value.cast("int")
+    minutes = ((value - degrees) * 60).cast("int")
+    return F.struct(degrees.alias("degrees"), minutes.alias("minutes"), ((value - degrees - minutes / 60) * 3600.0).alias("seconds"))
+
+
+def box_of_json(text: Column) -> Column:
+    """A box that is kept as a JSON array; null where the text is none."""
+    return F.from_json(text, "array<double>")
 
 
 def compass(value: Column, positive: str, negative: str) -> Column:

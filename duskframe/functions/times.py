@@ -38,6 +38,16 @@ def clock_label(seconds: Column) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
 
 
+def seconds_per_item(seconds: Column, items: Column) -> Column:
+    """Null for no items."""
+    return F.when(items > 0, seconds / items)
+
+
+def batches(items: Column, size: int) -> Column:
+    """Batches of `size` that so many items fill, the last one perhaps in part."""
+    return F.ceil(items / F.lit(float(size))).cast("long")
+
+
 def timestamp_in_name(path: Column) -> Column:
     """The first 14 digits in a row of a file's name as a timestamp, else the whole stem read as a date; else null."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")

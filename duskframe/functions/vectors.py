@@ -10,9 +10,14 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is made once, as a lambda variable."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def l1_normalize(values: Column) -> Column:
     """Divided by the sum."""
-    return F.transform(values, lambda x: x.cast("double") / total(values))
+    return _bound(F.struct(values.alias("v"), total(values).alias("t")), lambda x: F.transform(x["v"], lambda v: v.cast("double") / x["t"]))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,9 +29,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda v: F.exp(v.cast("double") - top.cast("double")))
-    return F.transform(powers, lambda p: p / total(powers))
+    powers = lambda x: F.transform(x["v"], lambda v: F.exp(v.cast("double") - x["top"]))
+    return _bound(F.struct(logits.alias("v"), F.array_max(logits).cast("double").alias("top")), lambda x: _bound(powers(x), l1_normalize))
 
 
 def argmax(values: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import POSITIVE_LABEL
+from .detections import previous_frame_pairs
 
 
 @dataclass(frozen=True)
@@ -59,9 +60,14 @@ def status_table(images: DataFrame, detections: DataFrame) -> DataFrame:
     return out.withColumn("status", word)
 
 
-def global_counts(rows: DataFrame) -> DataFrame:
-    """One row: rows, waiting rows, rows that were never processed; without scopes."""
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("in_queue").eqNullSafe(True)).alias("queued"), F.count_if(F.col("last_processed").isNull()).alias("unprocessed"))
+def global_counts(images: DataFrame, detections: DataFrame) -> DataFrame:
+    """queue, queued, unprocessed over whole tables, without scopes: photos, objects without a binary label, and
+    objects that have one but no species."""
+    waits = F.col("in_queue").eqNullSafe(True)
+    photos = images.agg(F.count_if(waits).alias("queued"), F.count_if(F.col("last_processed").isNull()).alias("unprocessed")).select(F.lit("images").alias("queue"), "queued", "unprocessed")
+    kinds = {"unclassified_objects": F.col("binary_label").isNull(), "unclassified_species": F.col("specific_label").isNull() & F.col("binary_label").isNotNull()}
+    counts = detections.agg(*[F.struct(F.lit(name).alias("queue"), F.count_if(waits & is_open).alias("queued"), F.count_if(is_open).alias("unprocessed")).alias(name) for name, is_open in kinds.items()])
+    return photos.unionByName(counts.select(F.inline(F.array(*kinds))))
 
 
 def _flag(rows: DataFrame, ids: DataFrame, value: bool, when: Column | None = None) -> DataFrame:
@@ -80,6 +86,24 @@ def clear(rows: DataFrame, queue: Queue) -> DataFrame:
     return _flag(rows, scope(rows, queue), False)
 
 
+def clear_all(images: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with every queue cleared."""
+    for queue in QUEUES.values():
+        if queue.name == "source_images":
+            images = clear(images, queue)
+        else:
+            detections = clear(detections, queue)
+    return images, detections
+
+
+def pull_with_previous(rows: DataFrame, queue: Queue, n: int, previous: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As `pull`, with previous_ids: the detections of the photo before, in order; `previous` has id and
+    previous_image of the photos."""
+    taken, after = pull(rows, queue, n)
+    pairs = previous_frame_pairs(taken, rows, previous).groupBy("id").agg(F.sort_array(F.collect_list("previous_id")).alias("previous_ids"))
+    return taken.join(pairs, "id", "left").withColumn("previous_ids", F.coalesce("previous_ids", F.array().cast("array<bigint>"))), after
+
+
 def pull(rows: DataFrame, queue: Queue, n: int) -> tuple[DataFrame, DataFrame]:
     """(the first n waiting rows by id, the table in which they no longer wait)."""
     taken = scope(rows, queue).filter(F.col("in_queue").eqNullSafe(True)).filter(queue.open).filter(queue.pull).orderBy("id").limit(n)

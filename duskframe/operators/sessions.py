@@ -73,11 +73,49 @@ def neighbours(images: DataFrame, key: str = "monitoring_session_id") -> DataFra
     Photos of one time are no neighbours of each other, so the frames end a microsecond off.
     """
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp"))
-    rows = images.withColumn("__at", at)
-    part = Window.partitionBy(key).orderBy("__at")
-    earlier = F.max_by("id", F.struct("__at", "id")).over(part.rangeBetween(Window.unboundedPreceding, -1))
-    later = F.min_by("id", F.struct("__at", "id")).over(part.rangeBetween(1, Window.unboundedFollowing))
-    return rows.withColumns({"previous_image": earlier, "next_image": later}).drop("__at")
+    rows = images.withColumn("__at", at).withColumn("__back", -F.col("__at"))
+    # Both frames begin at an end and grow: one that shrinks would be summed anew for each row.
+    before = lambda order: Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = F.max_by("id", F.struct("__at", "id")).over(before("__at"))
+    later = F.min_by("id", F.struct("__at", "id")).over(before("__back"))
+    return rows.withColumns({"previous_image": earlier, "next_image": later}).drop("__at", "__back")
+
+
+def previous_in_batch(images: DataFrame, batch: str) -> DataFrame:
+    """Add previous_image: the photo before in its batch, by time (the rule of batches that know no sessions)."""
+    return images.withColumn("previous_image", F.lag("id").over(Window.partitionBy(batch).orderBy("timestamp", "id")))
+
+
+def in_order(sessions: DataFrame, base_directory: str | None = None, by: str = "start_time") -> DataFrame:
+    """Sessions, of one directory if it is named, in order of start or of `day`."""
+    rows = sessions if base_directory is None else sessions.filter(F.col("base_directory") == base_directory)
+    return rows.orderBy(F.asc_nulls_last(by), "id")
+
+
+def count_known(sessions: DataFrame, base_directory: str) -> DataFrame:
+    """One row: the number of sessions of a directory."""
+    return sessions.filter(F.col("base_directory") == base_directory).agg(F.count("*").alias("count"))
+
+
+def captures(images: DataFrame, session_id: int, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Photos of a session in order of time, or a page of them."""
+    rows = images.filter(F.col("monitoring_session_id") == session_id).orderBy("timestamp", "id").offset(offset)
+    return rows if limit is None else rows.limit(limit)
+
+
+def capture_items(images: DataFrame) -> DataFrame:
+    """What a list of photos shows of each."""
+    return images.select("id", F.col("path").alias("source_image"), "timestamp", "last_read", "last_processed", "in_queue", F.coalesce("num_detected_objects", F.lit(0)).alias("num_detections"))
+
+
+def capture_details(images: DataFrame, sessions: DataFrame, items: DataFrame) -> DataFrame:
+    """Photos with the day of their session and their detections, nested, in order of id. `items` are rows of
+    `detections.list_items` with image_id."""
+    names = [c for c in items.columns if c != "image_id"]
+    nested = items.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("detections"))
+    days = sessions.select(F.col("id").alias("monitoring_session_id"), F.col("day").alias("event"))
+    rows = images.join(days, "monitoring_session_id", "left").join(nested, images["id"] == nested["image_id"], "left").drop("image_id")
+    return rows.withColumn("detections", F.coalesce("detections", F.array()))
 
 
 def cyclic_neighbours(images: DataFrame, key: str = "monitoring_session_id") -> DataFrame:

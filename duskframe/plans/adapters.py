@@ -36,9 +36,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 41 != 0, box).alias("bbox"), F.concat(F.lit("crop_"), n.cast("string"), F.lit(".jpg")).alias("path"),
         binary.alias("binary_label"), F.when(n % 17 != 0, F.round(F.least(F.col("value") / 50.0, F.lit(1.0)), 6)).alias("binary_label_score"),
         F.when(named, F.concat(F.lit("species_"), (n % 25).cast("string"))).alias("specific_label"), F.when(named, F.round(F.least(F.col("value") / 100.0, F.lit(1.0)), 6)).alias("specific_label_score"),
-        F.when(n % 31 != 0, n % 3 == 0).alias("in_queue"), F.when(n % 5 != 0, F.col("ts")).alias("last_processed"), F.when(n % 7 != 0, n % 500).alias("feature_id"), sequence.alias("sequence_id"),
+        F.when(n % 31 != 0, n % 3 == 0).alias("in_queue"), F.when(n % 5 != 0, F.col("ts")).alias("last_processed"), F.timestamp_add("SECOND", (n * 7919 % 100000).cast("int"), F.col("ts")).alias("last_detected"), F.when(n % 7 != 0, n % 500).alias("feature_id"), sequence.alias("sequence_id"),
     )
-    place = Window.partitionBy("sequence_id").orderBy("timestamp", "id")
+    # Rows without a track are each on their own, not one group.
+    place = Window.partitionBy("sequence_id", F.when(F.col("sequence_id").isNull(), F.col("id"))).orderBy("timestamp", "id")
     return e.withColumn("sequence_frame", F.when(F.col("sequence_id").isNotNull(), F.row_number().over(place) - 1).cast("int")).withColumn("area_pixels", geometry.area(F.col("bbox")).cast("int"))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import geometry, strings, times, vectors
 from ..operators import dedupe, inference, occurrences, queues, sessions, tracking, upserts
 from ..operators import detections as objects
@@ -180,7 +181,7 @@ def neighbour_images(spark, d):
 
 @query
 def previous_frame_pairs(spark, d):
-    return objects.previous_frame_pairs(a.detections(spark, d), sessions.neighbours(a.images(spark, d)))
+    return objects.previous_frame_pairs(a.detections(spark, d), a.detections(spark, d), sessions.neighbours(a.images(spark, d)))
 
 
 @query
@@ -251,7 +252,18 @@ def queue_status(spark, d):
 
 @query
 def queue_counts_global(spark, d):
-    return queues.global_counts(a.detections(spark, d))
+    return queues.global_counts(a.images(spark, d), a.detections(spark, d))
+
+
+@query
+def queue_clear_all(spark, d):
+    return queues.clear_all(a.images(spark, d), _queued(spark, d))[1].select("id", "in_queue")
+
+
+@query
+def queue_pull_pairs(spark, d):
+    taken = queues.pull_with_previous(_queued(spark, d), queues.QUEUES["untracked_objects"], 20, sessions.neighbours(a.images(spark, d)))[0]
+    return taken.select("id", F.array_join(F.transform("previous_ids", lambda x: x.cast("string")), ",").alias("previous_ids"))
 
 
 @query
@@ -368,8 +380,10 @@ def session_upsert(spark, d):
 
 @query
 def scan_upsert(spark, d):
-    i = a.images(spark, d).select("id", "base_directory", "path")
-    return upserts.add_scanned(i.filter("id % 100 < 20"), i.filter("id % 100 < 25 or id % 200 < 10"), ["base_directory"])
+    """All photos are scanned; of two traps in three every fourth one is new."""
+    i = a.images(spark, d)
+    names = ["id", "base_directory", "path"]
+    return upserts.add_scanned(i.filter("id % 4 != 0 or user_id % 3 = 0").select(names), i.select(names), ["base_directory"])
 
 
 @query
@@ -399,7 +413,7 @@ def url_basename(spark, d):
 def coordinates_dms(spark, d):
     v = F.col("c_acctbal") / 60.0
     dms = geometry.degrees_minutes_seconds(v)
-    return a.table(spark, d, "customer").select("c_custkey", dms["degrees"].alias("degrees"), dms["minutes"].alias("minutes"), F.round(dms["seconds"], 2).alias("seconds"), geometry.compass(v, "N", "S").alias("side"))
+    return a.table(spark, d, "customer").select("c_custkey", dms["degrees"].alias("degrees"), dms["minutes"].alias("minutes"), (F.round(dms["seconds"], 2) + 0.0).alias("seconds"), geometry.compass(v, "N", "S").alias("side"))
 
 
 @query
@@ -512,9 +526,75 @@ def crop_names(spark, d):
 @query
 def capture_details(spark, d):
     """Photos with the detections that they hold."""
-    x = a.detections(spark, d).groupBy("image_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("objects"))
+    rows = sessions.capture_details(a.images(spark, d), a.sessions(spark, d), objects.list_items(a.detections(spark, d)))
+    shown = F.transform("detections", lambda x: F.concat_ws(":", x["id"].cast("string"), x["label"], x["area_pixels"].cast("string")))
+    return rows.select("id", "path", "filesize", F.col("event").cast("string").alias("event"), F.array_join(shown, ",").alias("objects"))
+
+
+@query
+def detection_report(spark, d):
+    r = objects.report(a.detections(spark, d), a.images(spark, d), a.sessions(spark, d))
+    return r.select("id", "deployment", "session", "session_id", "sequence", "sequence_frame", "source_image_path", "cropped_image_path", "timestamp", F.get("bbox_center", 0).alias("center_x"), "area_pixels", "label", "score", "in_queue")
+
+
+@query
+def sessions_in_order(spark, d):
+    """Sessions of one trap, numbered in order of start."""
+    rows = sessions.in_order(_aggregates(spark, d), "/traps/trap_7").select("id", F.col("day").cast("string").alias("day"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+
+
+@query
+def sessions_known(spark, d):
+    return sessions.count_known(a.sessions(spark, d), "/traps/trap_7")
+
+
+@query
+def captures_page(spark, d):
+    return sessions.captures(a.images(spark, d).withColumn("monitoring_session_id", F.col("user_id")), 7, 20, 5).select("id", "path")
+
+
+@query
+def missing_source_data(spark, d):
     i = a.images(spark, d)
-    return i.join(x, i["id"] == x["image_id"], "left").select("id", "path", "filesize", F.coalesce("objects", F.lit("")).alias("objects"))
+    x = a.detections(spark, d).select("id", "image_id", F.when(F.col("id") % 2 == 0, F.col("timestamp")).alias("timestamp"), F.when(F.col("id") % 3 != 0, 5).alias("source_image_width"), F.when(F.col("id") % 5 != 0, 5).alias("source_image_height"), F.col("image_id").alias("source_image_previous_frame"))
+    lost = objects.missing_sizes(i.withColumns({"width": F.when(F.col("id") % 4 != 0, 5), "height": F.when(F.col("id") % 6 != 0, 5)}))
+    return objects.missing_source_data(x).select("id").unionByName(lost.select((-F.col("id")).alias("id")))
+
+
+@query
+def batch_previous(spark, d):
+    """The photo before in the same batch of photos."""
+    return sessions.previous_in_batch(a.images(spark, d).withColumn("batch", F.col("id") % 97), "batch").select("id", "previous_image")
+
+
+@query
+def box_of_json(spark, d):
+    x = a.detections(spark, d).select("id", F.to_json("bbox").alias("text"))
+    return x.select("id", geometry.area(geometry.box_of_json(F.col("text"))).alias("area"))
+
+
+@query
+def batch_plan(spark, d):
+    """Per user: batches of 8 that the events fill, and seconds for each event."""
+    e = a.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("seconds"))
+    return e.select("user_id", times.batches(F.col("n"), 8).alias("batches"), F.round(times.seconds_per_item(F.col("seconds"), F.col("n")), 6).alias("per_item"))
+
+
+@query
+def classification_examples(spark, d):
+    """How many examples a label has, and whether they are its own."""
+    results = objects.classification_results(a.detections(spark, d), 0.4)
+    own = results.groupBy(F.col("label").alias("l")).agg(F.collect_set("path").alias("own"))
+    rows = objects.summarize_results(results).join(own, F.col("label").eqNullSafe(F.col("l")))
+    return rows.select("label", F.size("examples").cast("long").alias("examples"), (F.size(F.array_except("examples", "own")) == 0).alias("known"))
+
+
+@query
+def schema_downgrade(spark, d):
+    """Detections in the form that they had before tracking."""
+    rows = schemas.drop_tracking(schemas.conform(a.detections(spark, d), schemas.DETECTIONS))
+    return rows.select(F.col("id"), "image_id", "path", "specific_label", F.lit(len(rows.columns)).cast("long").alias("width"))
 
 
 @query

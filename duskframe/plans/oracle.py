@@ -13,7 +13,7 @@ det0 AS (
     CASE WHEN n % 17 <> 0 THEN round(least(value / 50.0, 1.0), 6) END AS binary_label_score,
     CASE WHEN n % 17 <> 0 AND event_type <> 'error' AND n % 10 <> 0 THEN concat('species_', n % 25) END AS specific_label,
     CASE WHEN n % 17 <> 0 AND event_type <> 'error' AND n % 10 <> 0 THEN round(least(value / 100.0, 1.0), 6) END AS specific_label_score,
-    CASE WHEN n % 31 <> 0 THEN n % 3 = 0 END AS in_queue, CASE WHEN n % 5 <> 0 THEN ts END AS last_processed,
+    CASE WHEN n % 31 <> 0 THEN n % 3 = 0 END AS in_queue, CASE WHEN n % 5 <> 0 THEN ts END AS last_processed, ts + to_seconds(n * 7919 % 100000) AS last_detected,
     CASE WHEN n % 7 <> 0 THEN n % 500 END AS feature_id,
     CASE WHEN n % 13 <> 0 THEN concat(user_id, '-SEQ-', n % 40) END AS sequence_id
   FROM e0),
@@ -129,10 +129,17 @@ SQL: dict[str, str] = {
     "duplicate_retention_nulls_first": _with("""SELECT id, path, k = 1 AS keep FROM (SELECT id, path, count(*) OVER (PARTITION BY path) AS n, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN id % 7 <> 0 THEN "timestamp" END NULLS FIRST, id) AS k FROM cap) WHERE n > 1"""),
     "duplicate_deletes": _with("SELECT id FROM dup WHERE group_size > 1 AND place > 1", _DUP),
     "duplicate_survivors": _with("SELECT id, path FROM dup WHERE place = 1", _DUP),
-    "unique_bbox_latest": _with("""SELECT id, image_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id, bbox ORDER BY "timestamp" DESC, id DESC) k FROM det WHERE bbox IS NOT NULL) WHERE k = 1"""),
+    "unique_bbox_latest": _with("""SELECT id, image_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id, bbox ORDER BY last_detected DESC, id DESC) k FROM det WHERE binary_label = 'moth') WHERE k = 1"""),
     "bbox_dedup_scope": _with("SELECT id FROM s2", _SCOPE),
     "queue_status": _with(_STATUS, _SCOPE),
-    "queue_counts_global": _with("SELECT count(*) AS total, count(*) FILTER (in_queue IS TRUE) AS queued, count(*) FILTER (last_processed IS NULL) AS unprocessed FROM det"),
+    "queue_counts_global": _with(
+        "SELECT 'images' AS queue, count(*) FILTER (in_queue) AS queued, count(*) FILTER (last_processed IS NULL) AS unprocessed FROM img UNION ALL SELECT 'unclassified_objects', count(*) FILTER (in_queue AND binary_label IS NULL), count(*) FILTER (binary_label IS NULL) FROM det UNION ALL SELECT 'unclassified_species', count(*) FILTER (in_queue AND specific_label IS NULL AND binary_label IS NOT NULL), count(*) FILTER (specific_label IS NULL AND binary_label IS NOT NULL) FROM det"
+    ),
+    "queue_clear_all": _with("SELECT id, CASE WHEN id IN (SELECT id FROM s2) OR id IN (SELECT id FROM s3) OR id IN (SELECT id FROM s5) THEN false ELSE in_queue END AS in_queue FROM q", _SCOPE),
+    "queue_pull_pairs": _with(
+        """SELECT t.id, coalesce(string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY p.id), '') AS previous_ids FROM (SELECT id, image_id FROM s5 WHERE in_queue IS TRUE AND sequence_id IS NULL ORDER BY id LIMIT 20) t JOIN (SELECT id, lag(id) OVER (PARTITION BY monitoring_session_id ORDER BY "timestamp", id) AS before FROM img) i ON t.image_id = i.id LEFT JOIN q p ON p.image_id = i.before GROUP BY t.id""",
+        _SCOPE,
+    ),
     "queue_pull_n": _with("SELECT id FROM pulled", _SCOPE),
     "queue_after_pull": _with("SELECT id, CASE WHEN id IN (SELECT id FROM pulled) THEN false ELSE in_queue END AS in_queue FROM q", _SCOPE),
     "queue_add_unprocessed": _with("SELECT id, CASE WHEN in_queue IS FALSE AND id IN (SELECT id FROM s5 WHERE sequence_id IS NULL) THEN true ELSE in_queue END AS in_queue FROM q", _SCOPE),
@@ -158,13 +165,13 @@ SQL: dict[str, str] = {
     "session_upsert": _with("SELECT id, base_directory, CAST(day AS VARCHAR) AS day FROM ses"),
     "scan_upsert": _with(
         "SELECT id, base_directory, path FROM known UNION ALL SELECT s.id, s.base_directory, s.path FROM scan s WHERE s.base_directory IN (SELECT f.base_directory FROM (SELECT base_directory, count(*) n FROM scan GROUP BY 1) f LEFT JOIN (SELECT base_directory, count(*) n FROM known GROUP BY 1) k USING (base_directory) WHERE f.n > coalesce(k.n, 0)) AND NOT EXISTS (SELECT 1 FROM known k WHERE k.base_directory = s.base_directory AND k.path = s.path)",
-        " known AS (SELECT * FROM img WHERE id % 100 < 20), scan AS (SELECT * FROM img WHERE id % 100 < 25 OR id % 200 < 10)",
+        " known AS (SELECT * FROM img WHERE id % 4 <> 0 OR user_id % 3 = 0), scan AS (SELECT * FROM img)",
     ),
     "delete_of_image": _with("SELECT id, image_id FROM det WHERE image_id <> 100003"),
     "slugify": "SELECT p_partkey, replace(trim(regexp_replace(lower(replace(t, ' ', '_')), '[^a-z0-9_]', '', 'g'), '_'), '__', '_') AS slug, replace(t, ' ', chr(10)) AS label FROM (SELECT p_partkey, concat(p_type, ' - ', p_brand, '  ', p_name) AS t FROM part)",
     "filename_timestamp": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 11 = 0 THEN strftime(ts, '%Y-%m-%d 00:00:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS stamp FROM events",
     "url_basename": "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') AS name FROM pages",
-    "coordinates_dms": "SELECT c_custkey, CAST(floor(v) AS INTEGER) AS degrees, CAST(floor((v - floor(v)) * 60) AS INTEGER) AS minutes, round(round(((v - floor(v)) * 60 - floor((v - floor(v)) * 60)) * 60, 4), 2) AS seconds, CASE WHEN floor(w) >= 1 THEN 'N' ELSE 'S' END AS side FROM (SELECT c_custkey, abs(c_acctbal / 60.0) AS v, c_acctbal / 60.0 AS w FROM customer)",
+    "coordinates_dms": "SELECT c_custkey, CAST(d AS INTEGER) AS degrees, CAST(m AS INTEGER) AS minutes, round((v - d - m / 60) * 3600.0, 2) + 0.0 AS seconds, CASE WHEN d >= 1 THEN 'N' ELSE 'S' END AS side FROM (SELECT *, trunc((v - d) * 60) AS m FROM (SELECT c_custkey, v, trunc(v) AS d FROM (SELECT c_custkey, c_acctbal / 60.0 AS v FROM customer)))",
     "taxon_lookup": "SELECT p_partkey, label, coalesce(n_name, label) AS taxon_name FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE CAST(p_partkey % 40 AS VARCHAR) END AS label FROM part) LEFT JOIN nation ON TRY_CAST(label AS BIGINT) = n_nationkey",
     "json_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "source_dedup_last_wins": "SELECT min(event_id) AS place, user_id AS id, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
@@ -182,7 +189,25 @@ SQL: dict[str, str] = {
     "batch_shapes": "SELECT event_id // 8 AS batch, count(DISTINCT (event_id % 3) * 10 + (event_id // 16) % 2) AS shapes FROM events GROUP BY 1",
     "time_labels": "SELECT event_id, concat(h, CASE WHEN h = 1 THEN ' hour' ELSE ' hours' END) AS label, printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS clock FROM (SELECT event_id, event_id * 977 % 200000 AS s, CAST(round_even((event_id * 977 % 200000) % 86400 / 3600.0, 0) AS INTEGER) AS h FROM events)",
     "crop_names": _with("SELECT id, concat(replace(path, '.jpg', 'jpg'), '-', CAST(bbox[1] AS INTEGER), '_', CAST(bbox[2] AS INTEGER), '_', CAST(bbox[3] AS INTEGER), '_', CAST(bbox[4] AS INTEGER), '-20240101') AS name FROM det WHERE bbox IS NOT NULL"),
-    "capture_details": _with("SELECT i.id, i.path, i.filesize, coalesce(x.o, '') AS objects FROM img i LEFT JOIN (SELECT image_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS o FROM det GROUP BY 1) x ON i.id = x.image_id"),
+    "capture_details": _with("SELECT i.id, i.path, i.filesize, CAST(s.day AS VARCHAR) AS event, coalesce(x.o, '') AS objects FROM img i JOIN ses s ON i.monitoring_session_id = s.id LEFT JOIN (SELECT image_id, string_agg(concat_ws(':', id, specific_label, area_pixels), ',' ORDER BY id) AS o FROM det GROUP BY 1) x ON i.id = x.image_id"),
+    "detection_report": _with(
+        """SELECT d.id, regexp_replace(s.base_directory, '^.*/', '') AS deployment, CAST(s.day AS VARCHAR) AS session, s.id AS session_id, d.sequence_id AS sequence, d.sequence_frame, concat(i.base_directory, '/', i.path) AS source_image_path, d.path AS cropped_image_path, strftime(i."timestamp", '%Y-%m-%dT%H:%M:%S') AS timestamp, (d.bbox[1] + d.bbox[3]) / 2 AS center_x, d.area_pixels, coalesce(d.specific_label, d.binary_label) AS label, CASE WHEN d.specific_label IS NOT NULL THEN d.specific_label_score ELSE d.binary_label_score END AS score, d.in_queue
+        FROM det d JOIN img i ON d.image_id = i.id JOIN ses s ON d.monitoring_session_id = s.id"""
+    ),
+    "sessions_in_order": _with("SELECT id, CAST(day AS VARCHAR) AS day, row_number() OVER (ORDER BY start_time, id) AS place FROM agg WHERE base_directory = '/traps/trap_7'"),
+    "sessions_known": _with("SELECT count(*) AS count FROM ses WHERE base_directory = '/traps/trap_7'"),
+    "captures_page": _with("""SELECT id, path FROM img WHERE user_id = 7 ORDER BY "timestamp", id LIMIT 20 OFFSET 5"""),
+    "missing_source_data": _with("SELECT id FROM det WHERE id % 2 <> 0 OR id % 3 = 0 OR id % 5 = 0 UNION ALL SELECT -id FROM img WHERE id % 4 = 0 OR id % 6 = 0"),
+    "batch_previous": _with("""SELECT id, lag(id) OVER (PARTITION BY id % 97 ORDER BY "timestamp", id) AS previous_image FROM img"""),
+    "box_of_json": _with("SELECT id, (bbox[4]-bbox[2])*(bbox[3]-bbox[1]) AS area FROM det"),
+    "batch_plan": "SELECT user_id, CAST(ceil(count(*) / 8.0) AS BIGINT) AS batches, round(sum(value) / count(*), 6) AS per_item FROM events GROUP BY 1",
+    "classification_examples": _with("SELECT CASE WHEN specific_label_score <> 0 AND specific_label_score >= 0.4 THEN specific_label ELSE binary_label END AS label, least(count(*), 3) AS examples, true AS known FROM det GROUP BY 1"),
+    "schema_downgrade": _with("SELECT id, image_id, path, specific_label, CAST(12 AS BIGINT) AS width FROM det"),
+    "stream_sessionize": _with(
+        """SELECT base_directory, session_ordinal, n AS num_images FROM (SELECT base_directory, session_ordinal, count(*) AS n, max(epoch_ms("timestamp")) AS last, max(session_ordinal) OVER (PARTITION BY base_directory) AS final FROM o GROUP BY 1, 2)
+        WHERE session_ordinal < final OR last + 360 * 60000 < (SELECT max(epoch_ms("timestamp")) - 3600000 FROM cap)""",
+        _gap(False),
+    ),
     "queue_fill_sample": _with("SELECT count(*) AS images, greatest(count(*) FILTER (id % 50 = 0), least(400, count(*) FILTER (id % 50 = 0 OR last_processed IS NULL))) AS queued, CAST(0 AS BIGINT) AS wrong FROM img"),
     "mark_processed": _with("SELECT id, CASE WHEN id % 3 = 0 THEN '2024-06-01 00:00:00' ELSE strftime(last_processed, '%Y-%m-%d %H:%M:%S') END AS last_processed FROM img"),
     "backfill_from_images": _with("""SELECT d.id, strftime(CASE WHEN d.id % 2 = 0 THEN d."timestamp" ELSE i."timestamp" END, '%Y-%m-%d %H:%M:%S') AS "timestamp", 1200 AS source_image_width, CASE WHEN d.id % 3 = 0 THEN 5 ELSE 800 END AS source_image_height, i.before AS source_image_previous_frame FROM det d JOIN (SELECT *, lag(id) OVER (PARTITION BY monitoring_session_id ORDER BY "timestamp", id) AS before FROM img) i ON d.image_id = i.id"""),

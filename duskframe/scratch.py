@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where none is set (local runs and tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where none is set, if Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     root = spark.sparkContext.getCheckpointDir()
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = tempfile.mkdtemp(prefix="duskframe-")
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)

@@ -86,6 +86,17 @@ def _sizes(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
 
 
+#: Bytes of a file that go to Python: those of its header.
+HEADER = 256 << 10
+
+
+def named_images(spark: SparkSession, base: str, names: DataFrame, name: str = "path") -> DataFrame:
+    """The files under a folder whose path relative to it is in a list of names."""
+    wanted = names.select(F.col(name).alias("__name")).distinct()
+    rows = list_images(spark, base)
+    return rows.join(wanted, relative_path(F.col("path"), base) == F.col("__name"), "left_semi")
+
+
 def list_images(spark: SparkSession, base: str) -> DataFrame:
     """path, filesize and modificationTime of the photos under a folder; their bytes aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -99,7 +110,7 @@ def find_images(spark: SparkSession, base: str, check_exif: bool = True, skip_mi
     separate branches, since a Python function is not spared by a condition). Sizes need the bytes as well.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).filter(F.col("path").rlike(IMAGE_EXTENSIONS))
-    rows = files.select("path", F.col("length").alias("filesize"), "content", times.timestamp_in_name(F.col("path")).alias("timestamp"))
+    rows = files.select("path", F.col("length").alias("filesize"), F.substring("content", 1, HEADER).alias("content"), times.timestamp_in_name(F.col("path")).alias("timestamp"))
     named = rows.filter("timestamp is not null").withColumn("shape", _sizes("content")).drop("content")
     other = rows.filter("timestamp is null").withColumn("shape", _sizes("content"))
     taken = _exif_times("content").cast("timestamp_ntz") if check_exif else F.lit(None).cast("timestamp_ntz")

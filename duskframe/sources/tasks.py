@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 
 class TaskSource(DataSource):
     """Format "duskframe_tasks". Options: path, a file of JSON lines with one task each, and batch (tasks of a
-    micro-batch, 100). A service would be read by a client in place of the file."""
+    micro-batch, 100); a batch begins where the last one ended. A service would be read by a client in place of the file."""
 
     @classmethod
     def name(cls) -> str:
@@ -27,12 +29,23 @@ class TaskSource(DataSource):
         return _Batch(self.options["path"])
 
 
-def _tasks(path: str) -> Iterator[tuple]:
-    with open(path, encoding="utf-8") as lines:
-        for line in lines:
+def _task(line: bytes) -> tuple:
+    x = json.loads(line)
+    return tuple(None if x.get(c) is None else str(x[c]) for c in ("id", "image_id", "image_url", "reply_subject"))
+
+
+def _tasks(path: str, start: int = 0, end: int | None = None) -> Iterator[tuple]:
+    """Tasks of the lines from one place of the file to another, in bytes."""
+    with open(path, "rb") as lines:
+        lines.seek(start)
+        while (end is None or lines.tell() < end) and (line := lines.readline()):
             if line.strip():
-                x = json.loads(line)
-                yield tuple(None if x.get(c) is None else str(x[c]) for c in ("id", "image_id", "image_url", "reply_subject"))
+                yield _task(line)
+
+
+def jobs(rows: DataFrame, slugs: list[str]) -> DataFrame:
+    """Jobs (id, pipeline_slug) of the named pipelines, in order of id."""
+    return rows.filter(F.col("pipeline_slug").isin(slugs)).orderBy("id")
 
 
 class _Batch(DataSourceReader):
@@ -51,11 +64,16 @@ class _Stream(SimpleDataSourceStreamReader):
         return {"at": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = list(_tasks(self.path))[start["at"] : start["at"] + self.batch]
-        return iter(rows), {"at": start["at"] + len(rows)}
+        rows: list[tuple] = []
+        with open(self.path, "rb") as lines:
+            lines.seek(start["at"])
+            while len(rows) < self.batch and (line := lines.readline()):
+                if line.strip():
+                    rows.append(_task(line))
+            return iter(rows), {"at": lines.tell()}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(list(_tasks(self.path))[start["at"] : end["at"]])
+        return _tasks(self.path, start["at"], end["at"])
 
 
 def register(spark) -> None:

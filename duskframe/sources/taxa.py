@@ -14,7 +14,9 @@ TAXON = T.StructType([T.StructField("taxonID", T.LongType()), T.StructField("can
 def read_taxa(spark: SparkSession, path: str) -> DataFrame:
     """A Darwin Core table, tab separated; the first row of an id counts."""
     rows = spark.read.schema(TAXON).option("sep", "\t").option("header", True).csv(path)
-    return rows.groupBy("taxonID").agg(F.first("canonicalName").alias("canonicalName"), F.first("taxonRank").alias("taxonRank"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    first = rows.select("*", place.alias("place")).groupBy("taxonID").agg(F.min_by(F.struct("canonicalName", "taxonRank"), "place").alias("first"))
+    return first.select("taxonID", "first.canonicalName", "first.taxonRank")
 
 
 def name_labels(rows: DataFrame, taxa: DataFrame, label: str = "label", id_column: str = "taxonID", name_column: str = "canonicalName") -> DataFrame:

@@ -24,11 +24,13 @@ def sessionize(captures: DataFrame, maximum_gap_minutes: int = SESSION_GAP_MINUT
         stamp = lambda us: pd.Timestamp(us, unit="us")
         if state.hasTimedOut:
             ordinal, start, end, n = state.get
-            state.remove()
+            state.update((ordinal + 1, end, end, 0))  # the number of the next session stays
             yield pd.DataFrame({"base_directory": [key[0]], "session_ordinal": [ordinal], "start_time": [stamp(start)], "end_time": [stamp(end)], "num_images": [n]})
             return
         times = sorted(t.value // 1000 for batch in batches for t in batch["timestamp"])
         ordinal, start, end, n = state.get if state.exists else (1, times[0], times[0], 0)
+        if not n:
+            start = end = times[0]
         closed = []
         for t in times:
             if n and t - end >= gap:

@@ -118,3 +118,30 @@ def test_stream_sessions_of_the_events(spark):
         last[r["base_directory"]] = max(last.get(r["base_directory"], 0), r["session_ordinal"])
     batch = {(r["base_directory"], r["session_ordinal"], r["count"]) for r in rows}
     assert closed <= batch and {x for x in batch if x[1] < last[x[0]]} <= closed
+
+
+def test_names_of_photos_and_taxa(spark, tmp_path):
+    (tmp_path / "night").mkdir()
+    for name in ("a.jpg", "b.jpg"):
+        (tmp_path / "night" / name).write_bytes(jpeg(4, 4))
+    wanted = spark.createDataFrame([("night/b.jpg",), ("night/c.jpg",)], "path string")
+    assert [r["path"].rsplit("/", 1)[1] for r in images.named_images(spark, str(tmp_path), wanted).collect()] == ["b.jpg"]
+    (tmp_path / "taxa.tsv").write_text("taxonID\tcanonicalName\ttaxonRank\n" + "".join(f"{i % 3}\tname{i}\tspecies\n" for i in range(50)))
+    assert {r["taxonID"]: r["canonicalName"] for r in taxa.read_taxa(spark, str(tmp_path / "taxa.tsv")).collect()} == {0: "name0", 1: "name1", 2: "name2"}
+    jobs = spark.createDataFrame([(2, "a"), (1, "a"), (3, "b")], "id int, pipeline_slug string")
+    assert [r["id"] for r in tasks.jobs(jobs, ["a"]).collect()] == [1, 2]
+
+
+def test_numbers_of_sessions_go_on_after_a_timeout(spark, tmp_path):
+    """Files one at a time: a session that time closed does not give its number to the next one."""
+    stamps = [("a", "2022-01-01 00:00:00"), ("b", "2022-01-05 00:00:00"), ("b", "2022-01-05 01:00:00"), ("a", "2022-01-06 00:00:00"), ("b", "2022-02-01 00:00:00"), ("b", "2022-02-02 00:00:00")]
+    for i, (trap, t) in enumerate(stamps):
+        rows = spark.createDataFrame([(i, trap, datetime.fromisoformat(t))], "id long, base_directory string, timestamp timestamp_ntz")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "id long, base_directory string, timestamp timestamp_ntz"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_sessions.sessionize(stream).writeStream.outputMode("append").format("memory").queryName("numbered").start()
+    q.processAllAvailable()
+    q.stop()
+    found = sorted((r["base_directory"], r["session_ordinal"], r["num_images"]) for r in spark.table("numbered").collect())
+    assert found[:3] == [("a", 1, 1), ("a", 2, 1), ("b", 1, 2)]

@@ -1,5 +1,6 @@
 """Small fixtures for rules that are easy to get wrong."""
 
+import time
 from datetime import datetime
 
 import pytest
@@ -143,3 +144,39 @@ def test_upserts_repeat_safely(spark):
     once = upserts.insert_missing(old, new, ["id"])
     assert sorted(map(tuple, once.collect())) == [(1, "x"), (2, "y"), (3, "w")]
     assert sorted(map(tuple, upserts.insert_missing(once, new, ["id"]).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_signs_of_coordinates(spark):
+    dms = lambda v: tuple(one(spark, geometry.degrees_minutes_seconds(F.lit(v))))
+    assert dms(-12.5) == (-12, -30, 0.0) and dms(12.5) == (12, 30, 0.0)
+    d, m, s = dms(-0.51)
+    assert (d, m) == (0, -30) and s == pytest.approx(-36.0)
+    assert one(spark, geometry.compass(F.lit(0.5), "N", "S")) == "S"
+
+
+def test_latest_positive_per_box(spark):
+    rows = [(1, 7, [1.0], "moth", T("2022-01-03")), (2, 7, [1.0], "moth", T("2022-01-01")), (3, 7, [1.0], "nonmoth", T("2022-01-09")), (4, 7, None, "moth", T("2022-01-01")), (5, 7, None, "moth", T("2022-01-02")), (6, 8, [1.0], None, T("2022-01-01"))]
+    df = spark.createDataFrame(rows, "id long, image_id long, bbox array<double>, binary_label string, last_detected timestamp_ntz")
+    assert sorted(r["id"] for r in objects.latest_per_box(df).collect()) == [1, 5]
+
+
+def test_counts_of_queues(spark):
+    images = spark.createDataFrame([(True, None), (False, T("2022-01-01")), (None, None)], "in_queue boolean, last_processed timestamp_ntz")
+    found = spark.createDataFrame([(True, None, None), (False, None, None), (True, "moth", None), (True, "nonmoth", "x"), (None, "moth", None)], "in_queue boolean, binary_label string, specific_label string")
+    assert {r["queue"]: (r["queued"], r["unprocessed"]) for r in queues.global_counts(images, found).collect()} == {"images": (1, 2), "unclassified_objects": (1, 2), "unclassified_species": (1, 2)}
+
+
+def test_one_long_session(spark):
+    """Neighbours of 20,000 photos of one session, in time in proportion to their number."""
+    rows = spark.range(20_000).selectExpr("id", "1 as monitoring_session_id", "timestamp_ntz'2022-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id div 2 as int), 0) as timestamp")
+    began = time.time()
+    out = {r["id"]: (r["previous_image"], r["next_image"]) for r in sessions.neighbours(rows).collect()}
+    assert time.time() - began < 20
+    assert out[0] == (None, 2) and out[1] == (None, 2) and out[10] == (9, 12) and out[19_999] == (19_997, None)
+
+
+def test_softmax_and_norm(spark):
+    s = one(spark, vectors.softmax(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))))
+    assert s == pytest.approx([0.0900306, 0.2447285, 0.6652410], abs=1e-6)
+    assert one(spark, vectors.l1_normalize(F.array(F.lit(1.0), F.lit(3.0)))) == [0.25, 0.75]
+    assert one(spark, vectors.softmax(F.lit(None).cast("array<double>"))) is None

@@ -23,8 +23,9 @@ from . import textbytes
 from .columns import small_batches
 from .perfect import PerfectHash
 
-#: Bytes of merged pre-tokens (and ENTRY more for each) that a worker remembers; beyond them all are forgotten.
-REMEMBERED = 24 << 20
+#: Bytes of merged pre-tokens (and ENTRY more for each) that a worker remembers, in two halves: when the younger
+#: one is full, it becomes the older one, of which only what is met again is kept.
+REMEMBERED = 64 << 20
 ENTRY = 200
 SEED = 3
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -111,6 +112,7 @@ class BytePairs:
         self.rank_of[self.whole.find(keys)] = used
         self.pairs = [ranks.get(bytes(divmod(k, 256)), -1) for k in range(1 << 16)]
         self.merged: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
         self.classes = None
 
@@ -197,11 +199,12 @@ class BytePairs:
                 piece = text[a:b]
                 ids = merged.get(piece)
                 if ids is None:
-                    ids = array("I", self.merge(piece)).tobytes()
-                    self.held += ENTRY + len(piece) + len(ids)
-                    if self.held > REMEMBERED:
-                        merged.clear()
-                        self.held = ENTRY + len(piece) + len(ids)
+                    ids = self.older.pop(piece, None) or array("I", self.merge(piece)).tobytes()
+                    size = ENTRY + len(piece) + len(ids)
+                    if self.held + size > REMEMBERED // 2:
+                        self.older, self.merged, self.held = merged, {}, 0
+                        merged = self.merged
+                    self.held += size
                     merged[piece] = ids
                 pieces.append(ids)
             flat = np.frombuffer(b"".join(pieces), np.uint32)

@@ -1,11 +1,12 @@
 """Near-duplicate vectors by collision counting over sorted one-dimensional projections.
 
-Each vector is projected on many directions. Of each direction only the two ends are kept, as lists sorted
-by place: a vector is put on the lists on which it lies farthest out. In a list a vector's window holds the
-members within WIDTH of its own place. Two vectors collide once for every list on which they are in each
-other's window; vectors at cosine 0.9 do so several times, random ones hardly ever. A pair that collides
-COUNT times or more is verified by its cosine in double precision. `recall` measures, by simulation, how
-many pairs of a given cosine pass the count; COUNT and LISTS were set by it.
+Each vector is projected on many directions. Of each direction only the two ends are kept, as lists: a vector is
+put on the lists on which it lies farthest out. Members of a list are sorted by their place on a second direction
+of its own, on which unrelated members lie apart, and a window of WIDTH to either side slides along. Two vectors
+collide once for every list on which they are in each other's window; vectors at cosine 0.9 do so several times,
+random ones hardly ever. A pair that collides COUNT times or more is verified by its cosine in double precision.
+`recall` measures, by simulation, how many pairs of a given cosine pass the count, and `window_share` how many of
+the pairs on a list are in each other's window; COUNT, WIDTH and LISTS were set by them.
 
 A direction is one of m half-directions for the first half of the coordinates and one of m for the second,
 after one of TURNS random rotations. The farthest of the m * m sums are sums of the farthest terms, so a
@@ -38,7 +39,9 @@ TURNS = 4
 ENDS = 4
 LISTS = 2 * TURNS * ENDS
 COUNT = 2
-WIDTH = 1.0
+WIDTH = 1.1
+#: Pairs of a list that are counted at once.
+PAIRS = 1 << 20
 #: Members of a block of a long list, on average.
 QUERIES = 4096
 _SEED = 20240229
@@ -70,7 +73,7 @@ def _geometry(dim: int, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def lists_of(x: np.ndarray, geometry: list) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of each unit vector, in order, and its places on them: two arrays of n x LISTS."""
+    """The lists of each unit vector, in order, and its places along them: two arrays of n x LISTS."""
     lists, places = [], []
     rows = np.arange(len(x))[:, None]
     for r, (left, right) in enumerate(geometry):
@@ -80,8 +83,9 @@ def lists_of(x: np.ndarray, geometry: list) -> tuple[np.ndarray, np.ndarray]:
             i, j = (np.argpartition(-sign * v, ENDS - 1, axis=1)[:, :ENDS] for v in (s, t))
             sums = (sign * (s[rows, i][:, :, None] + t[rows, j][:, None, :])).reshape(len(x), -1)
             best = np.argpartition(-sums, ENDS - 1, axis=1)[:, :ENDS]
-            lists.append(((r * m + i[rows, best // ENDS]) * m + j[rows, best % ENDS]) * 2 + end)
-            places.append(sums[rows, best])
+            i, j = i[rows, best // ENDS], j[rows, best % ENDS]
+            lists.append(((r * m + i) * m + j) * 2 + end)
+            places.append(s[rows, (i + 1) % m] + t[rows, (j + 1) % m])  # on the direction after the list's own
     lists, places = np.concatenate(lists, 1).astype(np.int64), np.concatenate(places, 1)
     order = np.argsort(lists, 1)
     return np.take_along_axis(lists, order, 1), np.take_along_axis(places, order, 1)
@@ -99,6 +103,16 @@ def recall(n: int, cosine: float = COSINE, dim: int = 64, pairs: int = 4000) ->
     return float((hits >= COUNT).mean())
 
 
+def window_share(n: int, dim: int = 64, vectors: int = 3000) -> float:
+    """Share of the pairs of simulated unrelated vectors on one list that are in each other's window."""
+    x = _unit(np.random.default_rng(6).standard_normal((vectors, dim)))
+    lists, places = lists_of(x, _geometry(dim, half_directions(n)))
+    order = np.argsort(lists.ravel(), kind="stable")
+    name, place = lists.ravel()[order], places.ravel()[order]
+    same = name[1:] == name[:-1]
+    return float((np.abs(np.diff(place))[same] <= WIDTH).mean())
+
+
 def _deal(n: int, kind: type):
     m, name = half_directions(n), _name_type(n)
 
@@ -133,49 +147,57 @@ def _deal(n: int, kind: type):
 class _List:
     """The members of one list, and the places they have on each other's lists."""
 
-    def __init__(self, this: int, ids: np.ndarray, vectors: np.ndarray, lists: list[np.ndarray], places: list[np.ndarray]):
-        self.ids, self.vectors = ids, vectors
-        member = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
+    def __init__(self, this: int, lists: list[np.ndarray], places: list[np.ndarray]):
+        member = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         name, place = np.concatenate(lists), np.concatenate(places)
-        order = np.argsort(name, kind="stable")
-        name, place, member = name[order], place[order], member[order]
         # Lists that only one member is on tell nothing of a pair.
-        self.names, first, count = np.unique(name, return_index=True, return_counts=True)
-        shared = count > 1
-        keep = np.repeat(shared, count)
-        self.names, count = self.names[shared], count[shared]
-        self.member, self.place = member[keep], place[keep]
-        self.first = np.cumsum(count) - count
-        self.count = count
-        self.here = int(np.searchsorted(self.names, this))
-        self.grid = None
-        if len(ids) <= 256:
-            self.grid = np.full((len(ids), len(self.names)), np.nan, np.float32)
-            self.grid[self.member, np.repeat(np.arange(len(self.names)), count)] = self.place
-        else:
-            by_member = np.argsort(self.member, kind="stable")
-            self.name_of = np.repeat(np.arange(len(self.names)), count)[by_member]
-            self.place_of = self.place[by_member]
-            self.own = np.searchsorted(self.member[by_member], np.arange(len(ids) + 1))
-
-    def candidates(self, q: int) -> np.ndarray:
-        """Members whose collisions with q reach COUNT and begin on this list."""
-        if self.grid is not None:
-            hit = np.abs(self.grid - self.grid[q]) <= WIDTH
-            passed = hit[:, self.here] & (hit.sum(1) >= COUNT) & ~hit[:, : self.here].any(1)
-        else:
-            own = slice(self.own[q], self.own[q + 1])
-            names, places = self.name_of[own], self.place_of[own]
-            size = self.count[names]
-            at = np.arange(int(size.sum())) + np.repeat(self.first[names] - (np.cumsum(size) - size), size)
-            near = np.abs(self.place[at] - np.repeat(places, size)) <= WIDTH
-            who, name = self.member[at[near]], np.repeat(names, size)[near]
-            n = len(self.ids)
-            passed = np.bincount(who, minlength=n) >= COUNT
-            passed &= np.bincount(who[name < self.here], minlength=n) == 0
-            passed &= np.bincount(who[name == self.here], minlength=n) > 0
-        passed[q] = False
-        return np.flatnonzero(passed)
+        names, back, count = np.unique(name, return_inverse=True, return_counts=True)
+        shared = count[back] > 1
+        member, place, back = member[shared], place[shared], back[shared]
+        # Each list sorted by place; lists one after another, too far apart for a window to reach the next.
+        far = 4 * WIDTH + 2 * float(np.abs(place).max(initial=0.0))
+        spread = back * far + place
+        order = np.argsort(spread, kind="stable")
+        self.member, self.name, self.spread = member[order], back[order], spread[order]
+        self.n, self.here = len(lists), int(np.searchsorted(names, this))
+        self.by_member = np.lexsort((self.name, self.member))
+        self.own = np.searchsorted(self.member[self.by_member], np.arange(self.n + 1))
+
+    def collisions(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, members) whose collisions reach COUNT and begin on this list, some queries at a time."""
+        lo = np.searchsorted(self.spread, self.spread - WIDTH, "left")
+        size = np.searchsorted(self.spread, self.spread + WIDTH, "right") - lo
+        total = np.cumsum(np.append(0, size[self.by_member]))[self.own]
+        q = 0
+        while q < self.n:
+            r = max(q + 1, int(np.searchsorted(total, total[q] + PAIRS, "right")) - 1)
+            entries = self.by_member[self.own[q] : self.own[r]]
+            n = size[entries]
+            at = np.arange(int(n.sum())) + np.repeat(lo[entries] - (np.cumsum(n) - n), n)
+            pair = np.repeat(self.member[entries], n) * self.n + self.member[at]
+            name = np.repeat(self.name[entries], n)
+            order = np.argsort(pair, kind="stable")  # within a pair lists stay in order
+            pair, name = pair[order], name[order]
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(pair)))
+            found = pair[first[(count >= COUNT) & (name[first] == self.here)]]
+            a, b = found // self.n, found % self.n
+            yield a[a != b], b[a != b]
+            q = r
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels in which those of a and b are one, the least of both."""
+    x, y = label[a], label[b]
+    while len(x):
+        apart = x != y
+        x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        to = np.arange(len(label))
+        np.minimum.at(to, y, x)
+        while (to[to] != to).any():
+            to = to[to]
+        label, x, y = to[label], to[x], to[y]
+    return label
 
 
 def _match(cosine: float, name: type, kind: type):
@@ -185,26 +207,22 @@ def _match(cosine: float, name: type, kind: type):
         order = np.argsort(of, kind="stable")
         starts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
         ids, copies, side = table["id"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy()
-        vectors, lists, places = (table[c].to_pylist() for c in ("vector", "lists", "places"))
+        vectors, lists, places = (table[c].combine_chunks() for c in ("vector", "lists", "places"))
+        rows = lambda column, part, kind: [np.frombuffer(column[int(i)].as_buffer(), kind) for i in part]
         out_id, out_links, out_least = [], [], []
         for part in np.split(order, starts[1:]):
             if len(part) < 2:
                 continue
-            x = _unit(np.array([np.frombuffer(vectors[i], kind) for i in part]))
-            group = _List(int(of[part[0]]), ids[part], x, [np.frombuffer(lists[i], name) for i in part], [np.frombuffer(places[i], np.float16).astype(np.float32) for i in part])
-            label, links = np.arange(len(part)), np.zeros(len(part), np.int64)
-            own = side[part]
-            for q in range(len(part)):
-                near = group.candidates(q)
-                if own[q]:
-                    near = near[own[near] != own[q]]
-                if len(near):
-                    near = near[x[near] @ x[q] >= cosine]
-                if len(near):
-                    links[q] = copies[part][near].sum()
-                    roots = np.unique(label[np.append(near, q)])
-                    if len(roots) > 1:
-                        label[np.isin(label, roots)] = roots[0]
+            x = _unit(np.array(rows(vectors, part, kind)))
+            group = _List(int(of[part[0]]), rows(lists, part, name), [p.astype(np.float64) for p in rows(places, part, np.float16)])
+            label, links, own = np.arange(len(part)), np.zeros(len(part), np.int64), side[part]
+            for a, b in group.collisions():
+                across = (own[a] == 0) | (own[a] != own[b])
+                a, b = a[across], b[across]
+                near = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + PAIRS // 16]], x[b[k : k + PAIRS // 16]]) for k in range(0, len(a), PAIRS // 16)]) if len(a) else np.zeros(0)
+                a, b = a[near >= cosine], b[near >= cosine]
+                links += np.bincount(a, copies[part][b], len(part)).astype(np.int64)
+                label = _join(label, a, b)
             least = np.full(len(part), np.iinfo(np.int64).max)
             np.minimum.at(least, label, ids[part])
             touched = (links > 0) | (ids[part] != least[label])
@@ -223,15 +241,16 @@ def vector_groups(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     Vectors are linked at a cosine of `cosine` or more. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, nor do vectors of different lengths. Equal vectors are met once,
     as one, and count as linked with each other. Rows that repeat an id with one vector are vectors of their
-    own; they share the id's component. An empty table gives no rows.
+    own; they share the id's component. Null ids link with nothing and have a null component. Other columns are
+    not read. An empty table gives no rows.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "vectors")
     raw = F.col(embedding)
     kind, element = (np.float32, "float") if df.schema[embedding].dataType.elementType == T.FloatType() else (np.float64, "double")
     finite = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     usable = F.coalesce(raw.isNotNull() & finite & F.exists(raw, lambda x: x != 0), F.lit(False))
-    rows = scratch.save(df.select(F.col(vec_id).alias("vec_id"), F.when(usable, raw.cast(f"array<{element}>")).alias("vector")))
-    good = rows.filter("vector is not null and vec_id is not null")
+    rows = scratch.save(df.select(F.col(vec_id).alias("vec_id"), F.when(usable & F.col(vec_id).isNotNull(), raw.cast(f"array<{element}>")).alias("vector")))
+    good = rows.filter("vector is not null")
     reps = scratch.save(good.groupBy("vector").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies")))
     n = reps.count()
     deal_schema = "list long, dim int, id long, copies long, vector binary, lists binary, places binary"
@@ -253,7 +272,12 @@ def vector_groups(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(met.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)
     summary = reps.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
-    summary = scratch.save(summary.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
-    out = rows.join(summary, "vector", "left")
+    summary = scratch.save(summary.select("vector", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")))
+    # Rows of a vector that many share are dealt by id; its summary goes to each part.
+    parts = F.floor((F.col("copies") - 1) / QUERIES).cast("int")
+    dealt = rows.join(summary.filter(F.col("copies") > QUERIES).select(F.col("vector").alias("__hot"), parts.alias("__parts")), F.col("vector") == F.col("__hot"), "left").drop("__hot")
+    rows = dealt.withColumn("__part", F.when(F.col("__parts") > 0, F.pmod(F.xxhash64("vec_id"), F.col("__parts") + 1).cast("int")).otherwise(0)).drop("__parts")
+    summary = summary.withColumn("__part", F.explode(F.sequence(F.lit(0), parts))).drop("copies")
+    out = rows.join(summary, ["vector", "__part"], "left")
     part = F.coalesce("component_id", F.col("vec_id").cast("long"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), part.alias("component_id"), (F.col("vec_id") == part).alias("kept"))

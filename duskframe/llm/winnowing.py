@@ -5,9 +5,10 @@ WINDOW grams in a row the one with the least hash is kept, the rightmost among e
 Two texts that share GRAM + WINDOW - 1 words in a row share a kept gram.
 
 Or they are runs of CHARS code points (`winnow_characters`), for texts of any script, with blanks or without:
-texts that share CHARS + WINDOW - 1 code points in a row share a kept gram. Their hash is the rolling one: the
-code points as digits in base BASE, modulo PRIME. It is rolled by doubling, which is what arrays can do: the
-value of 2 k code points comes from two of k, and both have other neighbours to serve. A short text has windows
+texts that share CHARS + WINDOW - 1 code points in a row share a kept gram. Their hash is a rolling one, the cyclic
+polynomial: of every code point's hash, turned left by the number of places to the last one, the exclusive or.
+It is rolled by doubling, which is what arrays can do: the value of 2 k code points comes from two of k, and
+both have other neighbours to serve. A short text has windows
 of a quarter or a sixteenth of WINDOW; what a wide window keeps, the narrow ones within it keep too.
 
 A gram is one long: hash in the upper bits, 2^31 - 1 - position below, so the least long of a window is the
@@ -26,9 +27,7 @@ from .columns import GAP
 GRAM = 5
 WINDOW = 16
 #: Code points of a gram of characters, a power of two.
-CHARS = 16
-#: Base and modulus of the rolling hash: products of two numbers below 2^30 fit a long.
-BASE, PRIME = 625_340_561, 1_073_741_789
+CHARS = 8
 _LAST = 2**31 - 1
 
 
@@ -92,23 +91,24 @@ def _spans(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1)]
 
 
-def _character_grams(text: Column) -> Column:
-    """Packed (hash, position) of the runs of CHARS code points of a text of as many or more."""
-    power = lambda k: F.lit(pow(BASE, k, PRIME)).cast("long")
-    roll = [lambda h, k=k: _beside(h, k, lambda x, y: (x * power(k) + y) % F.lit(PRIME)) for k in _spans(CHARS)]
-    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    pack = lambda h: F.transform(F.slice(h, 1, F.size(h) - (CHARS - 1)), lambda x, i: F.shiftleft(x, 31) + (F.lit(_LAST) - i))
-    return _let(points, *roll, pack)
+def _pack(value: Column, at: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(value, 32), 31).bitwiseOR(F.lit(_LAST) - at)
 
 
-def _thin(kept: Column) -> Column:
-    """One of each; equal ones are neighbours."""
-    return F.filter(kept, lambda x, i: (i == 0) | (x != F.get(kept, i - 1)))
+def _character_grams(text: Column) -> Column:
+    """Packed (hash, position) of the runs of CHARS code points of a text of as many or more."""
+    half = CHARS // 2
+    turned = lambda x, k: F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k))
+    double = [lambda h, k=k: _beside(h, k, lambda x, y: turned(x, k).bitwiseXOR(y)) for k in _spans(half)]
+    # The last step gives the place as well, and leaves out runs that end beyond the text.
+    last = lambda h: F.transform(F.slice(h, 1, F.size(h) - (CHARS - 1)), lambda x, i: _pack(turned(x, half).bitwiseXOR(F.get(h, i + half)), i))
+    return _let(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), *double, last)
 
 
 def _least_of(grams: Column, window: int) -> Column:
+    """The least of each window, each once."""
     minima = [lambda m, k=k: _beside(m, k, lambda x, y: F.least(x, y)) for k in _spans(window)]
-    return _let(grams, *minima, lambda m: F.slice(m, 1, F.size(m) - (window - 1)), _thin)
+    return _let(grams, *minima, lambda m: F.array_distinct(F.slice(m, 1, F.size(m) - (window - 1))))
 
 
 def winnow_characters(text: Column) -> Column:
@@ -117,7 +117,7 @@ def winnow_characters(text: Column) -> Column:
     Null and empty texts keep none. A text of fewer than CHARS code points is one gram. Of fewer than 4 * WINDOW
     grams the windows are WINDOW / 4, of fewer than WINDOW they are 1, so that a short text fills several.
     """
-    short = lambda t: F.array(F.shiftleft(F.pmod(F.xxhash64(t), F.lit(PRIME)), 31) + F.lit(_LAST))
+    short = lambda t: F.array(_pack(F.xxhash64(t), F.lit(0)))
     minima = lambda g: F.when(F.size(g) >= 4 * WINDOW, _least_of(g, WINDOW)).when(F.size(g) >= WINDOW, _least_of(g, WINDOW // 4)).otherwise(g)
     none = F.array().cast("array<bigint>")
     return _let(_plain(text), lambda t: F.when(t == "", none).when(F.char_length(t) < CHARS, short(t)).otherwise(_let(_character_grams(t), minima)))
@@ -143,7 +143,7 @@ def winnow_edited(kept: Column, text: Column, same: Column, more: Column) -> Col
     new = F.transform(_let(_character_grams(_plain(rest)), lambda g: _least_of(g, WINDOW)), lambda g: g - begin)
     joined = F.when(F.char_length(more) > 0, F.concat(old, new)).otherwise(old)
     known = (F.char_length(text) >= full) & (begin > 0) & (same + F.char_length(more) >= full)
-    return F.when(known, _let(joined, _thin)).otherwise(winnow_characters(F.concat(F.substring(text, F.lit(1), same), more)))
+    return F.when(known, F.array_distinct(joined)).otherwise(winnow_characters(F.concat(F.substring(text, F.lit(1), same), more)))
 
 
 def gram_hashes(kept: Column) -> Column:

@@ -158,19 +158,19 @@ def test_winnowing_odd_tables(spark, none):
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
-def _plain_characters(text, k=16):
+def _plain_characters(text, k=8):
     """Rolling: each gram's value from the one before it."""
-    base, prime = winnowing.BASE, winnowing.PRIME
-    points = [ord(c) for c in re.sub(r"[\x20\x09-\x0D]", " ", text or "")]
+    turn = lambda x, n: (x << n | x >> 64 - n) % 2**64
+    points = [xxhash.xxh64_intdigest(c.encode(), 42) for c in re.sub(r"[\x20\x09-\x0D]", " ", text or "")]
     if not points:
         return []
     if len(points) < k:
-        return [(_signed(xxhash.xxh64_intdigest("".join(map(chr, points)).encode(), 42)) % prime, 0)]
+        return [(xxhash.xxh64_intdigest(re.sub(r"[\x20\x09-\x0D]", " ", text).encode(), 42) >> 32, 0)]
     value, grams = 0, []
     for i, c in enumerate(points):
-        value = (value * base + c - (points[i - k] * pow(base, k, prime) if i >= k else 0)) % prime
+        value = turn(value, 1) ^ c ^ (turn(points[i - k], k) if i >= k else 0)
         if i >= k - 1:
-            grams.append(value)
+            grams.append(value >> 32)
     window = 16 if len(grams) >= 64 else 4 if len(grams) >= 16 else 1
     kept = []
     for i in range(len(grams) - window + 1):

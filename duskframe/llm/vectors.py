@@ -241,7 +241,7 @@ def vector_groups(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     Vectors are linked at a cosine of `cosine` or more. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, nor do vectors of different lengths. Equal vectors are met once,
     as one, and count as linked with each other. Rows that repeat an id with one vector are vectors of their
-    own; they share the id's component. Null ids link with nothing and have a null component. Other columns are
+    own; vectors of one id share its links and its component. Null ids link with nothing and have a null component. Other columns are
     not read. An empty table gives no rows.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "vectors")

@@ -82,13 +82,13 @@ def test_empty(spark):
 
 
 def test_odd_rows(spark, monkeypatch):
-    """Null and repeated ids, columns of clashing names, one vector in many rows."""
+    """Null and repeated ids, columns of clashing names, one vector in many rows. Vectors of one id share its links."""
     monkeypatch.setattr(vectors, "QUERIES", 8)
     rows = [(None, [1.0, 2.0], "x"), (3, [1.0, 2.0], "y"), (3, [5.0, -1.0], "z")] + [(10 + i, [2.0, 4.1], "c") for i in range(50)]
     out = vectors.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, copies string")).collect()
     assert len(out) == len(rows)
     assert [tuple(r) for r in out if r["vec_id"] is None] == [(None, 0, None, None)]
-    assert sorted(r["n_links"] for r in out if r["vec_id"] == 3) == [0, 50] and {r["component_id"] for r in out if r["vec_id"] != 3 and r["vec_id"]} == {3}
+    assert sorted(r["n_links"] for r in out if r["vec_id"] == 3) == [50, 50] and {r["component_id"] for r in out if r["vec_id"] != 3 and r["vec_id"]} == {3}
     assert all(r["n_links"] == 50 for r in out if (r["vec_id"] or 0) >= 10)
 
 

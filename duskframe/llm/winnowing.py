@@ -84,7 +84,10 @@ def _beside(values: Column, span: int, meet) -> Column:
 
 def _plain(text: Column) -> Column:
     """The text with a blank for each character of white space: as long as before."""
-    return F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5)
+    text = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def _spans(n: int) -> list[int]:
@@ -138,7 +141,9 @@ def winnow_edited(kept: Column, text: Column, same: Column, more: Column) -> Col
         return F.when(enters, position(g) - (WINDOW - 1)).otherwise(position(before) + 1)
 
     begin = same - reach  # the first window that reaches the rest
-    old = F.filter(kept, lambda g, i: (i == 0) | (first_window(g, F.get(kept, i - 1)) < begin))
+    # A gram before `begin` is kept by a window before it; only those just beyond need a look.
+    near = lambda g, i: (position(g) < begin + (WINDOW - 1)) & (first_window(g, F.get(kept, i - 1)) < begin)
+    old = F.filter(kept, lambda g, i: (i == 0) | (position(g) < begin) | near(g, i))
     rest = F.concat(F.substring(text, begin + 1, F.lit(reach)), more)
     new = F.transform(_let(_character_grams(_plain(rest)), lambda g: _least_of(g, WINDOW)), lambda g: g - begin)
     joined = F.when(F.char_length(more) > 0, F.concat(old, new)).otherwise(old)

@@ -8,7 +8,8 @@ Or they are runs of CHARS code points (`winnow_characters`), for texts of any sc
 texts that share CHARS + WINDOW - 1 code points in a row share a kept gram. Their hash is a rolling one, the cyclic
 polynomial: of every code point's hash, turned left by the number of places to the last one, the exclusive or.
 It is rolled by doubling, which is what arrays can do: the value of 2 k code points comes from two of k, and
-both have other neighbours to serve. A short text has windows
+both have other neighbours to serve. Only the upper half of a value is kept, and in runs of up to 32 code points
+no turned bit comes round to it, so a shift to the left does what a turn would. A short text has windows
 of a quarter or a sixteenth of WINDOW; what a wide window keeps, the narrow ones within it keep too.
 
 A gram is one long: hash in the upper bits, 2^31 - 1 - position below, so the least long of a window is the
@@ -26,7 +27,7 @@ from .columns import GAP
 
 GRAM = 5
 WINDOW = 16
-#: Code points of a gram of characters, a power of two.
+#: Code points of a gram of characters, a power of two, at most 32.
 CHARS = 8
 _LAST = 2**31 - 1
 
@@ -101,10 +102,9 @@ def _pack(value: Column, at: Column) -> Column:
 def _character_grams(text: Column) -> Column:
     """Packed (hash, position) of the runs of CHARS code points of a text of as many or more."""
     half = CHARS // 2
-    turned = lambda x, k: F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k))
-    double = [lambda h, k=k: _beside(h, k, lambda x, y: turned(x, k).bitwiseXOR(y)) for k in _spans(half)]
+    double = [lambda h, k=k: _beside(h, k, lambda x, y: F.shiftleft(x, k).bitwiseXOR(y)) for k in _spans(half)]
     # The last step gives the place as well, and leaves out runs that end beyond the text.
-    last = lambda h: F.transform(F.slice(h, 1, F.size(h) - (CHARS - 1)), lambda x, i: _pack(turned(x, half).bitwiseXOR(F.get(h, i + half)), i))
+    last = lambda h: F.transform(F.slice(h, 1, F.size(h) - (CHARS - 1)), lambda x, i: _pack(F.shiftleft(x, half).bitwiseXOR(F.get(h, i + half)), i))
     return _let(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), *double, last)
 
 

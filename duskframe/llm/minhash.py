@@ -15,9 +15,9 @@ a pair shares fewer with a probability of 5e-6. Candidates are confirmed on the
    leader form clusters with it, so a group of edited copies is one cluster, whatever its size;
 3. within a cluster all pairs meet as a product of 0/1 matrices, in tiles of TILE x TILE sets, so no table
    of pairs is made; of a tile only the links' components come out, a row for each set at most;
-4. candidates that are in different clusters and still in different components share two buckets: such buckets
-   of two keys, whose members all are candidates of one another, are met in tiles as clusters are. Buckets of
-   one key that hold many sets of no more than that in common thus make no pairs, however long they are.
+4. candidates of different clusters share buckets with members of several components. In these, members of the
+   component that holds most of a bucket meet the others, and the others one another, in tiles of the same size;
+   pairs within the first component are not met again, and no table of pairs is made here either.
 """
 
 from __future__ import annotations
@@ -196,15 +196,24 @@ def _link_tiles(percent: int):
 
 
 def _link_clusters(clusters: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) that span the components within each cluster of (id, cluster); an id may be in several."""
-    sizes = scratch.save(clusters.groupBy("cluster").agg(F.count("*").alias("members")).select("cluster", F.ceil(F.col("members") / TILE).cast("int").alias("chunks")))
-    rows = clusters.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    """Links (a, b) that span the components within each cluster of (id, cluster, known); an id may be in several.
+
+    Members that are `known` don't meet one another, but all others.
+    """
+    chunks_of = lambda x: F.ceil(F.count_if(x) / TILE).cast("int")
+    sizes = clusters.groupBy("cluster").agg(chunks_of(F.col("known")).alias("before"), chunks_of(~F.col("known")).alias("others"))
+    sizes = scratch.save(sizes.select("cluster", "before", (F.col("before") + F.col("others")).alias("chunks")))
+    # Chunks of known members come first.
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    chunk = F.when(F.col("known"), deal(F.col("before"))).otherwise(F.col("before") + deal(F.col("chunks") - F.col("before")))
+    rows = clusters.join(sizes, "cluster").withColumn("chunk", chunk)
     rows = scratch.save(rows)
     # A set is in a tile for each chunk of its cluster. Small tiles share a task; whole ones have their own.
     copies = rows.agg(F.sum(F.when(F.col("chunks") <= 2, F.col("chunks")))).first()[0] or 0
     bundles = copies // BUNDLE + 1
     sets = shingle_sets(docs.join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, F.col("chunk")) * (1 << 15) + F.greatest(c, F.col("chunk")))
+    first = F.when(F.col("known"), F.col("before")).otherwise(0)
+    tiles = F.transform(F.sequence(first, F.col("chunks") - 1), lambda c: F.least(c, F.col("chunk")) * (1 << 15) + F.greatest(c, F.col("chunk")))
     rows = rows.join(sets, F.col("id") == F.col("doc_id")).select("cluster", "chunks", "chunk", "id", "shingles", F.explode(tiles).alias("tile"))
     small = F.col("chunks") <= 2
     bundle = F.when(small, F.pmod(F.xxhash64("cluster", "tile"), F.lit(bundles)))
@@ -238,19 +247,18 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     parts = connected_components(stars.filter(F.col("shared") >= SHARED).select("a", "b"), scratch)
     clusters = parts.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     clusters = scratch.save(clusters.unionByName(clusters.select(F.col("cluster").alias("id"), "cluster").distinct()))
-    links = _link_clusters(clusters, docs, scratch, percent)
+    links = _link_clusters(clusters.withColumn("known", F.lit(False)), docs, scratch, percent)
 
     parts = connected_components(links, scratch)
     placed = members.select("key", "id").join(clusters, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
     placed = placed.select("key", "id", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("root", "id").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("cluster").alias("p"), F.max("cluster").alias("q")).filter("p < q").select("key")
-    placed = placed.join(mixed, "key", "left_semi").groupBy("id", "part").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # BANDS keys for each text
-    twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda l: F.struct(k.alias("k"), l.alias("l")))))
-    placed = scratch.save(placed.select("id", "part", F.inline(twos)))
-    buckets = placed.groupBy("k", "l").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).filter("p < q")
-    # Of buckets of the same members one is met.
-    once = scratch.save(buckets.groupBy("n", "who").agg(F.min(F.struct("k", "l")).alias("kl")).select("kl.k", "kl.l"))
-    apart = scratch.save(placed.join(once, ["k", "l"]).select("id", F.xxhash64("k", "l").alias("cluster")).distinct())
+    placed = scratch.save(placed.join(mixed, "key", "left_semi").select("key", "id", "part"))
+    counts = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    buckets = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum("who").alias("who"), F.max(F.struct("n", "part")).alias("most")).filter("parts > 1")
+    # Of buckets of the same members one is met. One that fills no more than a tile is met whole.
+    once = scratch.save(buckets.groupBy("n", "who").agg(F.min(F.struct("key", F.when(F.col("n") > TILE, F.col("most.part")).alias("most"))).alias("b")).select("b.key", "b.most"))
+    apart = scratch.save(placed.join(once, "key").select("id", F.col("key").alias("cluster"), F.col("part").eqNullSafe(F.col("most")).alias("known")).distinct())
     links = links.unionByName(_link_clusters(apart, docs, scratch, percent))
 
     parts = connected_components(links.unionByName(copies), scratch)

@@ -17,15 +17,26 @@ _MARKS = " || ".join(f"chr({ord(c)})" for c in licenses._MARKS)
 
 def _grams(text: str) -> str:
     words = f"list_filter(string_split(translate(lower({text}), {_MARKS}, repeat(' ', {len(licenses._MARKS)})), ' '), lambda w: w <> '')"
-    return f"(SELECT CASE WHEN len(w) < 2 THEN [] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END FROM (SELECT {words} AS w))"
+    return f"(SELECT CASE WHEN len(w) < 2 THEN [] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END FROM (SELECT {words} AS w))"
 
 
 LICENSES = rf"""
-WITH t AS (SELECT license, {_grams("line")} AS g FROM (VALUES {_TEMPLATES}) AS v(license, line)),
+WITH t0 AS (SELECT license, {_grams("line")} AS s FROM (VALUES {_TEMPLATES}) AS v(license, line)),
+t AS (SELECT license, s, list_distinct(s) AS g FROM t0),
 l AS (SELECT doc_id, text, regexp_split_to_array(text, '\r\n|\r|\n') AS lines FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS unit, unnest(lines) AS line FROM l UNION ALL SELECT doc_id, 0, text FROM l WHERE len(lines) > 1),
-g AS (SELECT doc_id, unit, {_grams("line")} AS g FROM u),
-m AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g JOIN t ON len(g.g) > 0 AND len(g.g) BETWEEN len(t.g) / 2 AND len(t.g) * 2),
+g AS (SELECT doc_id, unit, list_distinct({_grams("line")}) AS g FROM u),
+c AS (SELECT doc_id, unit, license, 2.0 * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice FROM g JOIN t ON len(g.g) > 0 AND len(g.g) BETWEEN len(t.g) / 2 AND len(t.g) * 2),
+w AS (SELECT doc_id, {_grams("text")} AS s FROM documents WHERE text IS NOT NULL),
+h AS (SELECT w.doc_id, w.s, t.license, t.s AS ts, t.g AS tg FROM w JOIN t ON (2 - {licenses.THRESHOLD}) * len(list_intersect(list_distinct(w.s), t.g)) >= {licenses.THRESHOLD} * len(t.g) - 1e-9),
+v AS (SELECT doc_id, license, p - list_position(ts, s[p]) + 1 AS d FROM (SELECT doc_id, license, s, ts, unnest(range(1, len(s) + 1)) AS p FROM h) WHERE list_contains(ts, s[p])),
+e AS (SELECT doc_id, license, d FROM (SELECT doc_id, license, d, row_number() OVER (PARTITION BY doc_id, license ORDER BY count(*) DESC, d) AS k FROM v GROUP BY doc_id, license, d) WHERE k = 1),
+f AS (SELECT h.doc_id, h.license, greatest(e.d, 1) AS a, e.d + len(ts) - 1 AS z, tg, list_distinct(s[greatest(e.d, 1):e.d + len(ts) - 1]) AS g FROM h JOIN e ON h.doc_id = e.doc_id AND h.license = e.license),
+x AS (SELECT doc_id, license, a, z, 2.0 * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice FROM f),
+y AS (SELECT * FROM x WHERE dice >= {licenses.THRESHOLD} - 1e-12),
+z AS (SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM y o WHERE o.doc_id = y.doc_id AND o.a <= y.z AND y.a <= o.z AND (o.dice > y.dice OR (o.dice = y.dice AND o.license < y.license)))),
+m0 AS (SELECT * FROM c WHERE dice >= {licenses.THRESHOLD} - 1e-12),
+m AS (SELECT doc_id, unit, license, dice FROM m0 UNION ALL SELECT doc_id, -a, license, dice FROM z WHERE NOT EXISTS (SELECT 1 FROM m0 WHERE m0.doc_id = z.doc_id AND m0.license = z.license)),
 b AS (SELECT doc_id, unit, license, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) AS k FROM m WHERE dice >= {licenses.THRESHOLD} - 1e-12) WHERE k = 1)
 SELECT d.doc_id, count(b.unit) AS n_units, count(DISTINCT b.license) AS n_licenses, arg_min(b.license, struct_pack(x := -b.dice, y := b.license)) AS license, round(max(b.dice), 9) AS dice
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN b ON d.doc_id = b.doc_id GROUP BY d.doc_id

@@ -4,7 +4,8 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+import textwrap
+from collections import Counter, defaultdict
 
 import xxhash
 from pyspark.sql import functions as F
@@ -34,6 +35,58 @@ def test_license_texts_match_themselves(spark):
 
 def test_licenses_empty(none):
     assert licenses.license_report(none).count() == 0
+    assert licenses.scan_passages(none).count() == 0
+
+
+def _plain_passages(text, threshold=0.8):
+    marks = re.compile(r"[\x09-\x0D\x21-\x2f:-@\[-`{-~ ]+")
+    seq = lambda t: [p for w in [[x for x in marks.split(t.lower()) if x]] for p in zip(w, w[1:])]
+    grams, met = seq(text), []
+    for name, template in licenses.TEMPLATES.items():
+        known = seq(template)
+        if (2 - threshold) * len(set(grams) & set(known)) < threshold * len(set(known)):
+            continue
+        votes = Counter(i - known.index(g) for i, g in enumerate(grams) if g in known)
+        start = min(votes, key=lambda d: (-votes[d], d))
+        first, last = max(start, 0), start + len(known) - 1
+        window = set(grams[first:last + 1])
+        dice = 2 * len(window & set(known)) / (len(window) + len(set(known)))
+        if dice >= threshold:
+            met.append((-dice, name, first, last))
+    return sorted((m[1], -m[2] - 1, -m[0]) for m in met if not any(o[2] <= m[3] and m[2] <= o[3] and o[:2] < m[:2] for o in met))
+
+
+def test_licenses_inside_longer_texts(spark):
+    code = "".join(f"int f{i}(int a, int b) {{ return a + b * {i}; }}\n" for i in range(200))
+    wrap = lambda t, mark: "".join(f"{mark} {x}\n" for x in textwrap.wrap(t, 60))
+    texts = {}
+    for name, template in licenses.TEMPLATES.items():
+        edited = template.split(" ")
+        edited[len(edited) // 2:len(edited) // 2] = ["Copyright", "2024"]
+        for form in (wrap(template, "#"), wrap(template, " *").replace("\n", "\r\n"), wrap(" ".join(edited), "//"), template[:len(template) // 3]):
+            texts[len(texts)] = code[:900] + form + code
+    texts[len(texts)] = wrap(licenses.TEMPLATES["MIT"], "#") + code + wrap(licenses.TEMPLATES["ISC"], "#")
+    texts[len(texts)] = ("the software is provided to the user of the software " * 3000)
+    rows = [*texts.items(), (None, texts[0]), (None, texts[0]), (len(texts), None), (len(texts) + 1, "")]
+    got = defaultdict(list)
+    for r in licenses.scan_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["license"], r["unit"], r["dice"]))
+    for key, text in texts.items():
+        assert sorted(got[key]) == _plain_passages(text), key
+    names = list(licenses.TEMPLATES)
+    for i in range(len(names)):
+        assert got[4 * i][0][0] == got[4 * i + 1][0][0] == names[i] and got[4 * i][0][2] == 1.0
+        assert names[i] not in {g[0] for g in got[4 * i + 3]}
+    assert {g[0] for g in got[4 * len(names)]} == {"MIT", "ISC"} and not got[len(texts) - 1]
+    assert len(got[None]) == 2
+    report = {r["doc_id"]: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert report[0]["license"] == names[0] and report[0]["n_units"] == 1 and report[3]["n_units"] == 0
+
+
+def test_most_votes(spark):
+    rows = [([3, 1, 3, 1, 2],), ([5],), ([],), ([-2, -2, 7],)]
+    out = spark.createDataFrame(rows, "x array<int>").select(licenses._most_votes(F.col("x")).alias("m")).collect()
+    assert [r["m"] for r in out] == [1, 5, None, -2]
 
 
 def _plain_targets(sizes):

@@ -65,6 +65,15 @@ def unit_bigrams(text: Column) -> Column:
     return F.array_distinct(text_bigrams(text))
 
 
+def _lines(text: Column) -> Column:
+    return F.split(text, r"\r\n|\r|\n")
+
+
+def _once(value: Column) -> Column:
+    """The value, computed once however many filters, join keys and lambdas read it."""
+    return F.explode(F.array(value))
+
+
 def _template_table(spark, templates: Mapping[str, str], threshold: float) -> DataFrame:
     """license, grams and n: a row for each size that a template can match."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, line string").select("license", unit_bigrams(F.col("line")).alias("grams"))
@@ -89,13 +98,14 @@ def _most_votes(places: Column) -> Column:
     return F.aggregate(F.array_sort(places), state(nothing, F.lit(0), nothing, F.lit(0)), step, lambda s: s["best"])
 
 
-def scan_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, unmatched: bool = False) -> DataFrame:
     """Every passage that matches: doc_id, unit (-k: it begins with the k-th word), license, dice, line (its words).
 
     A text has at most one passage for each template: the one most of the template's bigrams point at, the
     first of several. Of passages that overlap in a text only the best stays, by name of the license in a tie.
     Texts with fewer than two words match nothing, nor do null or empty texts; repeated rows match each on
-    its own. The work stays within a row, without a shuffle.
+    its own. With `unmatched`, only licenses that neither the whole of the row's text nor a line of it matches.
+    The work stays within a row, without a shuffle.
     """
     rows = df.sparkSession.createDataFrame(sorted(templates.items()), "license string, line string")
     known_rows = [r for r in rows.select("license", text_bigrams(F.col("line")).alias("grams")).collect() if r["grams"]]
@@ -105,10 +115,8 @@ def scan_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tem
     # Literals, as many as the templates have words.
     table = F.array(*(F.struct(F.lit(r["license"]).alias("license"), F.lit(r["grams"]).alias("grams"), F.lit(sorted(set(r["grams"]))).alias("own"), F.lit(need[r["license"]]).alias("need")) for r in known_rows))
     every = F.lit(sorted({g for r in known_rows for g in r["grams"]}))
-    # Arrays of one are exploded, so that what a filter or a lambda reads is computed once.
-    once = lambda value: F.explode(F.array(value))
-    held = df.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), once(text_bigrams(F.col(text))).alias("grams"))
-    held = held.select("*", once(F.array_intersect("grams", every)).alias("hits")).filter(F.size("hits") >= min(need.values()))
+    held = df.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _once(text_bigrams(F.col(text))).alias("grams"))
+    held = held.select("*", _once(F.array_intersect("grams", every)).alias("hits")).filter(F.size("hits") >= min(need.values()))
     known = F.filter(table, lambda t: F.size(F.array_intersect("hits", t["own"])) >= t["need"])
 
     def place(t: Column) -> Column:
@@ -118,14 +126,17 @@ def scan_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tem
 
     def compare(t: Column) -> Column:
         window = F.array_distinct(F.slice("grams", t["first"], t["last"] - t["first"] + 1))
-        return F.struct(t["license"].alias("license"), t["first"].alias("first"), t["last"].alias("last"), _dice(window, t["own"]).alias("dice"))
+        return F.struct(t["license"].alias("license"), t["first"].alias("first"), t["last"].alias("last"), _dice(window, t["own"]).alias("dice"), t["own"].alias("own"))
 
     def better(o: Column, m: Column) -> Column:
         return (o["first"] <= m["last"]) & (m["first"] <= o["last"]) & ((o["dice"] > m["dice"]) | ((o["dice"] == m["dice"]) & (o["license"] < m["license"])))
 
     met = F.filter(F.transform(F.transform(known, place), compare), lambda m: m["dice"] >= threshold - 1e-12)
-    held = held.select("doc_id", "text", once(met).alias("met"))
-    held = held.select("doc_id", "text", F.inline(F.filter("met", lambda m: ~F.exists("met", lambda o: better(o, m)))))
+    held = held.select("doc_id", "text", "grams", _once(met).alias("met")).filter(F.size("met") > 0)
+    units = F.concat(F.array(F.array_distinct("grams")), F.transform(_lines(F.col("text")), unit_bigrams)) if unmatched else F.array().cast("array<array<bigint>>")
+    held = held.select("doc_id", "text", "met", _once(units).alias("units"))
+    stays = lambda m: ~F.exists("met", lambda o: better(o, m)) & ~F.exists("units", lambda u: _dice(u, m["own"]) >= threshold - 1e-12)
+    held = held.select("doc_id", "text", F.inline(F.filter("met", stays)))
     words = F.array_join(F.slice(unit_words(F.col("text")), F.col("first"), F.col("last") - F.col("first") + 2), " ")
     return held.select("doc_id", (-F.col("first")).alias("unit"), "license", "dice", words.alias("line"))
 
@@ -135,22 +146,18 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tem
 
     Units with fewer than two words match nothing, nor do null or empty texts. Repeated rows match each on
     its own. A text of one line is met once, as its line. A passage is given only for a license that neither the
-    whole text nor a line of that doc_id matches; see `scan_passages`.
+    whole text nor a line of it matches; see `scan_passages`.
     """
-    lines = F.split(F.col(text), r"\r\n|\r|\n")
+    lines = _lines(F.col(text))
     whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).alias("unit"), F.col(text).alias("line"))))
     units = F.concat(F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line"))), F.coalesce(whole, F.array().cast("array<struct<unit:int,line:string>>")))
     rows = df.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.inline(units)).filter("line != ''")
-    rows = rows.withColumn("own", unit_bigrams(F.col("line")))
-    rows = rows.withColumn("n", F.size("own"))
+    rows = rows.select("*", _once(unit_bigrams(F.col("line"))).alias("own")).withColumn("n", F.size("own"))
     # Bounded by the templates: one row for each size that each of them can match.
     table = F.broadcast(_template_table(df.sparkSession, templates, threshold))
     met = rows.join(table, "n").withColumn("dice", _dice(F.col("own"), F.col("grams")))
     met = met.filter(F.col("dice") >= threshold - 1e-12).select("doc_id", "unit", "license", "dice", "line")
-    # Both sides hold matches only.
-    passages = scan_passages(df, doc_id, text, templates, threshold)
-    seen = met.select(F.col("doc_id").alias("seen_id"), F.col("license").alias("seen_license")).distinct()
-    return met.unionByName(passages.join(seen, F.col("doc_id").eqNullSafe(F.col("seen_id")) & (F.col("license") == F.col("seen_license")), "left_anti"))
+    return met.unionByName(scan_passages(df, doc_id, text, templates, threshold, unmatched=True))
 
 
 def license_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, minhash, mixing, oracle, sharding, tokens, toxicity, vectors, winnowing
+from . import bpe, fim, langid, licenses, lines, merkle, minhash, mixing, oracle, sharding, tokens, toxicity, vectors, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFra
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    manifest = merkle.Manifest(_table(spark, sf_dir, "documents"), claims=tampered, claimed=F.col("doc_id").isNotNull() & (_fold("doc_id", 7) == 0))
+    return manifest.audit().withColumnRenamed("key", "doc_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c, 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_source_mix": op2_source_mix,
@@ -85,5 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_groups": op8_vector_groups,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_sharding": op10_sharding,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
 SQL: dict[str, str] = oracle.SQL

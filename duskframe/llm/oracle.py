@@ -63,4 +63,53 @@ ids AS (SELECT vec_id AS id FROM embeddings),{_REACH}
 SELECT least.a AS vec_id, (SELECT count(*) FROM sym WHERE sym.a = least.a) AS n_links, least.c AS component_id, least.a = least.c AS kept FROM least
 """
 
-SQL: dict[str, str] = {"op1_license_scan": LICENSES, "op3_minhash_groups": MINHASH, "op8_vector_groups": VECTORS}
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = lambda n: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', n, 'text')))})"
+#: CRC-32 of an ASCII text, bit by bit: a step for each character, then eight shifts.
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+MERKLE = rf"""
+WITH RECURSIVE f AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF("n_chars + 1")} ELSE {_LEAF("n_chars")} END AS claim FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM f),
+n AS (SELECT g, 0 AS level, i, m, leaf AS h FROM leaves
+  UNION ALL SELECT g, level + 1, i // 2, (m + 1) // 2, sha256(CASE WHEN i + 1 < m THEN h || r ELSE h END) FROM (SELECT *, lead(h) OVER (PARTITION BY g ORDER BY i) AS r FROM n WHERE m > 1) WHERE i % 2 = 0),
+s AS (SELECT g, level AS height, h AS subroot FROM n WHERE m = 1),
+t AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m, subroot FROM s),
+u AS (SELECT 0 AS level, i, m, subroot AS h FROM t
+  UNION ALL SELECT level + 1, i // 2, (m + 1) // 2, sha256(CASE WHEN i + 1 < m THEN h || r ELSE h END) FROM (SELECT *, lead(h) OVER (ORDER BY i) AS r FROM u WHERE m > 1) WHERE i % 2 = 0),
+w AS (SELECT leaves.g, doc_id, leaf, 0 AS level, leaves.i AS j, 0 AS part, claim AS x, '' AS proof FROM leaves
+  UNION ALL SELECT w.g, doc_id, leaf,
+    CASE WHEN part = 0 AND level = height THEN 0 ELSE level + 1 END,
+    CASE WHEN part = 0 AND level = height THEN t.i ELSE j // 2 END,
+    CASE WHEN part = 0 AND level = height THEN 1 ELSE part END,
+    CASE WHEN part = 0 AND level = height THEN x ELSE sha256(CASE WHEN j % 2 = 1 THEN coalesce(a.h, b.h) || x ELSE x || coalesce(a.h, b.h, '') END) END,
+    CASE WHEN part = 0 AND level = height THEN proof ELSE proof || coalesce(a.h, b.h, '') END
+  FROM w JOIN s ON w.g = s.g JOIN t ON w.g = t.g
+  LEFT JOIN (SELECT g AS ag, level AS al, i AS ai, h FROM n) a ON part = 0 AND ag = w.g AND al = level AND ai = xor(j, 1) AND level < height
+  LEFT JOIN (SELECT level AS bl, i AS bi, h FROM u) b ON part = 1 AND bl = level AND bi = xor(j, 1)
+  WHERE part = 0 OR level < (SELECT max(level) FROM u)),
+root AS (SELECT h AS root FROM u WHERE m = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM w JOIN s ON w.g = s.g, root WHERE part = 1 AND level = (SELECT max(level) FROM u)
+"""
+
+FILL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, regexp_extract_all(t, '[ 	-]*[^ 	-]+|[ 	-]+') AS k, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(k) AS n, least(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS a, greatest(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS b FROM k),
+p AS (SELECT *, array_to_string(k[1:a], '') AS prefix, array_to_string(k[a + 1:b], '') AS middle, array_to_string(k[b + 1:], '') AS suffix,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+LINES = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key FROM e),
+h AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.doc_id, i, line, keeper IS NOT NULL AND keeper <> k.doc_id AS gone FROM k LEFT JOIN h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
+
+SQL: dict[str, str] = {"op1_license_scan": LICENSES, "op3_minhash_groups": MINHASH, "op8_vector_groups": VECTORS, "op11_merkle_manifest": MERKLE, "op12_fill_in_middle": FILL, "op13_line_dedup": LINES}

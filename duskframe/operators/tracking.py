@@ -34,10 +34,22 @@ def total_cost(a_features: Column, b_features: Column, a_box: Column, b_box: Col
     return cnn * (1 - like) + over * (1 - geometry.iou(a_box, b_box)) + box * (1 - geometry.size_ratio(a_box, b_box)) + dist * far
 
 
-def candidates(detections: DataFrame, images: DataFrame, width: int, height: int, key: str = "monitoring_session_id") -> DataFrame:
-    """(id, previous_id, cost) of all positive detections with features, against those of the frame before."""
+def before_gap(positives: DataFrame) -> DataFrame:
+    """Detections that come before, by id, the first one without features of their photo: the literal rule ends both
+    its loops at such a one, so it and all after it neither look for a parent nor are one."""
+    bare = F.col("cnn_features").isNull() | (F.size("cnn_features") == 0)
+    first = F.min(F.when(bare, F.col("id"))).over(Window.partitionBy("image_id"))
+    return positives.withColumn("__first_bare", first).filter(F.col("__first_bare").isNull() | (F.col("id") < F.col("__first_bare"))).drop("__first_bare")
+
+
+def candidates(detections: DataFrame, images: DataFrame, width: int, height: int, key: str = "monitoring_session_id", in_order: bool = False) -> DataFrame:
+    """(id, previous_id, cost) of all positive detections with features, against those of the frame before.
+
+    With `in_order` only those before the first without features of their photo count (`before_gap`).
+    """
     frames = number_frames(images, key).select(F.col("id").alias("image_id"), F.col(key).alias("session"), "frame_no")
-    rows = detections.filter((F.col("binary_label") == POSITIVE_LABEL) & F.col("cnn_features").isNotNull() & F.col("bbox").isNotNull())
+    rows = detections.filter(F.col("binary_label") == POSITIVE_LABEL)
+    rows = (before_gap(rows.select("id", "image_id", "bbox", "cnn_features")) if in_order else rows).filter(F.col("cnn_features").isNotNull() & F.col("bbox").isNotNull())
     rows = rows.select("id", "image_id", "bbox", "cnn_features").join(frames, "image_id")
     before = rows.select(F.col("session").alias("s"), (F.col("frame_no") + 1).alias("f"), F.col("id").alias("previous_id"), F.col("bbox").alias("previous_box"), F.col("cnn_features").alias("previous_features"))
     pairs = rows.join(before, (F.col("session") == F.col("s")) & (F.col("frame_no") == F.col("f")))
@@ -72,12 +84,12 @@ def resolve_tracks(ids: DataFrame, links: DataFrame) -> DataFrame:
             return rows.select("id", "root", "frame")
 
 
-def track(detections: DataFrame, images: DataFrame, sessions: DataFrame, width: int, height: int, threshold: float = TRACKING_COST_THRESHOLD, key: str = "monitoring_session_id") -> DataFrame:
+def track(detections: DataFrame, images: DataFrame, sessions: DataFrame, width: int, height: int, threshold: float = TRACKING_COST_THRESHOLD, key: str = "monitoring_session_id", in_order: bool = False) -> DataFrame:
     """id, sequence_id, sequence_frame, sequence_previous_id, sequence_previous_cost of all positive detections.
 
     All tracks are computed anew. Detections without features are tracks of their own. `sessions` has id and day.
     """
-    links = parents(candidates(detections, images, width, height, key), threshold)
+    links = parents(candidates(detections, images, width, height, key, in_order), threshold)
     links = Scratch(detections.sparkSession, "links").save(links)
     mine = detections.filter(F.col("binary_label") == POSITIVE_LABEL)
     rows = resolve_tracks(mine.select("id"), links).join(links, "id", "left")

@@ -15,6 +15,7 @@ from ..operators import detections as objects
 from ..scratch import shared_root
 from ..sources import taxa
 from ..streaming import sessions as stream_sessions
+from ..streaming import tracker as stream_tracker
 from ..streaming import worker
 from . import adapters as a
 from . import exports
@@ -352,6 +353,42 @@ def tracking_sequences(spark, d):
     return t.withColumn("sequence_previous_cost", F.round("sequence_previous_cost", 6))
 
 
+@query
+def tracking_parents_in_order(spark, d):
+    """The literal rule: comparisons of a photo end at its first object without features."""
+    x, i, _ = _tracked(spark, d)
+    return tracking.parents(tracking.candidates(x, i, a.WIDTH, a.HEIGHT, in_order=True), 1.75).withColumn("cost", F.round("cost", 6))
+
+
+@query
+def tracking_sequences_in_order(spark, d):
+    x, i, s = _tracked(spark, d)
+    t = tracking.track(x, i, s, a.WIDTH, a.HEIGHT, 1.75, in_order=True)
+    return t.withColumn("sequence_previous_cost", F.round("sequence_previous_cost", 6))
+
+
+def _replayed(spark, d, name, batches, **options):
+    """All photos as a stream, in order of time, in so many batches; the tracker's rows."""
+    x, i, s = _tracked(spark, d)
+    root = _place(spark, name)
+    rows = stream_tracker.photos(i, x, s)
+    ends = rows.agg(F.min("at").alias("a"), F.max("at").alias("z")).first()
+    part = F.floor((F.col("at") - ends.a) * batches / (ends.z - ends.a + 1)).cast("int")
+    rows.withColumn("part", part).repartition(batches, "part").write.partitionBy("part").parquet(f"{root}/photos")
+    for k in range(batches):  # a file's time decides when it is read
+        spark.read.schema(stream_tracker.PHOTO).parquet(f"{root}/photos/part={k}").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(stream_tracker.PHOTO).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream_tracker.run(stream, f"{root}/out", f"{root}/state", a.WIDTH, a.HEIGHT, threshold=1.75, **options).awaitTermination()
+    return spark.read.schema(stream_tracker.TRACKED).parquet(f"{root}/out")
+
+
+@query
+def stream_tracking(spark, d):
+    """Tracks of all photos, replayed as a stream in ten batches."""
+    t = _replayed(spark, d, "tracker", 10)
+    return t.filter("not late").select(*stream_tracker.columns(t)).withColumn("sequence_previous_cost", F.round("sequence_previous_cost", 6))
+
+
 @query
 def stale_sessions(spark, d):
     return tracking.stale_sessions(a.detections(spark, d))

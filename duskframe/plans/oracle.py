@@ -79,6 +79,12 @@ pa AS (SELECT *, greatest(least(b[3], c[3]) - greatest(b[1], c[1]) + 1, 0) * gre
 cost AS (SELECT id, previous_id, (1 - cosine) + (1 - round_even(shared / (sb + sc - shared) * 100, 0) / 100) + (1 - least(sb, sc) / greatest(sb, sc)) + sqrt(pow((b[1]+b[3])/2 - (c[1]+c[3])/2, 2) + pow((b[2]+b[4])/2 - (c[2]+c[4])/2, 2)) / 1443 AS cost FROM pa),
 par AS (SELECT id, previous_id, c AS cost FROM (SELECT id, previous_id, round(cost, 9) AS c, row_number() OVER (PARTITION BY id ORDER BY round(cost, 9), previous_id) AS k FROM cost) WHERE k = 1 AND c <= 1.75)"""
 
+#: The same, but for a photo's objects from its first one without features on.
+_COST_IN_ORDER = _COST.replace("WHERE d.binary_label = 'moth' AND d.bbox IS NOT NULL)", "LEFT JOIN (SELECT image_id, min(id) AS bare FROM det LEFT JOIN feat USING (feature_id) WHERE binary_label = 'moth' AND f IS NULL GROUP BY 1) g USING (image_id) WHERE d.binary_label = 'moth' AND d.bbox IS NOT NULL AND (bare IS NULL OR d.id < bare))")
+
+_TRACKS = "SELECT t.id, concat(strftime(d.day, '%Y%m%d'), '-SEQ-', t.root) AS sequence_id, CAST(t.frame AS INTEGER) AS sequence_frame, par.previous_id AS sequence_previous_id, round(par.cost, 6) AS sequence_previous_cost FROM tree t LEFT JOIN par ON t.id = par.id JOIN det x ON t.id = x.id JOIN (SELECT user_id, CAST(min(\"timestamp\") AS DATE) AS day FROM img GROUP BY 1) d ON x.user_id = d.user_id"
+_TREE = ", tree AS (SELECT id, id AS root, 0 AS frame FROM det WHERE binary_label = 'moth' AND id NOT IN (SELECT id FROM par) UNION ALL SELECT par.id, tree.root, tree.frame + 1 FROM par JOIN tree ON par.previous_id = tree.id)"
+
 _LABEL = "coalesce(specific_label, binary_label)"
 
 SQL: dict[str, str] = {
@@ -155,10 +161,10 @@ SQL: dict[str, str] = {
     "cosine_neighbours": "SELECT x.vec_id, round(list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))), 6) AS cosine FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x JOIN (SELECT vec_id + 1 AS vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y ON x.vec_id = y.vec_id",
     "tracking_costs": _with("SELECT id, previous_id, round(cost, 6) AS cost FROM cost", _COST),
     "tracking_parents": _with("SELECT id, previous_id, round(cost, 6) AS cost FROM par", _COST),
-    "tracking_sequences": _recursive(
-        "SELECT t.id, concat(strftime(d.day, '%Y%m%d'), '-SEQ-', t.root) AS sequence_id, CAST(t.frame AS INTEGER) AS sequence_frame, par.previous_id AS sequence_previous_id, round(par.cost, 6) AS sequence_previous_cost FROM tree t LEFT JOIN par ON t.id = par.id JOIN det x ON t.id = x.id JOIN (SELECT user_id, CAST(min(\"timestamp\") AS DATE) AS day FROM img GROUP BY 1) d ON x.user_id = d.user_id",
-        _COST + ", tree AS (SELECT id, id AS root, 0 AS frame FROM det WHERE binary_label = 'moth' AND id NOT IN (SELECT id FROM par) UNION ALL SELECT par.id, tree.root, tree.frame + 1 FROM par JOIN tree ON par.previous_id = tree.id)",
-    ),
+    "tracking_sequences": _recursive(_TRACKS, _COST + _TREE),
+    "stream_tracking": _recursive(_TRACKS, _COST + _TREE),
+    "tracking_parents_in_order": _with("SELECT id, previous_id, round(cost, 6) AS cost FROM par", _COST_IN_ORDER),
+    "tracking_sequences_in_order": _recursive(_TRACKS, _COST_IN_ORDER + _TREE),
     "stale_sessions": _with("SELECT DISTINCT monitoring_session_id FROM det WHERE sequence_id IS NULL AND binary_label = 'moth'"),
     "detection_upsert": _with("SELECT id, image_id, area_pixels, in_queue FROM det WHERE image_id NOT IN (SELECT image_id FROM det WHERE id % 50 = 0) UNION ALL SELECT id + 10000000, image_id, area_pixels, true FROM det WHERE id % 50 = 0"),
     "classification_update": _with("SELECT id, CASE WHEN id % 4 = 0 THEN concat('new_', id % 3) ELSE specific_label END AS specific_label, CASE WHEN id % 8 = 0 THEN 0.99 ELSE specific_label_score END AS specific_label_score FROM det"),

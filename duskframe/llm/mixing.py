@@ -138,8 +138,8 @@ def apply_mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
 
     Only ids, sources and sizes go through the rounding; the texts meet their numbers of copies in one join
     at the end. Rows that share an id, or have none, are told apart by source and size. Rows that share these
-    too are numbered, in blocks of about REPEATS by the hashes of their texts: the first so many are taken
-    `most` times, the next once less, and so on. Null and blank texts are not taken; an empty table gives no rows.
+    too are numbered, in blocks of about REPEATS by the hashes of their texts and within a block by another hash and the
+    text, so a rerun numbers them alike: the first so many are taken `most` times, the next once less, and so on. Null and blank texts are not taken; an empty table gives no rows.
     """
     mixed = mix_sources(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), **options)
     most = options.get("most", 3)
@@ -157,7 +157,7 @@ def apply_mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     begins = F.coalesce(F.sum("__n").over(Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = counted.select(F.col("__key").alias("__key_of"), F.col("__block").alias("__block_of"), begins.alias("__begin"))
     rows = rows.join(shares, "__key").withColumn("__block", block)
-    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key", "__block").orderBy("__key")))
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key", "__block").orderBy(F.xxhash64(F.lit("place"), text), text)))
     rows = rows.join(begins, (F.col("__key") == F.col("__key_of")) & (F.col("__block") == F.col("__block_of")), "left")
     place = F.col("__place") + F.coalesce("__begin", F.lit(0))
     copies = sum((F.when(place <= F.col(f"__at_least_{c}"), 1).otherwise(0) for c in range(2, most + 1)), F.when(place <= F.col("__at_least_1"), 1).otherwise(0))

@@ -94,8 +94,9 @@ def test_language_against_a_plain_version(spark):
         assert abs(r["lang_score"] - 1 / sum(math.exp(x - total[best]) for x in total.values())) < 1e-3
 
 
-def _plain_kneser_ney(rows):
-    """P(character | three before it) of both classes, by dictionaries of strings; rows: (text, toxic or None)."""
+def _plain_kneser_ney(rows, most=10**9):
+    """P(character | three before it) of both classes, by dictionaries of strings; rows: (text, toxic or None).
+    `most`: grams that are kept of each order."""
     fold = lambda t: "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalnum() else " " for c in t)
     padded = lambda t: "   " + fold(t)
     grams = lambda t: [padded(t)[i : i + 4] for i in range(len(fold(t)))]
@@ -106,9 +107,24 @@ def _plain_kneser_ney(rows):
         levels[m] = Counter(g[1:] for g in types)
         types = set(levels[m])
 
+    def number(gram):
+        n = 0
+        for c in gram:
+            n = n << 16 | ord(c)
+        return n - 2**64 if n >= 2**63 else n
+
+    n0, n1 = (sum(c.values()) for c in levels[4])
+    evidence = {4: {g: abs(levels[4][1][g] * n0 - levels[4][0][g] * n1) for g in levels[4][0] | levels[4][1]}}
+    for m in (3, 2, 1):
+        evidence[m] = Counter(levels[m])
+        for upper in levels[4] if m == 3 else [levels[m + 1]]:
+            for g, n in upper.items():
+                evidence[m][g[:-1]] += n
+    kept = {m: set(sorted(e, key=lambda g: (-e[g], number(g)))[:most]) for m, e in evidence.items()}
+
     def cut(counts):
         d = toxicity.discounts([sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)])
-        return {g: d[min(n, 3) - 1] for g, n in counts.items()}
+        return {g: d[min(n, 3) - 1] if g in kept[len(g)] else n for g, n in counts.items()}
 
     def contexts(counts, d):
         total, taken = Counter(), Counter()
@@ -124,7 +140,7 @@ def _plain_kneser_ney(rows):
         counts, d, total, taken = made[key]
         m = len(gram)
         lower = 1 / (len(levels[1]) + 1) if m == 1 else p(gram[1:], m - 1)
-        u = gram[:-1]
+        u = gram[:-1] if not gram[:-1] or gram[:-1] in kept[m - 1] else None
         return (counts.get(gram, 0) - d.get(gram, 0) + taken[u] * lower) / total[u] if total[u] else lower
 
     return lambda text: sum(math.log(p(g, (4, 1)) / p(g, (4, 0))) for g in grams(text)) / (len(fold(text)) + toxicity.SHORT)
@@ -138,6 +154,12 @@ def test_toxicity_against_a_plain_version(spark, monkeypatch):
     model = toxicity.ToxicityModel(toxicity.gram_counts(df.select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))), Scratch(spark, "test"))
     plain = _plain_kneser_ney([(t, c) for _, t, c in rows])
     asked = rows + [(2000, "unseen Ünseen qqq 漢 x", None)]
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 150)
+    pruned = toxicity.ToxicityModel(toxicity.gram_counts(df.select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))), Scratch(spark, "test"))
+    assert len(pruned.tables[4].values) == 151
+    plain_pruned = _plain_kneser_ney([(t, c) for _, t, c in rows], 150)
+    got = {r["doc_id"]: r["difference"] for r in toxicity.differences(df, pruned).collect()}
+    assert all(abs(got[d] - plain_pruned(t)) < 1e-6 for d, t, _ in rows)
     for size in (64, 1 << 18):
         out = {}
         for i, j, data, at, lead in textbytes.blocks(pa.array([t for _, t, _ in asked]), size, lead=3):
@@ -151,12 +173,23 @@ def test_toxicity_against_a_plain_version(spark, monkeypatch):
     assert all(abs(got[d] - plain(t)) < 1e-6 for d, t, _ in rows)
 
 
-def test_toxicity_folds_tables_beyond_their_bound(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_GRAMS", 512)
-    rows = _tables(spark, 300)
-    model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.col("doc_id") % 5 != 0)
-    assert len(model.tables[4].values) <= 513 and model.tables[4].folded
-    assert all(0 <= r["toxic_score"] <= 1 for r in toxicity.score(rows, model).collect())
+def test_toxicity_beyond_the_bound_of_grams(spark, monkeypatch):
+    """With room for a tenth of the grams of each order clean documents still pass and most toxic ones do not."""
+    rows = _tables(spark)
+    found, figures = [], []
+    for most in (1 << 21, None):
+        if most is None:
+            most = found[0] // 10
+            assert most < found[0]
+        monkeypatch.setattr(toxicity, "MAX_GRAMS", most)
+        model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.col("doc_id") % 5 != 0)
+        found.append(len(model.tables[4].values) - 1)
+        out = toxicity.score(rows.filter("doc_id % 5 = 0"), model).collect()
+        hit, toxic = np.array([r["toxic_score"] >= 0.5 for r in out]), np.array([r["toxic"] == 1 for r in out])
+        assert all(0 <= r["toxic_score"] <= 1 for r in out)
+        figures.append((hit[toxic].mean(), hit[~toxic].mean()))
+    assert found[1] == most
+    assert figures[1][0] > 0.6 and abs(figures[0][1] - figures[1][1]) < 0.02
 
 
 def test_toxicity_held_out(spark):

@@ -157,6 +157,15 @@ def test_mixing_of_a_hot_key(spark):
     assert mixed.filter("text != 'x y'").groupBy("text").count().filter("count > 3").count() == 0
 
 
+def test_mixing_does_not_depend_on_the_layout(spark):
+    """Rows of one key, or without one: a rerun over other partitions takes the same texts."""
+    rows = spark.range(6_000).selectExpr("case when id % 2 = 0 then id % 4 end as doc_id", "case when id % 3 = 0 then 'b' else 'a' end as source", "concat('w ', id % 4000) as text")
+    count = lambda df: sorted((tuple(r) for r in mixing.apply_mix(df).groupBy("doc_id", "source", "text").count().collect()), key=str)
+    first = count(rows)
+    assert first == count(rows.repartition(7, "text")) == count(rows.orderBy(F.desc("text")).coalesce(2))
+    assert len({r[2] for r in first}) < 4000
+
+
 def _signed(x):
     return x - 2**64 if x >= 2**63 else x
 

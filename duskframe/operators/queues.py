@@ -1,5 +1,5 @@
 """The five processing queues. A queue is a flag on rows; its operations give a new table, and who calls them
-writes it as the next snapshot. One writer at a time: there are no row locks.
+writes it as the next snapshot. `plans.maintenance.pull` takes rows out of a stored queue, for many pullers at once.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ def global_counts(images: DataFrame, detections: DataFrame) -> DataFrame:
     return photos.unionByName(counts.select(F.inline(F.array(*kinds))))
 
 
-def _flag(rows: DataFrame, ids: DataFrame, value: bool, when: Column | None = None) -> DataFrame:
+def set_flag(rows: DataFrame, ids: DataFrame, value: bool, when: Column | None = None) -> DataFrame:
+    """in_queue of the rows with these ids (where `when`) set to `value`."""
     marked = rows.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
     hit = F.col("__hit").isNotNull() if when is None else F.col("__hit").isNotNull() & F.coalesce(when, F.lit(False))
     return marked.withColumn("in_queue", F.when(hit, F.lit(value)).otherwise(F.col("in_queue"))).drop("__hit")
@@ -79,11 +80,11 @@ def _flag(rows: DataFrame, ids: DataFrame, value: bool, when: Column | None = No
 def add_unprocessed(rows: DataFrame, queue: Queue) -> DataFrame:
     """All open rows of the scope wait; except for photos, rows whose flag is null stay as they are."""
     when = F.col("in_queue").eqNullSafe(False) if queue.skips_null_flags else None
-    return _flag(rows, scope(rows, queue).filter(queue.open), True, when)
+    return set_flag(rows, scope(rows, queue).filter(queue.open), True, when)
 
 
 def clear(rows: DataFrame, queue: Queue) -> DataFrame:
-    return _flag(rows, scope(rows, queue), False)
+    return set_flag(rows, scope(rows, queue), False)
 
 
 def clear_all(images: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +108,11 @@ def pull_with_previous(rows: DataFrame, queue: Queue, n: int, previous: DataFram
 def pull(rows: DataFrame, queue: Queue, n: int) -> tuple[DataFrame, DataFrame]:
     """(the first n waiting rows by id, the table in which they no longer wait)."""
     taken = scope(rows, queue).filter(F.col("in_queue").eqNullSafe(True)).filter(queue.open).filter(queue.pull).orderBy("id").limit(n)
-    return taken, _flag(rows, taken, False)
+    return taken, set_flag(rows, taken, False)
 
 
 def enqueue(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return _flag(rows, ids, True)
+    return set_flag(rows, ids, True)
 
 
 def enqueue_session(rows: DataFrame, session_id: int) -> DataFrame:
@@ -123,4 +124,4 @@ def fill_with_sample(rows: DataFrame, size: int, seed: int = 1) -> DataFrame:
     waiting = F.col("in_queue").eqNullSafe(True)
     missing = max(0, size - rows.filter(waiting).count())
     drawn = rows.filter(~waiting & F.col("last_processed").isNull()).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(missing)
-    return _flag(rows, drawn, True)
+    return set_flag(rows, drawn, True)

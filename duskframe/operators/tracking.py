@@ -16,6 +16,10 @@ from ..schemas import POSITIVE_LABEL, TRACKING_COST_THRESHOLD
 from ..scratch import Scratch
 
 
+#: What tracking says about a detection.
+TRACK_COLUMNS = ("sequence_id", "sequence_frame", "sequence_previous_id", "sequence_previous_cost")
+
+
 def number_frames(images: DataFrame, key: str = "monitoring_session_id") -> DataFrame:
     """frame_no, from 0, of each photo within its session."""
     return images.withColumn("frame_no", F.row_number().over(Window.partitionBy(key).orderBy("timestamp", "id")) - 1)
@@ -107,7 +111,7 @@ def stale_sessions(detections: DataFrame, positives_only: bool = True) -> DataFr
 
 def retrack(detections: DataFrame, tracks: DataFrame) -> DataFrame:
     """Detections with the track columns of the sessions in `tracks` replaced."""
-    new = tracks.select("id", *[F.col(c).alias(f"__{c}") for c in ("sequence_id", "sequence_frame", "sequence_previous_id", "sequence_previous_cost")], F.lit(True).alias("__new"))
+    new = tracks.select("id", *[F.col(c).alias(f"__{c}") for c in TRACK_COLUMNS], F.lit(True).alias("__new"))
     rows = detections.join(new, "id", "left")
-    columns = {c: F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c) if c in detections.columns else F.lit(None)) for c in ("sequence_id", "sequence_frame", "sequence_previous_id", "sequence_previous_cost")}
+    columns = {c: F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c) if c in detections.columns else F.lit(None)) for c in TRACK_COLUMNS}
     return rows.withColumns(columns).select(*detections.columns, *[c for c in columns if c not in detections.columns])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from ..streaming import sessions as stream_sessions
 from ..streaming import tracker as stream_tracker
 from ..streaming import worker
 from . import adapters as a
-from . import exports
+from . import exports, maintenance
+from .versions import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -690,6 +693,39 @@ def stream_worker(spark, d):
     return spark.read.schema(worker.RESULT).parquet(f"{root}/out")
 
 
+@query
+def queue_pull_by_many(spark, d):
+    """Four pullers at once take 20 objects each out of one stored queue: the first 80, each once."""
+    rows = _queued(spark, d).select("id", "bbox", "binary_label", "specific_label", "in_queue")
+    table = VersionedTable.create(rows, _place(spark, "queue"), ["id"], 16)
+    with ThreadPoolExecutor(4) as pullers:
+        taken = list(pullers.map(lambda _: maintenance.pull(table, queues.QUEUES["unclassified_objects"], 20), range(4)))
+    return reduce(DataFrame.unionByName, [t.select("id") for t in taken if t is not None])
+
+
+@query
+def detection_upsert_stored(spark, d):
+    """`detection_upsert` on a stored table: buckets without a photo of the change stay as they are."""
+    x = a.detections(spark, d).select("id", "image_id", "bbox", "area_pixels", "in_queue")
+    table = VersionedTable.create(x, _place(spark, "detections"), ["image_id"], 16)
+    maintenance.replace_detections(table, x.filter("id % 50 = 0").select((F.col("id") + 10_000_000).alias("id"), "image_id", "bbox"))
+    return table.read().select("id", "image_id", "area_pixels", "in_queue")
+
+
+@query
+def retracked_incrementally(spark, d):
+    """Tracks of all sessions; one in five had a late photo, was cleared and tracked anew in the stored tables."""
+    x, i, s = _tracked(spark, d)
+    key = "monitoring_session_id"
+    x = x.select("id", "image_id", key, "binary_label", "bbox", "cnn_features")
+    rows = VersionedTable.create(tracking.retrack(x, tracking.track(x, i, s, a.WIDTH, a.HEIGHT, 1.75)), _place(spark, "detections"), [key], 16)
+    photos = VersionedTable.create(i.select("id", key, "timestamp"), _place(spark, "images"), [key], 16)
+    maintenance.late_photos(rows, s.filter("id % 5 = 0").select(F.col("id").alias("session")))
+    maintenance.retrack(rows, photos, s, a.WIDTH, a.HEIGHT, threshold=1.75)
+    t = rows.read().filter(F.col("binary_label") == "moth").select("id", *tracking.TRACK_COLUMNS)
+    return t.withColumn("sequence_previous_cost", F.round("sequence_previous_cost", 6))
+
+
 @query
 def stream_sessionize(spark, d):
     """Sessions of the events of each trap that were closed by the end of the stream."""

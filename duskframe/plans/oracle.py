@@ -147,6 +147,7 @@ SQL: dict[str, str] = {
         _SCOPE,
     ),
     "queue_pull_n": _with("SELECT id FROM pulled", _SCOPE),
+    "queue_pull_by_many": _with("SELECT id FROM s3 WHERE in_queue IS TRUE AND specific_label IS NULL AND bbox IS NOT NULL ORDER BY id LIMIT 80", _SCOPE),
     "queue_after_pull": _with("SELECT id, CASE WHEN id IN (SELECT id FROM pulled) THEN false ELSE in_queue END AS in_queue FROM q", _SCOPE),
     "queue_add_unprocessed": _with("SELECT id, CASE WHEN in_queue IS FALSE AND id IN (SELECT id FROM s5 WHERE sequence_id IS NULL) THEN true ELSE in_queue END AS in_queue FROM q", _SCOPE),
     "queue_clear": _with("SELECT id, CASE WHEN id IN (SELECT id FROM s3) THEN false ELSE in_queue END AS in_queue FROM q", _SCOPE),
@@ -162,11 +163,13 @@ SQL: dict[str, str] = {
     "tracking_costs": _with("SELECT id, previous_id, round(cost, 6) AS cost FROM cost", _COST),
     "tracking_parents": _with("SELECT id, previous_id, round(cost, 6) AS cost FROM par", _COST),
     "tracking_sequences": _recursive(_TRACKS, _COST + _TREE),
+    "retracked_incrementally": _recursive(_TRACKS, _COST + _TREE),
     "stream_tracking": _recursive(_TRACKS, _COST + _TREE),
     "tracking_parents_in_order": _with("SELECT id, previous_id, round(cost, 6) AS cost FROM par", _COST_IN_ORDER),
     "tracking_sequences_in_order": _recursive(_TRACKS, _COST_IN_ORDER + _TREE),
     "stale_sessions": _with("SELECT DISTINCT monitoring_session_id FROM det WHERE sequence_id IS NULL AND binary_label = 'moth'"),
     "detection_upsert": _with("SELECT id, image_id, area_pixels, in_queue FROM det WHERE image_id NOT IN (SELECT image_id FROM det WHERE id % 50 = 0) UNION ALL SELECT id + 10000000, image_id, area_pixels, true FROM det WHERE id % 50 = 0"),
+    "detection_upsert_stored": _with("SELECT id, image_id, area_pixels, in_queue FROM det WHERE image_id NOT IN (SELECT image_id FROM det WHERE id % 50 = 0) UNION ALL SELECT id + 10000000, image_id, area_pixels, true FROM det WHERE id % 50 = 0"),
     "classification_update": _with("SELECT id, CASE WHEN id % 4 = 0 THEN concat('new_', id % 3) ELSE specific_label END AS specific_label, CASE WHEN id % 8 = 0 THEN 0.99 ELSE specific_label_score END AS specific_label_score FROM det"),
     "session_upsert": _with("SELECT id, base_directory, CAST(day AS VARCHAR) AS day FROM ses"),
     "scan_upsert": _with(

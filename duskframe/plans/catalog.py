@@ -15,7 +15,7 @@ from ..functions import geometry, strings, times, vectors
 from ..operators import dedupe, inference, occurrences, queues, sessions, tracking, upserts
 from ..operators import detections as objects
 from ..scratch import shared_root
-from ..sources import taxa
+from ..sources import results, taxa
 from ..streaming import sessions as stream_sessions
 from ..streaming import tracker as stream_tracker
 from ..streaming import worker
@@ -693,6 +693,23 @@ def stream_worker(spark, d):
     return spark.read.schema(worker.RESULT).parquet(f"{root}/out")
 
 
+@query
+def job_totals(spark, d):
+    """Three jobs at once, with a task for each photo; a photo's result is the number of its stored detections. Totals
+    of tasks come from the running queries, results from the sink."""
+    results.register(spark)
+    root = _place(spark, "jobs")
+    n = F.col("id")
+    found = a.detections(spark, d).select(F.col("image_id").cast("string").alias("id"), F.col("image_id").cast("string").alias("source_image_id"))
+    tasks = a.images(spark, d).select(n.cast("string").alias("id"), n.cast("string").alias("image_id"), F.when(n % 7 != 3, F.concat(F.lit("file://"), "path")).alias("image_url"), F.concat(F.lit("r"), n.cast("string")).alias("reply_subject"), (n % 3).alias("job"))
+    tasks.write.partitionBy("job").parquet(f"{root}/tasks")
+    jobs = {f"job_{k}": spark.readStream.schema(tasks.drop("job").schema).parquet(f"{root}/tasks/job={k}") for k in range(3)}
+    done = worker.run_jobs(jobs, root, {k: lambda photos: found.join(photos, "id", "left_semi") for k in jobs})
+    counted = spark.createDataFrame([(k, t["tasks"], t["unusable"]) for k, t in done.totals.items()], "job string, tasks long, unusable long")  # a row for each job
+    parts = [results.results(spark, f"{root}/{k}/results", worker.RESULT).agg(F.sum("n_detections").alias("n_detections"), F.count("*").alias("results")).select(F.lit(k).alias("job"), "n_detections", "results") for k in jobs]
+    return counted.join(reduce(DataFrame.unionByName, parts), "job")
+
+
 @query
 def queue_pull_by_many(spark, d):
     """Four pullers at once take 20 objects each out of one stored queue: the first 80, each once."""

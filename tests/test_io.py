@@ -73,7 +73,7 @@ def test_worker(spark, tmp_path):
     path.write_text("".join(json.dumps({"id": str(i), "image_id": str(i), "image_url": "http://x/y.jpg" if i else None, "reply_subject": f"r{i}"}) + "\n" for i in range(3)))
     tasks.register(spark)
     assert spark.read.format("duskframe_tasks").option("path", str(path)).load().count() == 3
-    stream = spark.readStream.format("duskframe_tasks").option("path", str(path)).option("batch", 2).load()
+    stream = spark.readStream.format("duskframe_tasks").option("path", str(path)).option("split", 100).load()
     q = worker.run(stream, str(tmp_path / "out"), str(tmp_path / "state"), interval="0 seconds")
     q.processAllAvailable()
     q.stop()

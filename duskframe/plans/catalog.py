@@ -743,15 +743,23 @@ def retracked_incrementally(spark, d):
     return t.withColumn("sequence_previous_cost", F.round("sequence_previous_cost", 6))
 
 
+def _sessions_of_stream(spark, d, still_open):
+    c = _stream(spark, d, "events").select(F.concat(F.lit("/traps/trap_"), F.col("user_id").cast("string")).alias("base_directory"), F.col("ts").alias("timestamp"))
+    root = _place(spark, "sessions")
+    stream_sessions.run(c, root, f"{root}/state").awaitTermination()
+    return stream_sessions.sessions(spark, root, still_open).select("base_directory", "session_ordinal", "num_images")
+
+
 @query
 def stream_sessionize(spark, d):
     """Sessions of the events of each trap that were closed by the end of the stream."""
-    c = _stream(spark, d, "events").select(F.concat(F.lit("/traps/trap_"), F.col("user_id").cast("string")).alias("base_directory"), F.col("ts").alias("timestamp"))
-    root = _place(spark, "sessions")
-    rows = stream_sessions.sessionize(c)
-    writer = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream_sessions.OUTPUT).parquet(f"{root}/out").select("base_directory", "session_ordinal", "num_images")
+    return _sessions_of_stream(spark, d, False)
+
+
+@query
+def stream_sessionize_all(spark, d):
+    """The same, and those that are still open then."""
+    return _sessions_of_stream(spark, d, True)
 
 
 @query

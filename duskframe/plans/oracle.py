@@ -105,6 +105,7 @@ SQL: dict[str, str] = {
     "session_report": _with("SELECT id, base_directory AS deployment, CAST(day AS VARCHAR) AS date, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time, CAST(round_even(floor((epoch_us(end_time) - epoch_us(start_time)) / 1000000.0) / 60.0, 0) AS INTEGER) AS duration_minutes, num_images, num_detected_objects FROM agg"),
     "session_distincts": _with("SELECT monitoring_session_id, count(DISTINCT specific_label) FILTER (specific_label_score >= 0.3) AS num_species, count(DISTINCT sequence_id) AS num_occurrences FROM det GROUP BY 1"),
     "sessionize_gap": _with("SELECT * FROM p", _gap(False)),
+    "stream_sessionize_all": _with("SELECT base_directory, session_ordinal, count(*) AS num_images FROM p GROUP BY 1, 2", _gap(False)),
     "sessionize_gap_wrapped": _with("SELECT * FROM p", _gap(True)),
     "sessionize_last_per_day": _with("SELECT id, base_directory, session_ordinal, session_day FROM (SELECT *, max(session_ordinal) OVER (PARTITION BY base_directory, session_day) AS z FROM p) WHERE z = session_ordinal", _gap(False)),
     "list_species": _with("SELECT specific_label, count(sequence_id) AS count FROM det WHERE specific_label_score >= 0.3 GROUP BY 1"),

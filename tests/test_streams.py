@@ -1,12 +1,16 @@
 """The task source, the result sink and jobs."""
 
+import datetime
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from duskframe.operators import sessions
 from duskframe.sources import results, tasks
+from duskframe.streaming import sessions as stream_sessions
 from duskframe.streaming import worker
 
 TASKS = "id string, image_id string, image_url string, reply_subject string"
@@ -112,3 +116,52 @@ def test_totals_of_jobs(spark, tmp_path):
     assert not done.running and not [q for q in spark.streams.active if q.name in jobs]
     assert set(done.failed) <= {"stopped"}
     assert os.path.isdir(tmp_path / "moths" / "state")
+
+
+CAPTURES = "id long, base_directory string, timestamp timestamp_ntz"
+
+
+def _replay(spark, place, batches):
+    for rows in batches:
+        spark.createDataFrame(rows, CAPTURES).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    stream_sessions.run(stream, f"{place}/out", f"{place}/state").awaitTermination()
+
+
+def test_all_sessions_of_a_stream_equal_the_batch(spark, tmp_path):
+    """Gaps of the limit to the microsecond; traps that begin late, fall silent, and hold most captures."""
+    rng, rows, start = random.Random(4), [], datetime.datetime(2024, 3, 1)
+    for trap, steps in (("hot", 400), ("a", 40), ("b", 12), ("one", 1)):
+        t = start + datetime.timedelta(hours=rng.randint(0, 30))
+        for _ in range(steps):
+            rows.append((len(rows), trap, t))
+            t += rng.choice([datetime.timedelta(0), datetime.timedelta(minutes=3), datetime.timedelta(minutes=359, seconds=59, microseconds=999_999), datetime.timedelta(hours=6), datetime.timedelta(minutes=200), datetime.timedelta(days=2)])
+    rows.sort(key=lambda r: r[2])
+    cuts = [0, 3, 150, 151, 300, len(rows)]
+    batches = [rng.sample(rows[a:z], z - a) for a, z in zip(cuts, cuts[1:])]
+    batches[2].append((9999, "a", None))
+    _replay(spark, tmp_path, batches)
+    batch = sessions.group_by_gap(spark.createDataFrame(rows, CAPTURES)).groupBy("base_directory", "session_ordinal").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("num_images"))
+    got = stream_sessions.sessions(spark, str(tmp_path / "out"), still_open=True)
+    key = lambda df: sorted(map(tuple, df.select("base_directory", "session_ordinal", F.col("start_time").cast("timestamp_ntz"), F.col("end_time").cast("timestamp_ntz"), "num_images").collect()))
+    assert key(got) == key(batch)
+    closed = stream_sessions.sessions(spark, str(tmp_path / "out"))
+    assert set(map(tuple, closed.select("base_directory", "session_ordinal").collect())) < set(map(tuple, got.select("base_directory", "session_ordinal").collect()))
+
+
+def test_numbers_go_on_after_silence(spark, tmp_path):
+    at = lambda day, hour=0: datetime.datetime(2024, 1, day, hour)
+    _replay(spark, tmp_path, [[(1, "a", at(1))], [(2, "b", at(5)), (3, "b", at(5, 1))], [(4, "a", at(6)), (5, "a", at(6, 2))], [(6, "b", at(20))]])
+    rows = stream_sessions.sessions(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["base_directory"], r["session_ordinal"], r["num_images"]) for r in rows) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 2)]
+    rows = stream_sessions.sessions(spark, str(tmp_path / "out"), still_open=True).collect()
+    assert ("b", 2, 1) in {(r["base_directory"], r["session_ordinal"], r["num_images"]) for r in rows} and len(rows) == 4
+
+
+def test_a_batch_meets_few_rows_of_a_trap(spark):
+    """Ten thousand captures of one day are five stretches at most."""
+    rows = spark.range(10_000).selectExpr("'t' as base_directory", "id * 8640000 as at")
+    gap = 360 * 60_000_000
+    found = stream_sessions.stitch(spark.createDataFrame([], stream_sessions._OPEN), rows, gap)
+    (row,) = found.collect()
+    assert (row["n"], row["a"], row["z"], row["session_ordinal"], row["last"]) == (10_000, 0, 9999 * 8640000, 1, True)

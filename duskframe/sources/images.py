@@ -86,10 +86,17 @@ def _sizes(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
 
 
-#: Bytes of a file that go to Python: those of its header.
+#: Bytes of a file that go to Python first: those of its header. Where the frame comes later, the file follows.
 HEADER = 256 << 10
 
 
+def _shape(head: Column, content: Column, filesize: Column) -> Column:
+    """Width and height of a photo, from its first bytes or, if these do not have them, from all."""
+    first = _sizes(head)
+    rest = _sizes(F.when(first["width"].isNull() & (filesize > HEADER), content))
+    return F.struct(F.coalesce(first["width"], rest["width"]).alias("width"), F.coalesce(first["height"], rest["height"]).alias("height"))
+
+
 def named_images(spark: SparkSession, base: str, names: DataFrame, name: str = "path") -> DataFrame:
     """The files under a folder whose path relative to it is in a list of names."""
     wanted = names.select(F.col(name).alias("__name")).distinct()
@@ -110,11 +117,12 @@ def find_images(spark: SparkSession, base: str, check_exif: bool = True, skip_mi
     separate branches, since a Python function is not spared by a condition). Sizes need the bytes as well.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).filter(F.col("path").rlike(IMAGE_EXTENSIONS))
-    rows = files.select("path", F.col("length").alias("filesize"), F.substring("content", 1, HEADER).alias("content"), times.timestamp_in_name(F.col("path")).alias("timestamp"))
-    named = rows.filter("timestamp is not null").withColumn("shape", _sizes("content")).drop("content")
-    other = rows.filter("timestamp is null").withColumn("shape", _sizes("content"))
-    taken = _exif_times("content").cast("timestamp_ntz") if check_exif else F.lit(None).cast("timestamp_ntz")
-    out = named.unionByName(other.withColumn("timestamp", taken).drop("content"))
+    rows = files.select("path", F.col("length").alias("filesize"), "content", F.substring("content", 1, HEADER).alias("head"), times.timestamp_in_name(F.col("path")).alias("timestamp"))
+    shape = _shape(F.col("head"), F.col("content"), F.col("filesize"))
+    named = rows.filter("timestamp is not null").withColumn("shape", shape).drop("content", "head")
+    other = rows.filter("timestamp is null").withColumn("shape", shape).drop("content")
+    taken = _exif_times("head").cast("timestamp_ntz") if check_exif else F.lit(None).cast("timestamp_ntz")
+    out = named.unionByName(other.withColumn("timestamp", taken).drop("head"))
     if skip_missing_timestamps:
         out = out.filter("timestamp is not null")
     if not absolute_paths:

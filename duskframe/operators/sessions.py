@@ -36,6 +36,31 @@ def session_aggregates(sessions: DataFrame, images: DataFrame, detections: DataF
     return out.fillna(0, ["num_images", "num_detected_objects"])
 
 
+def update_aggregates(aggregates: DataFrame, image_changes: DataFrame, detection_changes: DataFrame, images: DataFrame) -> DataFrame:
+    """`aggregates` (as of `session_aggregates`) after changes of the tables.
+
+    Changes are rows (monitoring_session_id, change, and timestamp for photos), change 1 for an inserted and -1 for a
+    deleted row. Counts are added up; new times widen a session. Only where a deleted photo held the first or last
+    time are the photos of that session read again: `images` is the table after the changes. Sessions that
+    `aggregates` lacks are left out.
+    """
+    key, put, gone = "monitoring_session_id", F.col("change") > 0, F.col("change") < 0
+    time = lambda f, which: f(F.when(which, F.col("timestamp")))
+    photos = image_changes.groupBy(F.col(key).alias("id")).agg(F.sum("change").alias("__images"), time(F.min, put).alias("__first"), time(F.max, put).alias("__last"), time(F.min, gone).alias("__gone_first"), time(F.max, gone).alias("__gone_last"))
+    objects = detection_changes.groupBy(F.col(key).alias("id")).agg(F.sum("change").alias("__objects"))
+    rows = aggregates.join(photos, "id", "left").join(objects, "id", "left")
+    held = F.coalesce((F.col("__gone_first") <= F.col("start_time")) | (F.col("__gone_last") >= F.col("end_time")), F.lit(False))
+    again = images.join(rows.filter(held).select(F.col("id").alias(key)), key, "left_semi").groupBy(F.col(key).alias("id")).agg(F.min("timestamp").alias("__start"), F.max("timestamp").alias("__end"))
+    rows = rows.withColumn("__held", held).join(again, "id", "left")
+    new = {
+        "num_images": F.col("num_images") + F.coalesce("__images", F.lit(0)),
+        "num_detected_objects": F.col("num_detected_objects") + F.coalesce("__objects", F.lit(0)),
+        "start_time": F.when(F.col("__held"), F.col("__start")).otherwise(F.least("start_time", "__first")),
+        "end_time": F.when(F.col("__held"), F.col("__end")).otherwise(F.greatest("end_time", "__last")),
+    }
+    return rows.withColumns({c: v.cast(aggregates.schema[c].dataType) for c, v in new.items()}).select(*aggregates.columns)
+
+
 def session_report(aggregates: DataFrame) -> DataFrame:
     start, end = F.col("start_time"), F.col("end_time")
     return aggregates.select("id", F.col("base_directory").alias("deployment"), F.col("day").cast("string").alias("date"), F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("start_time"), F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("end_time"), times.duration_minutes(start, end).alias("duration_minutes"), times.duration_label(start, end).alias("duration_label"), "num_images", "num_detected_objects")

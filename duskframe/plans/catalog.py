@@ -693,6 +693,18 @@ def stream_worker(spark, d):
     return spark.read.schema(worker.RESULT).parquet(f"{root}/out")
 
 
+@query
+def session_aggregates_kept(spark, d):
+    """Stored aggregates after a fifth of the photos came, a third went and a quarter of the objects came."""
+    i, x, s = a.images(spark, d), a.detections(spark, d), a.sessions(spark, d)
+    table = VersionedTable.create(sessions.session_aggregates(s, i.filter("id % 5 != 0"), x.filter("id % 4 != 0")), _place(spark, "aggregates"), ["id"], 16)
+    change = F.when(F.col("id") % 3 != 0, 1).otherwise(-1)
+    photos = i.filter("(id % 5 = 0) = (id % 3 != 0)").select("monitoring_session_id", "timestamp", change.alias("change"))
+    maintenance.refresh_aggregates(table, photos, x.filter("id % 4 = 0").select("monitoring_session_id", F.lit(1).alias("change")), i.filter("id % 3 != 0"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    return table.read().select("id", F.col("num_images").cast("long"), F.col("num_detected_objects").cast("long"), us("start_time"), us("end_time"))
+
+
 @query
 def job_totals(spark, d):
     """Three jobs at once, with a task for each photo; a photo's result is the number of its stored detections. Totals

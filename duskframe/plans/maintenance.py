@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import queues, tracking, upserts
+from ..operators import sessions as grouped
 from ..scratch import Scratch
 from .versions import BUCKET, VersionedTable
 
@@ -85,3 +86,16 @@ def late_photos(detections: VersionedTable, sessions: DataFrame) -> None:
         return rows.withColumns(empty).drop("__late"), touched, None
 
     detections.change(work)
+
+
+def refresh_aggregates(aggregates: VersionedTable, image_changes: DataFrame, detection_changes: DataFrame, images: DataFrame) -> None:
+    """`sessions.update_aggregates` on a stored table whose key is id: buckets without a changed session stay."""
+
+    def work(base):
+        changed = image_changes.select("monitoring_session_id").unionByName(detection_changes.select("monitoring_session_id"))
+        touched = [b for b in base.touched(changed.select(F.col("monitoring_session_id").alias("id"))) if b in base.parts]
+        if not touched:
+            return None
+        return grouped.update_aggregates(base.read(touched).drop(BUCKET), image_changes, detection_changes, images), touched, None
+
+    aggregates.change(work)

@@ -148,6 +148,7 @@ SQL: dict[str, str] = {
         _SCOPE,
     ),
     "queue_pull_n": _with("SELECT id FROM pulled", _SCOPE),
+    "session_aggregates_kept": _with("SELECT s.id, coalesce(i.n, 0) AS num_images, coalesce(x.n, 0) AS num_detected_objects, i.a AS start_time, i.z AS end_time FROM ses s LEFT JOIN (SELECT monitoring_session_id, count(*) AS n, epoch_us(min(\"timestamp\")) AS a, epoch_us(max(\"timestamp\")) AS z FROM img WHERE id % 3 <> 0 GROUP BY 1) i ON s.id = i.monitoring_session_id LEFT JOIN (SELECT monitoring_session_id, count(*) AS n FROM det GROUP BY 1) x ON s.id = x.monitoring_session_id"),
     "job_totals": _with("SELECT concat('job_', i.id % 3) AS job, count(*) AS tasks, count(*) FILTER (i.id % 7 = 3) AS unusable, CAST(sum(CASE WHEN i.id % 7 = 3 THEN 0 ELSE coalesce(n, 0) END) AS BIGINT) AS n_detections, count(*) AS results FROM img i LEFT JOIN (SELECT image_id, count(*) AS n FROM det GROUP BY 1) d ON i.id = d.image_id GROUP BY 1"),
     "queue_pull_by_many": _with("SELECT id FROM s3 WHERE in_queue IS TRUE AND specific_label IS NULL AND bbox IS NOT NULL ORDER BY id LIMIT 80", _SCOPE),
     "queue_after_pull": _with("SELECT id, CASE WHEN id IN (SELECT id FROM pulled) THEN false ELSE in_queue END AS in_queue FROM q", _SCOPE),

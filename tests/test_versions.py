@@ -1,13 +1,15 @@
 """Tables with versions: pullers at once, upserts and retracking that touch few buckets."""
 
+import datetime
 import os
+import random
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 from test_tracker import tables
 
-from duskframe.operators import queues, tracking, upserts
+from duskframe.operators import queues, sessions, tracking, upserts
 from duskframe.plans import maintenance
 from duskframe.plans.versions import BUCKET, Conflict, VersionedTable
 
@@ -133,3 +135,25 @@ def test_empty_tables(spark, tmp_path):
     assert table.read().count() == 0 and maintenance.pull(table, queues.QUEUES["detected_objects"], 3) is None
     maintenance.update_by_id(table, spark.createDataFrame([(1, True)], "id long, in_queue boolean"))
     assert table.version().number == 0
+
+
+def test_aggregates_follow_inserts_and_deletes(spark):
+    rng = random.Random(9)
+    at = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=rng.randint(0, 60))
+    images = [(i, rng.randint(1, 8), at() if rng.random() > 0.1 else None) for i in range(60)]
+    objects = [(i, rng.randint(1, 8)) for i in range(50)]
+    schema, known = "id long, monitoring_session_id long, timestamp timestamp_ntz", spark.createDataFrame([(s, f"d{s}") for s in range(1, 11)], "id long, base_directory string")
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    boxes = lambda rows: spark.createDataFrame(rows, "id long, monitoring_session_id long")
+    kept = sessions.session_aggregates(known, frame(images), boxes(objects))
+    for _ in range(3):
+        gone = [r for r in images if r[1] == 3 or rng.random() < 0.3]
+        new = [(1000 + i, rng.randint(1, 9), at()) for i in range(15)]
+        lost, found = objects[:7], [(2000, 10), (2001, 99), (2002, 1)]
+        images, objects = [r for r in images if r not in gone] + new, objects[7:] + found
+        changes = spark.createDataFrame([(*r[1:], 1) for r in new] + [(*r[1:], -1) for r in gone], "monitoring_session_id long, timestamp timestamp_ntz, change int")
+        moved = spark.createDataFrame([(r[1], 1) for r in found] + [(r[1], -1) for r in lost], "monitoring_session_id long, change int")
+        rows = sessions.update_aggregates(kept, changes, moved, frame(images)).collect()
+        full = sessions.session_aggregates(known, frame(images), boxes(objects))
+        assert sorted(map(str, rows)) == sorted(map(str, full.select(*kept.columns).collect()))
+        kept = spark.createDataFrame(rows, kept.schema)

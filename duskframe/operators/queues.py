@@ -51,11 +51,14 @@ def status(rows: DataFrame, queue: Queue) -> DataFrame:
 
 
 def status_table(images: DataFrame, detections: DataFrame) -> DataFrame:
-    """The status of all queues, with a word for each."""
-    out = None
-    for name, queue in QUEUES.items():
-        row = status(images if name == "source_images" else detections, queue)
-        out = row if out is None else out.unionByName(row)
+    """The status of all queues, with a word for each: one pass over each table. The newest detection of a box
+    in the scope of each queue is found in one aggregation by box."""
+    out = status(images, QUEUES["source_images"])
+    boxed = {name: queue for name, queue in QUEUES.items() if queue.one_per_box}
+    state = lambda queue: F.struct("id", F.expr(queue.open).alias("open"), F.col("in_queue").eqNullSafe(True).alias("waits"))
+    newest = detections.groupBy("bbox").agg(*[F.max(F.when(F.expr(queue.scope), state(queue))).alias(name) for name, queue in boxed.items()])
+    count = lambda name: F.struct(F.lit(name).alias("queue"), F.count_if(F.col(name)["open"]).alias("unprocessed"), F.count_if(F.col(name)["open"] & F.col(name)["waits"]).alias("queued"), F.count_if(~F.col(name)["open"]).alias("done")).alias(name)
+    out = out.unionByName(newest.agg(*[count(name) for name in boxed]).select(F.inline(F.array(*boxed))))
     word = F.when(F.col("queued") > 0, "Waiting").when(F.col("unprocessed") > 0, "Idle").otherwise("Done")
     return out.withColumn("status", word)
 

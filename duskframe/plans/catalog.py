@@ -580,8 +580,21 @@ def detection_report(spark, d):
 @query
 def sessions_in_order(spark, d):
     """Sessions of one trap, numbered in order of start."""
-    rows = sessions.in_order(_aggregates(spark, d), "/traps/trap_7").select("id", F.col("day").cast("string").alias("day"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+    rows = sessions.in_order(_aggregates(spark, d), "/traps/trap_7")
+    return rows.select("id", F.col("day").cast("string").alias("day"), F.row_number().over(Window.partitionBy("base_directory").orderBy(F.asc_nulls_last("start_time"), "id")).cast("long").alias("place"))
+
+
+@query
+def sessions_page_by_day(spark, d):
+    """The second page of all sessions in order of day."""
+    return sessions.in_order(_aggregates(spark, d), by="day").offset(20).limit(20).select("id", F.col("day").cast("string").alias("day"))
+
+
+@query
+def detection_list(spark, d):
+    """The simple row of each detection."""
+    rows = objects.list_items(a.detections(spark, d))
+    return rows.select("id", "image_id", "cropped_image_path", geometry.box_text(F.col("bbox")).alias("bbox"), "area_pixels", F.date_format("last_detected", "yyyy-MM-dd HH:mm:ss").alias("last_detected"), "label", "score", "in_queue")
 
 
 @query

@@ -206,6 +206,8 @@ SQL: dict[str, str] = {
         """SELECT d.id, regexp_replace(s.base_directory, '^.*/', '') AS deployment, CAST(s.day AS VARCHAR) AS session, s.id AS session_id, d.sequence_id AS sequence, d.sequence_frame, concat(i.base_directory, '/', i.path) AS source_image_path, d.path AS cropped_image_path, strftime(i."timestamp", '%Y-%m-%dT%H:%M:%S') AS timestamp, (d.bbox[1] + d.bbox[3]) / 2 AS center_x, d.area_pixels, coalesce(d.specific_label, d.binary_label) AS label, CASE WHEN d.specific_label IS NOT NULL THEN d.specific_label_score ELSE d.binary_label_score END AS score, d.in_queue
         FROM det d JOIN img i ON d.image_id = i.id JOIN ses s ON d.monitoring_session_id = s.id"""
     ),
+    "sessions_page_by_day": _with("SELECT id, CAST(day AS VARCHAR) AS day FROM agg ORDER BY agg.day NULLS LAST, id LIMIT 20 OFFSET 20"),
+    "detection_list": _with("SELECT id, image_id, path AS cropped_image_path, array_to_string(list_transform(bbox, lambda x: CAST(CAST(x AS DOUBLE) AS VARCHAR)), ',') AS bbox, area_pixels, strftime(last_detected, '%Y-%m-%d %H:%M:%S') AS last_detected, specific_label AS label, specific_label_score AS score, in_queue FROM det"),
     "sessions_in_order": _with("SELECT id, CAST(day AS VARCHAR) AS day, row_number() OVER (ORDER BY start_time, id) AS place FROM agg WHERE base_directory = '/traps/trap_7'"),
     "sessions_known": _with("SELECT count(*) AS count FROM ses WHERE base_directory = '/traps/trap_7'"),
     "captures_page": _with("""SELECT id, path FROM img WHERE user_id = 7 ORDER BY "timestamp", id LIMIT 20 OFFSET 5"""),

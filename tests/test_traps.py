@@ -180,3 +180,46 @@ def test_softmax_and_norm(spark):
     assert s == pytest.approx([0.0900306, 0.2447285, 0.6652410], abs=1e-6)
     assert one(spark, vectors.l1_normalize(F.array(F.lit(1.0), F.lit(3.0)))) == [0.25, 0.75]
     assert one(spark, vectors.softmax(F.lit(None).cast("array<double>"))) is None
+
+
+def test_status_of_all_queues_equals_each(spark):
+    rows = [(i, [0.0, 0.0, float(i % 5), 1.0] if i % 4 else None, [None, "moth", "nonmoth"][i % 3], [None, "sp"][i % 2], [True, False, None][i % 7 % 3], [None, 1][i % 6 % 2], [None, "s"][i % 8 // 5]) for i in range(90)]
+    x = spark.createDataFrame(rows, "id long, bbox array<double>, binary_label string, specific_label string, in_queue boolean, cnn_features int, sequence_id string")
+    i = spark.createDataFrame([(1, None, True), (2, None, False), (3, datetime(2024, 1, 1), None)], "id long, last_processed timestamp_ntz, in_queue boolean")
+    table = {r["queue"]: tuple(r)[:4] for r in queues.status_table(i, x).collect()}
+    assert table == {name: tuple(queues.status(i if name == "source_images" else x, q).first()) for name, q in queues.QUEUES.items()}
+    empty = queues.status_table(i.limit(0), x.limit(0)).collect()
+    assert len(empty) == 5 and all(tuple(r)[1:] == (0, 0, 0, "Done") for r in empty)
+
+
+def test_strict_costs_fail_out_of_range(spark):
+    """Without `strict` such pairs have a cost, with it they are an error."""
+    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    far = [lit([1, 0]), lit([1, 0]), lit([0, 0, 9, 9]), lit([90, 90, 99, 99]), F.lit(50.0)]
+    against = [lit([1, 0]), lit([-1, 0]), lit([0, 0, 9, 9]), lit([0, 0, 9, 9]), F.lit(50.0)]
+    for args, word in ((far, "diagonal"), (against, "cosine")):
+        assert one(spark, tracking.total_cost(*args)) > 1
+        with pytest.raises(Exception, match=word):
+            one(spark, tracking.total_cost(*args, strict=True))
+    near = [lit([1, 0]), lit([1, 1]), lit([0, 0, 9, 9]), lit([1, 0, 9, 9]), F.lit(50.0)]
+    assert one(spark, tracking.total_cost(*near, strict=True)) == one(spark, tracking.total_cost(*near))
+
+
+def test_names_of_models_and_services(spark):
+    assert one(spark, strings.model_key(F.lit(None).cast("string"), F.lit("My Model - v 2"))) == one(spark, strings.slugify(F.lit("My Model - v 2")))
+    assert one(spark, strings.model_key(F.lit("key"), F.lit("x"))) == "key"
+    assert one(spark, strings.service_name(F.lit("worker"), F.lit("host1"))) == "worker (host1)"
+
+
+def test_an_instant_of_a_local_time(spark):
+    local = F.lit("2024-03-01 22:30:00").cast("timestamp_ntz")
+    assert one(spark, F.unix_timestamp(times.with_offset(local, "-04:00")) - F.unix_timestamp(times.with_offset(local))) == 4 * 3600
+
+
+def test_a_new_classification_replaces_that_of_its_algorithm(spark):
+    kind = "struct<classification:string,algorithm:struct<name:string,key:string>>"
+    make = lambda label, key: F.struct(F.lit(label).alias("classification"), F.struct(F.lit(key.upper()).alias("name"), F.lit(key).alias("key")).alias("algorithm")).cast(kind)
+    old = F.array(make("a", "x"), make("b", "y"), make("c", "x"))
+    found = one(spark, vectors.replace_classification(old, make("new", "x")))
+    assert [(c["classification"], c["algorithm"]["key"]) for c in found] == [("b", "y"), ("new", "x")]
+    assert [c["classification"] for c in one(spark, vectors.replace_classification(F.array().cast(f"array<{kind}>"), make("new", "x")))] == ["new"]

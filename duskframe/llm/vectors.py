@@ -13,9 +13,10 @@ after one of TURNS random rotations. The farthest of the m * m sums are sums of
 vector finds its lists from m numbers. The number of directions grows with the number of vectors: lists keep
 their mean length, and the work grows in proportion to the vectors.
 
-A row of a list carries the vector and its other lists, so collisions of a pair are counted and its cosine
-is verified where the pair first meets; no table of pairs is made. A list that is long (a dense group) is
-parted into blocks, and each two blocks meet in a task.
+A row of a list carries the vector and its other lists, so a pair is decided where it first collides; no table of
+pairs is made. There the cosines of a window are one matrix product, which costs less than counting, so collisions
+are counted for the pairs that pass it; a pair counts if it passes both. Counting ends at the first list before this
+one, or at COUNT. A list that is long (a dense group) is parted into blocks, and each two blocks meet in a task.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ ENDS = 4
 LISTS = 2 * TURNS * ENDS
 COUNT = 2
 WIDTH = 1.1
-#: Pairs of a list that are counted at once.
+#: Pairs of a list that are met at once.
 PAIRS = 1 << 20
+#: Numbers of a table of members and lists; beyond that places are looked for in order.
+TABLE = 1 << 23
 #: Members of a block of a long list, on average.
 QUERIES = 4096
 _SEED = 20240229
@@ -145,45 +148,69 @@ def _deal(n: int, kind: type):
 
 
 class _List:
-    """The members of one list, and the places they have on each other's lists."""
-
-    def __init__(self, this: int, lists: list[np.ndarray], places: list[np.ndarray]):
-        member = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        name, place = np.concatenate(lists), np.concatenate(places)
-        # Lists that only one member is on tell nothing of a pair.
-        names, back, count = np.unique(name, return_inverse=True, return_counts=True)
-        shared = count[back] > 1
-        member, place, back = member[shared], place[shared], back[shared]
-        # Each list sorted by place; lists one after another, too far apart for a window to reach the next.
-        far = 4 * WIDTH + 2 * float(np.abs(place).max(initial=0.0))
-        spread = back * far + place
-        order = np.argsort(spread, kind="stable")
-        self.member, self.name, self.spread = member[order], back[order], spread[order]
-        self.n, self.here = len(lists), int(np.searchsorted(names, this))
-        self.by_member = np.lexsort((self.name, self.member))
-        self.own = np.searchsorted(self.member[self.by_member], np.arange(self.n + 1))
-
-    def collisions(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(queries, members) whose collisions reach COUNT and begin on this list, some queries at a time."""
-        lo = np.searchsorted(self.spread, self.spread - WIDTH, "left")
-        size = np.searchsorted(self.spread, self.spread + WIDTH, "right") - lo
-        total = np.cumsum(np.append(0, size[self.by_member]))[self.own]
-        q = 0
-        while q < self.n:
-            r = max(q + 1, int(np.searchsorted(total, total[q] + PAIRS, "right")) - 1)
-            entries = self.by_member[self.own[q] : self.own[r]]
-            n = size[entries]
-            at = np.arange(int(n.sum())) + np.repeat(lo[entries] - (np.cumsum(n) - n), n)
-            pair = np.repeat(self.member[entries], n) * self.n + self.member[at]
-            name = np.repeat(self.name[entries], n)
-            order = np.argsort(pair, kind="stable")  # within a pair lists stay in order
-            pair, name = pair[order], name[order]
-            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(pair)))
-            found = pair[first[(count >= COUNT) & (name[first] == self.here)]]
-            a, b = found // self.n, found % self.n
-            yield a[a != b], b[a != b]
-            q = r
+    """The members of one list, and the places that they have on each other's lists."""
+
+    def __init__(self, this: int, x: np.ndarray, lists: np.ndarray, places: np.ndarray):
+        """`x`: unit vectors; `lists` and `places`: a row for each member, LISTS names in order and the places there."""
+        self.x, self.place = x, places[lists == this]
+        # Lists that only one member is on tell nothing of a pair; names count from 0, -1 for such a list.
+        names, back, count = np.unique(lists, return_inverse=True, return_counts=True)
+        shared = count[back.reshape(lists.shape)] > 1
+        self.n_names = int((count > 1).sum())
+        number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)
+        self.name, self.at = number[back.reshape(lists.shape)], places
+        self.here = int(number[np.searchsorted(names, this)])
+        member = np.broadcast_to(np.arange(len(x))[:, None], lists.shape)
+        if len(x) * self.n_names <= TABLE:
+            self.table = np.full((len(x), self.n_names), np.inf)
+            self.table[member[shared], self.name[shared]] = places[shared]
+        else:
+            self.table = None
+            self.keys = member[shared] * self.n_names + self.name[shared]  # in order already
+            self.values = places[shared]
+
+    def _places(self, member: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """Where members lie on lists; far off where they are not on them."""
+        if self.table is not None:
+            return self.table[member, name]
+        key = member * self.n_names + name
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.values[found], np.inf)
+
+    def near(self, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, members) in each other's window on this list at a cosine of `cosine` or more, some queries at a time."""
+        order = np.argsort(self.place, kind="stable")
+        place, x = self.place[order], self.x[order]
+        lo, hi = np.searchsorted(place, place - WIDTH, "left"), np.searchsorted(place, place + WIDTH, "right")
+        step = max(1, PAIRS // (4 * len(place)))
+        for q in range(0, len(place), step):
+            some = slice(q, min(q + step, len(place)))
+            first, last = int(lo[some][0]), int(hi[some][-1])
+            like = x[some] @ x[first:last].T
+            a, b = np.nonzero(like >= cosine - 1e-9)
+            a, b = a + q, b + first
+            inside = (b >= lo[a]) & (b < hi[a]) & (a != b)
+            a, b = a[inside], b[inside]
+            for k in range(0, len(a), PAIRS // 16):
+                c, d = a[k : k + PAIRS // 16], b[k : k + PAIRS // 16]
+                sure = np.einsum("ij,ij->i", x[c], x[d]) >= cosine
+                yield order[c[sure]], order[d[sure]]
+
+    def begin_here(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs, in each other's window on this list, collide COUNT times or more, and on no list before this one."""
+        count, alive = np.zeros(len(a), np.int64), np.arange(len(a))
+        for k in range(self.name.shape[1]):
+            name = self.name[a[alive], k]
+            hit = np.zeros(len(alive), bool)
+            on = np.flatnonzero(name >= 0)
+            hit[on] = np.abs(self._places(b[alive[on]], name[on]) - self.at[a[alive[on]], k]) <= WIDTH
+            count[alive[hit]] += 1
+            before = hit & (name < self.here)
+            count[alive[before]] = -LISTS  # found on that list
+            alive = alive[~before & (count[alive] < COUNT)]
+            if not len(alive):
+                break
+        return count >= COUNT
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,13 +241,13 @@ def _match(cosine: float, name: type, kind: type):
             if len(part) < 2:
                 continue
             x = _unit(np.array(rows(vectors, part, kind)))
-            group = _List(int(of[part[0]]), rows(lists, part, name), [p.astype(np.float64) for p in rows(places, part, np.float16)])
+            group = _List(int(of[part[0]]), x, np.stack(rows(lists, part, name)), np.stack(rows(places, part, np.float16)).astype(np.float64))
             label, links, own = np.arange(len(part)), np.zeros(len(part), np.int64), side[part]
-            for a, b in group.collisions():
+            for a, b in group.near(cosine):
                 across = (own[a] == 0) | (own[a] != own[b])
                 a, b = a[across], b[across]
-                near = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + PAIRS // 16]], x[b[k : k + PAIRS // 16]]) for k in range(0, len(a), PAIRS // 16)]) if len(a) else np.zeros(0)
-                a, b = a[near >= cosine], b[near >= cosine]
+                mine = group.begin_here(a, b)
+                a, b = a[mine], b[mine]
                 links += np.bincount(a, copies[part][b], len(part)).astype(np.int64)
                 label = _join(label, a, b)
             least = np.full(len(part), np.iinfo(np.int64).max)

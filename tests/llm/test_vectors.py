@@ -99,3 +99,20 @@ def test_the_window_cuts():
 def test_recall_is_calibrated():
     assert vectors.recall(10_000, 0.9) > 0.999 and vectors.recall(10_000_000, 0.9, pairs=1000) > 0.97
     assert vectors.recall(100_000, 0.0) < 0.005  # unrelated vectors
+
+
+def test_dense_clouds(spark):
+    """All vectors on the same lists: in one cloud few pairs are links, in the other all are."""
+    rng = np.random.default_rng(8)
+    rows, base = [], rng.standard_normal((2, 64))
+    for k, (n, mean) in enumerate(((1200, 0.85), (600, 0.95))):
+        away = rng.standard_normal((n, 64))
+        cloud = np.sqrt(mean) * base[k] / np.linalg.norm(base[k]) + np.sqrt(1 - mean) * away / np.linalg.norm(away, axis=1, keepdims=True)
+        rows += [(len(rows) + i, [float(c) for c in v]) for i, v in enumerate(cloud)]
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r for r in vectors.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(rows))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    assert links[1200:].min() == 599 and {got[i]["component_id"] for i in range(1200, 1800)} == {1200}

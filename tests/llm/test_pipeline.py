@@ -61,4 +61,30 @@ def test_stages(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 14))
+
+
+def test_stages_on_odd_rows(spark, docs, none, tmp_path):
+    """Nulls, empty and long texts, repeated rows, rows without an id, clashing columns; no labels, no rows."""
+    repeated = docs.filter("doc_id < 30").unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")).limit(12))
+    odd = docs.unionByName(repeated)
+    odd = odd.withColumn("text", F.when(F.col("doc_id") == 1, F.concat(F.lit("long "), F.repeat(F.lit("word another 漢字 "), 30_000))).otherwise(F.col("text")))
+    odd.write.parquet(str(tmp_path / "odd"))
+    spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, start in enumerate((spark.read.parquet(str(tmp_path / "odd")), none)):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES:
+            before = rows
+            stage(spark, rows, str(tmp_path)).write.parquet(str(tmp_path / f"{k}-{name}"))
+            rows = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
+            if name != "tokenize":
+                assert rows.columns == start.columns
+            if name == "toxicity":  # no class has a label that counts: all stay
+                assert rows.count() == start.count()
+            if name == "language":
+                assert rows.filter("text is null or text in ('', ' \n\t ')").count() == 0
+            if name == "near_copies":
+                assert rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").count() == 0
+                assert rows.filter("doc_id is null").count() == before.filter("doc_id is null").count()
+        assert (rows.count() > 0) == (k == 0) and rows.columns == ["doc_id", "source", "n_tokens", "ids"]
+        assert rows.filter("octet_length(ids) != 4 * n_tokens").count() == 0

@@ -74,11 +74,11 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _template_table(spark, templates: Mapping[str, str], threshold: float) -> DataFrame:
-    """license, grams and n: a row for each size that a template can match."""
+def _template_tables(spark, templates: Mapping[str, str], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(n, license: a row for each size that a template can match; license, grams): as long as the templates together."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, line string").select("license", unit_bigrams(F.col("line")).alias("grams"))
     low, high = F.ceil(F.size("grams") * threshold / (2 - threshold) - 1e-9), F.floor(F.size("grams") * (2 - threshold) / threshold + 1e-9)
-    return rows.select("license", "grams", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int"))).alias("n"))
+    return rows.select(F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), high.cast("int"))).alias("n"), "license"), rows
 
 
 def _dice(a: Column, b: Column) -> Column:
@@ -153,9 +153,9 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tem
     units = F.concat(F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), x.alias("line"))), F.coalesce(whole, F.array().cast("array<struct<unit:int,line:string>>")))
     rows = df.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.inline(units)).filter("line != ''")
     rows = rows.select("*", _once(unit_bigrams(F.col("line"))).alias("own")).withColumn("n", F.size("own"))
-    # Bounded by the templates: one row for each size that each of them can match.
-    table = F.broadcast(_template_table(df.sparkSession, templates, threshold))
-    met = rows.join(table, "n").withColumn("dice", _dice(F.col("own"), F.col("grams")))
+    # Both are bounded by the lengths of the templates: sizes find names, names find bigrams.
+    sizes, grams = _template_tables(df.sparkSession, templates, threshold)
+    met = rows.join(F.broadcast(sizes), "n").join(F.broadcast(grams), "license").withColumn("dice", _dice(F.col("own"), F.col("grams")))
     met = met.filter(F.col("dice") >= threshold - 1e-12).select("doc_id", "unit", "license", "dice", "line")
     return met.unionByName(scan_passages(df, doc_id, text, templates, threshold, unmatched=True))
 

@@ -148,14 +148,16 @@ def apply_mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     keyed = mixed.groupBy(key(F.col("doc_id"), F.col("size"), F.col("source")).alias("__key"))
     # How many rows are taken c times or more, for c = 1, 2, ...
     shares = keyed.agg(F.count("*").alias("__rows"), *[F.count_if(F.col("copies") >= c).alias(f"__at_least_{c}") for c in range(1, most + 1)]).filter("__at_least_1 > 0")
-    shares = Scratch(df.sparkSession, "mix").save(shares.withColumn("__blocks", F.ceil(F.col("__rows") / REPEATS).cast("int")))
-    # Keys of several blocks are few: their blocks are counted, and each begins where those before it end.
-    wide = shares.filter("__blocks > 1").select("__key", "__blocks")
+    scratch = Scratch(df.sparkSession, "mix")
+    shares = scratch.save(shares.withColumn("__blocks", F.ceil(F.col("__rows") / REPEATS).cast("int")))
+    # Keys of several blocks are few: their blocks are counted, and each begins where those before it end. Both tables
+    # are written, so that their sizes are known before any text is dealt out for them.
+    wide = scratch.save(shares.filter("__blocks > 1").select("__key", "__blocks"))
     block = F.pmod(F.xxhash64(F.col(text)), F.col("__blocks")).cast("int")
     rows = df.withColumn("__key", key(F.col(doc_id), word_count(F.col(text)), F.col(source)))
     counted = rows.select("__key", text).join(wide, "__key").groupBy("__key", block.alias("__block")).agg(F.count("*").alias("__n"))
     begins = F.coalesce(F.sum("__n").over(Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begins = counted.select(F.col("__key").alias("__key_of"), F.col("__block").alias("__block_of"), begins.alias("__begin"))
+    begins = scratch.save(counted.select(F.col("__key").alias("__key_of"), F.col("__block").alias("__block_of"), begins.alias("__begin")))
     rows = rows.join(shares, "__key").withColumn("__block", block)
     rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__key", "__block").orderBy(F.xxhash64(F.lit("place"), text), text)))
     rows = rows.join(begins, (F.col("__key") == F.col("__key_of")) & (F.col("__block") == F.col("__block_of")), "left")

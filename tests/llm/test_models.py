@@ -189,7 +189,7 @@ def test_toxicity_beyond_the_bound_of_grams(spark, monkeypatch):
         assert all(0 <= r["toxic_score"] <= 1 for r in out)
         figures.append((hit[toxic].mean(), hit[~toxic].mean()))
     assert found[1] == most
-    assert figures[1][0] > 0.6 and abs(figures[0][1] - figures[1][1]) < 0.02
+    assert figures[1][0] > 0.6 and figures[1][1] < 0.05
 
 
 def test_toxicity_held_out(spark):

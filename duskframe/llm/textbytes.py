@@ -7,7 +7,7 @@ megabytes at a time, so that no Python object is made for a word.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _ends(data: np.ndarray, size: int, words: bool) -> Iterator[int]:
+def _ends(data: np.ndarray, size: int, words: bool, cuts: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[int]:
     """Where the parts of one text end: before a blank that follows a printable ASCII character, or at any
-    character. A run without such a blank is one part."""
+    character. Stretches without such a blank are asked for other places by `cuts`; a run without either is one part."""
     at = 0
     while len(data) - at > size:
         end = at + size
@@ -41,8 +41,10 @@ def _ends(data: np.ndarray, size: int, words: bool) -> Iterator[int]:
             end, start, step = 0, at + size // 2, size - size // 2
             while not end and start < len(data) - 1:
                 part = data[start : start + step + 1]
-                found = np.flatnonzero((part[1:] == 0x20) & (part[:-1] > 0x20) & (part[:-1] < 0x7F))
-                end = start + 1 + int(found[-1]) if len(found) else 0
+                found = 1 + np.flatnonzero((part[1:] == 0x20) & (part[:-1] > 0x20) & (part[:-1] < 0x7F))
+                if cuts is not None and not len(found):
+                    found = cuts(part)
+                end = start + int(found[-1]) if len(found) else 0
                 start += step
             if not end:
                 break
@@ -54,12 +56,13 @@ def _ends(data: np.ndarray, size: int, words: bool) -> Iterator[int]:
     yield len(data)
 
 
-def blocks(texts: pa.Array, size: int = BLOCK, lead: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+def blocks(texts: pa.Array, size: int = BLOCK, lead: int | None = None, cuts: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """(first, last + 1, bytes, offsets, 0) of runs of texts; nulls are empty texts.
 
     A text of more than `size` bytes comes in parts, each as a run of this one text. They are cut between
     words or, if `lead` is given, at any character; a later part then repeats the `lead` characters before it,
-    whose number of bytes is the last value. For a later part without a lead it is -1.
+    whose number of bytes is the last value. For a later part without a lead it is -1. `cuts` gives, for a stretch
+    of bytes that may begin and end within a character, further places (in bytes, after the first) to cut at.
     """
     texts = pc.fill_null(texts, "") if texts.null_count else texts
     _, at, data = texts.buffers()
@@ -74,7 +77,7 @@ def blocks(texts: pa.Array, size: int = BLOCK, lead: int | None = None) -> Itera
             yield i, j, run, at[i : j + 1] - at[i], 0
         else:
             begin = 0
-            for end in _ends(run, size, lead is None):
+            for end in _ends(run, size, lead is None, cuts):
                 back = begin
                 for _ in range(lead or 0):
                     back = max(back - 1, 0)
@@ -85,6 +88,14 @@ def blocks(texts: pa.Array, size: int = BLOCK, lead: int | None = None) -> Itera
         i = j
 
 
+def characters(part: np.ndarray) -> tuple[str, np.ndarray]:
+    """The whole characters of a stretch of bytes but the last, which may be cut off, and where each begins."""
+    lead = np.flatnonzero((part & 0xC0) != 0x80)
+    if len(lead) < 2:
+        return "", np.zeros(0, np.int64)
+    return part[lead[0] : lead[-1]].tobytes().decode("utf-8"), lead[:-1]
+
+
 def word_blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, hashes of the lower-case words, their texts) of runs of whole texts."""
     parts: list[np.ndarray] = []

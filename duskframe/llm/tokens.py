@@ -38,10 +38,11 @@ class UnigramCounter:
 
     def __init__(self, pieces: Iterable[tuple[str, float]], byte_fallback: bool = True):
         self.automaton = ahocorasick.Automaton()
-        self.single, least, self.split = set(), 0.0, True
+        self.single, least, self.split, self.longest = set(), 0.0, True, 1
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
             least = min(least, score)
+            self.longest = max(self.longest, len(piece))
             if len(piece) == 1:
                 self.single.add(piece)
             if BLANK in piece.lstrip(BLANK):
@@ -54,7 +55,9 @@ class UnigramCounter:
     def count(self, text: str) -> int:
         """Pieces of a text in which blanks are already marked."""
         n = len(text)
-        best, pieces = [0.0] * (n + 1), [0] * (n + 1)
+        # No piece reaches further back than the longest, so the places behind it are used again.
+        mask = (1 << min(self.longest, n).bit_length()) - 1
+        best, pieces = [0.0] * (mask + 1), [0] * (mask + 1)
         single, at = self.single, 0
         matches = self.automaton.iter(text)
         match = next(matches, None)
@@ -62,18 +65,29 @@ class UnigramCounter:
             score, count, known = 0.0, 0, False
             while match is not None and match[0] == end - 1:  # the longest piece first
                 length, own = match[1]
-                at = end - length
+                at = (end - length) & mask
                 own += best[at]
                 if not known or own > score:
                     score, count, known = own, pieces[at] + 1, True
                 match = next(matches, None)
             char = text[end - 1]
             if char not in single:
-                own = best[end - 1] + self.unknown
+                at = (end - 1) & mask
+                own = best[at] + self.unknown
                 if not known or own > score:
-                    score, count = own, pieces[end - 1] + (len(char.encode()) if self.byte_fallback else 1)
-            best[end], pieces[end] = score, count
-        return pieces[n]
+                    score, count = own, pieces[at] + (len(char.encode()) if self.byte_fallback else 1)
+            at = end & mask
+            best[at], pieces[at] = score, count
+        return pieces[n & mask]
+
+    def boundaries(self, part: np.ndarray) -> np.ndarray:
+        """The last place in a stretch of bytes that no piece lies across, if any: segmentations of both sides are apart."""
+        text, lead = textbytes.characters(part)
+        text, far = text.replace(" ", BLANK), self.longest
+        for place in range(len(text) - far, far, -1):
+            if not any(text[a:b] in self.automaton for a in range(place - 1, place - far, -1) for b in range(place + 1, a + far + 1)):
+                return lead[place : place + 1]
+        return lead[:0]
 
     def count_run(self, data: np.ndarray, offsets: np.ndarray, later: bool = False) -> np.ndarray:
         """Pieces of each of a run of texts. A blank is put before each text that isn't empty, but not before a
@@ -106,11 +120,12 @@ class UnigramCounter:
             segment = raw[a:b]
             found = known.get(segment)
             if found is None:
+                found = self.count(segment.decode("utf-8").replace(" ", BLANK))
                 self.held += ENTRY + b - a
                 if self.held > REMEMBERED:
                     known.clear()
                     self.held = ENTRY + b - a
-                found = known[segment] = self.count(segment.decode("utf-8").replace(" ", BLANK))
+                known[segment] = found
             counts[k] = found
         owner = filled[np.searchsorted(first, start, "right") - 1]
         return np.bincount(owner, counts[back], n).astype(np.int64)
@@ -141,9 +156,9 @@ def count_tokens(text: Column, model) -> Column:
         if raw not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[raw] = UnigramCounter(read_pieces(raw))
-        out = np.zeros(len(texts), np.int64)
-        for i, j, data, at, part in textbytes.blocks(texts):
-            out[i:j] += _COUNTERS[raw].count_run(data, at, part == -1)
+        counter, out = _COUNTERS[raw], np.zeros(len(texts), np.int64)
+        for i, j, data, at, part in textbytes.blocks(texts, cuts=counter.boundaries):
+            out[i:j] += counter.count_run(data, at, part == -1)
         textbytes.release()
         return pa.array(out)
 
@@ -153,7 +168,7 @@ def count_tokens(text: Column, model) -> Column:
 def count_documents(df: DataFrame, model, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """Add the number of tokens of every row's text: 0 for null and empty texts.
 
-    Repeated rows are counted each; an empty table gives no rows. A column `name` of the input is replaced,
+    A text of any length is counted in parts that no piece lies across. Repeated rows are counted each; an empty table gives no rows. A column `name` of the input is replaced,
     other columns pass through.
     """
     return df.withColumn(name, count_tokens(F.col(text), model))

@@ -45,6 +45,33 @@ def test_long_texts_come_in_parts(coder, plain):
     assert parts == {k: plain.encode_ordinary(t or "") for k, t in enumerate(texts)}
 
 
+def test_texts_without_blanks_come_in_parts(coder, plain):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["漢", "字", "，", "か", "'s", "'", "é", "12", "\u3000", "\u3000 ", "!", "x", "\n", "🙂"]) for _ in range(700)) for _ in range(40)]
+    parts, runs = {}, 0
+    for i, j, data, at, _ in textbytes.blocks(pa.array(texts), 64, cuts=coder.boundaries):
+        ids, ends = coder.encode_run(data, at)
+        runs += 1
+        for k in range(i, j):
+            parts[k] = parts.get(k, []) + ids[ends[k - i] : ends[k - i + 1]].tolist()
+    assert parts == {k: plain.encode_ordinary(t) for k, t in enumerate(texts)}
+    assert runs > 20 * len(texts)
+
+
+def test_long_pre_tokens_are_merged_in_parts(coder, plain, monkeypatch):
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4F00)] + list("qxzkjv") + ["the", "ing", "ж", "ß"]
+    texts = ["".join(rng.choice(letters) for _ in range(3000)) for _ in range(10)] + ["a" * 5000, "=" * 5000]
+    whole = [coder.merge(t.encode()).tolist() for t in texts]
+    assert whole == [plain.encode_ordinary(t) for t in texts]
+    spans, real = [], coder._merge
+    monkeypatch.setattr(bpe, "MERGED", 100)
+    monkeypatch.setattr(coder, "_merge", lambda piece: spans.append(len(piece)) or real(piece))
+    assert [coder.merge(t.encode()).tolist() for t in texts[:10]] == whole[:10]
+    assert max(spans) < 1000
+    assert [coder.merge(t.encode()).tolist() for t in texts[10:]] == whole[10:]
+
+
 def test_equal_hashes_do_not_make_equal_tokens(monkeypatch):
     real = textbytes.lane_hashes
 

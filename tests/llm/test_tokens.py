@@ -108,6 +108,32 @@ def test_equal_hashes_do_not_make_equal_counts(model, monkeypatch):
         assert total.tolist() == alone
 
 
+def test_texts_without_blanks_come_in_parts(model):
+    """A plain table of all sums over the whole text decides."""
+    pieces = tokens.read_pieces(model)
+    scores = dict(pieces)
+    counter = tokens.UnigramCounter(pieces)
+
+    def plain(text):
+        best = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            ways = [(best[a][0] + scores[text[a:end]], best[a][1] + 1) for a in range(max(0, end - counter.longest), end) if text[a:end] in scores]
+            if text[end - 1] not in counter.single:
+                ways.append((best[end - 1][0] + counter.unknown, best[end - 1][1] + len(text[end - 1].encode())))
+            best.append(max(ways, key=lambda way: way[0]))  # the first of equal ones begins first
+        return best[-1][1]
+
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E40)] + ["the", "ation", "x", "q", "é", "Ж", "，"]
+    texts = ["".join(rng.choice(letters) for _ in range(1500)) for _ in range(6)] + ["a" * 3000]
+    total, runs = np.zeros(len(texts), int), 0
+    for i, j, data, at, part in textbytes.blocks(pa.array(texts), 600, cuts=counter.boundaries):
+        total[i:j] += counter.count_run(data, at, part == -1)
+        runs += 1
+    assert total.tolist() == [plain("▁" + t) for t in texts]
+    assert runs > 5 * len(texts)
+
+
 def test_documents(spark, docs, corpus, model):
     rows = {r["doc_id"]: r["n_tokens"] for r in tokens.count_documents(docs, tokens.load(spark, PATH)).collect()}
     exact = tokens.UnigramCounter(tokens.read_pieces(model))

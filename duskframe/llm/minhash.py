@@ -14,7 +14,10 @@ a pair shares fewer with a probability of 5e-6. Candidates are confirmed on the
 2. in each bucket, the member that meets most others is the leader; members that are candidates with their
    leader form clusters with it, so a group of edited copies is one cluster, whatever its size;
 3. within a cluster all pairs meet as a product of 0/1 matrices, in tiles of TILE x TILE sets, so no table
-   of pairs is made; of a tile only the links' components come out, a row for each set at most;
+   of pairs is made; of a tile only the links' components come out, a row for each set at most. A set is copied
+   to every tile of its cluster; where that were more than LED copies, each member meets one leader first, the one
+   it shares most bands with. Members of the component that then holds most of the cluster are connected already:
+   they meet the others, and the others one another, but not themselves;
 4. candidates of different clusters share buckets with members of several components. In these, members of the
    component that holds most of a bucket meet the others, and the others one another, in tiles of the same size;
    pairs within the first component are not met again, and no table of pairs is made here either.
@@ -45,6 +48,10 @@ SHARED = 2
 #: Sets on each side of a tile, and shingles that are multiplied at once.
 TILE = 512
 COLUMNS = 4096
+#: Tiles for each set of a cluster beyond which its leaders are met first.
+LED = 32
+#: A tile's number is SIDE times the number of its one chunk, and that of its other one.
+SIDE = 1 << 31
 #: Sets, a copy for each of their tiles, of the small tiles that are met together.
 BUNDLE = 1000
 
@@ -173,7 +180,7 @@ def _link_tiles(percent: int):
         cut = np.flatnonzero((np.diff(cluster[order]) != 0) | (np.diff(tile[order]) != 0)) + 1
         nodes, roots = [], []
         for part in np.split(order, cut):
-            rows, cols = divmod(int(tile[part[0]]), 1 << 15)
+            rows, cols = divmod(int(tile[part[0]]), SIDE)
             left, right = (part[chunk[part] == c] for c in (rows, cols))
             own = [[values[at[k] : at[k + 1]] for k in side] for side in (left, right)]
             both = shared_counts(*own)
@@ -202,7 +209,7 @@ def _link_clusters(clusters: DataFrame, docs: DataFrame, scratch: Scratch, perce
     """
     chunks_of = lambda x: F.ceil(F.count_if(x) / TILE).cast("int")
     sizes = clusters.groupBy("cluster").agg(chunks_of(F.col("known")).alias("before"), chunks_of(~F.col("known")).alias("others"))
-    sizes = scratch.save(sizes.select("cluster", "before", (F.col("before") + F.col("others")).alias("chunks")))
+    sizes = scratch.save(sizes.filter("others > 0").select("cluster", "before", (F.col("before") + F.col("others")).alias("chunks")))
     # Chunks of known members come first.
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     chunk = F.when(F.col("known"), deal(F.col("before"))).otherwise(F.col("before") + deal(F.col("chunks") - F.col("before")))
@@ -213,7 +220,7 @@ def _link_clusters(clusters: DataFrame, docs: DataFrame, scratch: Scratch, perce
     bundles = copies // BUNDLE + 1
     sets = shingle_sets(docs.join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
     first = F.when(F.col("known"), F.col("before")).otherwise(0)
-    tiles = F.transform(F.sequence(first, F.col("chunks") - 1), lambda c: F.least(c, F.col("chunk")) * (1 << 15) + F.greatest(c, F.col("chunk")))
+    tiles = F.transform(F.sequence(first, F.col("chunks") - 1), lambda c: F.least(c, F.col("chunk")) * F.lit(SIDE) + F.greatest(c, F.col("chunk")))
     rows = rows.join(sets, F.col("id") == F.col("doc_id")).select("cluster", "chunks", "chunk", "id", "shingles", F.explode(tiles).alias("tile"))
     small = F.col("chunks") <= 2
     bundle = F.when(small, F.pmod(F.xxhash64("cluster", "tile"), F.lit(bundles)))
@@ -221,6 +228,35 @@ def _link_clusters(clusters: DataFrame, docs: DataFrame, scratch: Scratch, perce
     return scratch.save(rows.withColumn("bundle", bundle).groupBy("bundle", *alone).applyInArrow(_link_tiles(percent), "a long, b long").distinct())
 
 
+def _link_leaders(stars: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs of (id, leader): about TILE ids meet their leader at once, so each set is sent once
+    and a leader's once for each TILE of its ids."""
+    sizes = scratch.save(stars.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks")))
+    stars = scratch.save(stars.join(sizes, "leader").select("id", F.col("leader").alias("cluster"), F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("part")))
+    # One tile for each part of a leader's ids: the leader is its chunk 0, the ids are its chunk 1.
+    heads = stars.select(F.col("cluster").alias("id"), "cluster", "part", F.lit(0).alias("chunk")).distinct()
+    rows = scratch.save(stars.withColumn("chunk", F.lit(1)).unionByName(heads))
+    sets = shingle_sets(docs.join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    rows = rows.join(sets, F.col("id") == F.col("doc_id")).select("cluster", "part", "chunk", "id", "shingles", F.lit(1).cast("long").alias("tile"))
+    return scratch.save(rows.groupBy("cluster", "part").applyInArrow(_link_tiles(percent), "a long, b long").distinct())
+
+
+def _led(clusters: DataFrame, stars: DataFrame, docs: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Clusters (id, cluster, known) and the links by which their known members are connected, none where no cluster
+    is large. Stars are candidate pairs (a, b, shared) of leaders a and their members."""
+    large = scratch.save(clusters.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > LED * TILE).select("cluster"))
+    if not large.limit(1).count():
+        return clusters.withColumn("known", F.lit(False)), None
+    one = stars.groupBy(F.col("b").alias("id")).agg(F.max(F.struct("shared", -F.col("a"))).alias("top")).select("id", (-F.col("top.col2")).alias("leader"))
+    members = scratch.save(clusters.join(large, "cluster", "left_semi"))
+    links = _link_leaders(one.join(members.select("id"), "id", "left_semi"), docs, scratch, percent)
+    parts = connected_components(links, scratch)
+    parts = scratch.save(members.join(parts, F.col("id") == F.col("node"), "left").select("id", "cluster", F.coalesce("root", "id").alias("part")))
+    most = parts.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("most"))
+    led = parts.join(scratch.save(most), "cluster").select("id", "cluster", (F.col("part") == F.col("most.part")).alias("known"))
+    return scratch.save(clusters.join(large, "cluster", "left_anti").withColumn("known", F.lit(False)).unionByName(led)), links
+
+
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = LIKENESS_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `df`.
 
@@ -244,10 +280,14 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     degree = scratch.save(members.groupBy("id").agg(F.sum("mates").alias("degree")))
     leaders = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", -F.col("id"))).alias("top")).select("key", (-F.col("top.col2")).alias("leader"))
     stars = members.join(scratch.save(leaders), "key").filter("id != leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
-    parts = connected_components(stars.filter(F.col("shared") >= SHARED).select("a", "b"), scratch)
+    stars = scratch.save(stars.filter(F.col("shared") >= SHARED))
+    parts = connected_components(stars.select("a", "b"), scratch)
     clusters = parts.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     clusters = scratch.save(clusters.unionByName(clusters.select(F.col("cluster").alias("id"), "cluster").distinct()))
-    links = _link_clusters(clusters.withColumn("known", F.lit(False)), docs, scratch, percent)
+    clusters, near = _led(clusters, stars, docs, scratch, percent)
+    links = _link_clusters(clusters, docs, scratch, percent)
+    links = links if near is None else links.unionByName(near)
+    clusters = clusters.drop("known")
 
     parts = connected_components(links, scratch)
     placed = members.select("key", "id").join(clusters, "id", "left").join(parts, F.col("id") == F.col("node"), "left")

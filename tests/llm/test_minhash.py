@@ -98,6 +98,59 @@ def test_no_task_holds_more_than_a_few_tiles(spark, monkeypatch, tmp_path):
     assert len(held) > 100 and max(held) <= 100  # 25 chunks: about 2 x 16 sets in each of 325 tiles
 
 
+def _spoilt(n, start, rng):
+    """Copies of one text of 100 words, most of them near the first, some only near others, some near none."""
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for d in range(n):
+        words = list(base)
+        for e in range(rng.choice((0, 1, 1, 1, 2, 3, 4, 6, 9))):
+            words[rng.randrange(100)] = f"x{d}-{e}"
+        rows.append((start + d, " ".join(words)))
+    return rows
+
+
+def test_leaders_first(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "LED", 1)
+    rows = _spoilt(150, 1000, random.Random(7)) + [(d, f"a b c d e f g {d % 5} h i j k l m n o p q") for d in range(40)]
+    expected = plain_groups(rows)
+    assert len(set(expected.values())) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(df).collect()} == expected
+
+
+def test_sets_of_a_large_cluster_are_sent_a_few_times(spark, monkeypatch, tmp_path):
+    """Sets that meet grow in proportion to the cluster."""
+    monkeypatch.setattr(minhash, "TILE", 16)
+    monkeypatch.setattr(minhash, "LED", 4)
+    link = minhash._link_tiles
+
+    def counted(percent):
+        run = link(percent)
+
+        def count(table):
+            (tmp_path / f"{time.time_ns()}-{os.getpid()}").write_text(str(table.num_rows))
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(minhash, "_link_tiles", counted)
+    base = [f"w{i}" for i in range(100)]
+    sent = []
+    for n in (300, 600):
+        rows = [(d, " ".join(base[:30] + [f"x{d}"] + base[31:])) for d in range(n)]
+        out = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["component_id"] for r in out} == {0}
+        files = list(tmp_path.iterdir())
+        held = [int(f.read_text()) for f in files]
+        assert max(held) <= 60
+        sent.append(sum(held))
+        for f in files:
+            f.unlink()
+    assert sent[0] <= 2 * 300 and sent[1] <= 2 * 600  # all tiles: 19 and 38 copies of each
+
+
 def test_repeated_and_null_ids(spark):
     same = "one two three four five six seven"
     rows = [(3, same), (3, same), (5, same), (3, "a b c d e f"), (9, "a b c d e f"), (None, same), (None, None)]

@@ -113,6 +113,7 @@ class BytePairs:
         self.whole = PerfectHash(keys)
         self.rank_of = np.empty(len(used), np.int64)
         self.rank_of[self.whole.find(keys)] = used
+        self.single = [ranks.get(bytes((k,))) for k in range(256)]
         self.pairs = [ranks.get(bytes(divmod(k, 256)), -1) for k in range(1 << 16)]
         self.merged: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -157,12 +158,14 @@ class BytePairs:
 
     def merge(self, piece: bytes) -> array:
         """Ids of one pre-token that isn't a token as a whole."""
-        out, at, n = array("I"), 0, len(piece)
-        while n - at > MERGED:
-            end = next((p for p in range(at + MERGED, n) if self._apart(piece, p)), n)
+        n = len(piece)
+        if n <= MERGED:
+            return array("I", self._merge(piece))
+        out, at = array("I"), 0
+        while at < n:
+            end = n if n - at <= MERGED else next((p for p in range(at + MERGED, n) if self._apart(piece, p)), n)
             out.extend(self._merge(piece[at:end]))
             at = end
-        out.extend(self._merge(piece[at:]))
         return out
 
     def _merge(self, piece: bytes) -> list[int]:
@@ -170,41 +173,41 @@ class BytePairs:
 
         An entry of the heap is a number: rank, then where the pair starts, then where it ends.
         """
-        get, pairs, n = self.ranks.get, self.pairs, len(piece)
+        get, pairs, single, n = self.ranks.get, self.pairs, self.single, len(piece)
         shift = n.bit_length()
-        mask = (1 << shift) - 1
-        stop = array("q", range(1, n + 1))  # where the piece that starts here ends; 0: none starts here
-        stop.append(0)
-        back = array("q", range(-1, n))  # where the piece before starts
+        twice, mask = 2 * shift, (1 << shift) - 1
+        stop, back = range(1, n + 1), range(-1, n)
+        stop, back = (list(stop), list(back)) if n <= MERGED else (array("q", stop), array("q", back))
+        stop.append(0)  # where the piece that starts here ends; 0: none starts here
+        # `back` is where the piece before starts, `ids` the token that starts here; -1: none.
+        ids = [single[byte] for byte in piece]
         heap = []
         for i, pair in enumerate(zip(piece, piece[1:])):
             rank = pairs[pair[0] << 8 | pair[1]]
             if rank >= 0:
-                heap.append((rank << shift | i) << shift | i + 2)
+                heap.append(rank << twice | i << shift | i + 2)
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         while heap:
             entry = pop(heap)
             end, i = entry & mask, entry >> shift & mask
             j = stop[i]
-            if not j or j >= n or stop[j] != end:  # one of the two has merged since
+            if not j or stop[j] != end:  # one of the two has merged since
                 continue
             stop[i], stop[j] = end, 0
+            ids[i], ids[j] = entry >> twice, -1
             if end < n:
                 back[end] = i
-                rank = get(piece[i : stop[end]])
+                after = stop[end]
+                rank = get(piece[i:after])
                 if rank is not None:
-                    push(heap, (rank << shift | i) << shift | stop[end])
+                    push(heap, rank << twice | i << shift | after)
             if i:
                 h = back[i]
                 rank = get(piece[h:end])
                 if rank is not None:
-                    push(heap, (rank << shift | h) << shift | end)
-        out, i, ranks = [], 0, self.ranks
-        while i < n:
-            out.append(ranks[piece[i : stop[i]]])
-            i = stop[i]
-        return out
+                    push(heap, rank << twice | h << shift | end)
+        return [rank for rank in ids if rank != -1]
 
     def encode_run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run of texts, and the texts' offsets among them."""

@@ -121,6 +121,20 @@ def test_totals_of_jobs(spark, tmp_path):
 CAPTURES = "id long, base_directory string, timestamp timestamp_ntz"
 
 
+def test_tasks_count_once_however_often_a_batch_is_made(spark, tmp_path):
+    """A cached batch can be lost, or made by several executors; here the pipeline clears the cache."""
+    results.register(spark)
+    spark.createDataFrame([tuple(json.loads(_line(i)).values()) for i in range(23)], TASKS).repartition(2).write.parquet(str(tmp_path / "in"))
+
+    def forgets(images):
+        spark.catalog.clearCache()
+        return one_box(images)
+
+    done = worker.run_jobs({"moths": spark.readStream.schema(TASKS).parquet(str(tmp_path / "in"))}, str(tmp_path), {"moths": forgets})
+    assert done.totals == {"moths": {"tasks": 23, "unusable": 5, "batches": 1}}
+    assert results.results(spark, str(tmp_path / "moths" / "results"), worker.RESULT).count() == 23
+
+
 def _replay(spark, place, batches):
     for rows in batches:
         spark.createDataFrame(rows, CAPTURES).coalesce(1).write.mode("append").parquet(f"{place}/in")

@@ -11,9 +11,11 @@ documents, labelled or not: a gram counts once for each character that is met be
 repeat it. Each level has modified Kneser-Ney discounts of its own.
 
 A gram of up to four characters is one number, 16 bits for each. The tables have a row for each distinct gram
-and are broadcast; they grow with the documents up to MAX_GRAMS rows each, a bound of 100 MB. Beyond that the model is
-pruned as back-off models are: counts and discounts are those of all grams, the MAX_GRAMS with most evidence (of
-4-grams: those by which the classes differ most) keep rows, and the whole count of any other goes to the lower order, so probabilities still add up. A logistic curve, fitted on a sample of labelled documents that gave no counts, turns the
+and written, and the MAX_GRAMS rows of each that most documents hold are broadcast, a bound of 100 MB. Places of a text whose
+grams are all among them are scored in the task; what any other place is worth comes from the written tables, by joins on
+its gram, so scores are those of all grams however many there are. (`ToxicityModel` can also be pruned, as back-off
+models are: then only the MAX_GRAMS with most evidence keep rows, and the whole count of any other goes to the lower
+order. `train` does not.) A logistic curve, fitted on a sample of labelled documents that gave no counts, turns the
 difference into a score.
 """
 
@@ -37,7 +39,7 @@ ORDER = 4
 #: SAMPLE_DOCS documents of each class, those with the least hashes of their ids.
 FIT = 5
 SAMPLE_DOCS = 4000
-#: Rows of each table at most.
+#: Rows of each table that are broadcast at most.
 MAX_GRAMS = 1 << 21
 #: Distinct grams that a task gathers before it passes them on.
 HELD = 1 << 20
@@ -167,33 +169,37 @@ def _taken(count: Column, d: list[float]) -> Column:
     return F.when(count <= 0, F.lit(0.0)).when(count == 1, F.lit(d[0])).when(count == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
 
 
-def _kept(rows: DataFrame, evidence: Column, scratch: Scratch) -> DataFrame:
-    """Rows of one gram each, written, with `kept`: whether the gram is among the MAX_GRAMS with most evidence."""
+def _kept(rows: DataFrame, evidence: Column, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Rows of one gram each, written, with `kept`: whether the gram is among the MAX_GRAMS with most evidence; and
+    whether all are."""
     rows = scratch.save(rows)
     if rows.count() <= MAX_GRAMS:
-        return rows.withColumn("kept", F.lit(True))
+        return rows.withColumn("kept", F.lit(True)), True
     most = scratch.save(rows.select("gram", evidence.alias("evidence")).orderBy(F.desc("evidence"), "gram").limit(MAX_GRAMS).select("gram", F.lit(True).alias("kept")))
-    return scratch.save(rows.join(most, "gram", "left").withColumn("kept", F.coalesce("kept", F.lit(False))))
+    return scratch.save(rows.join(most, "gram", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))), False
+
+
+def _values(counts: dict[str, list[float]], contexts: dict[str, str]) -> list[Column]:
+    """What the model holds of each gram. As a gram: its discounted counts. As a context of others: one by their total
+    (0 if there is none), and the share of it that the lower order has (then 1). `counts`: columns and their discounts,
+    `contexts`: columns of totals and those of what was taken off them."""
+    own = [F.col(c) - _taken(F.col(c), d) for c, d in counts.items()]
+    inverse = [F.when(F.col(c) > 0, 1 / F.col(c)).otherwise(F.lit(0.0)) for c in contexts]
+    share = [F.when(F.col(c) > 0, F.col(t) / F.col(c)).otherwise(F.lit(1.0)) for c, t in contexts.items()]
+    return [v.cast("float").alias(f"v{k}") for k, v in enumerate(own + inverse + share)]
 
 
 class _Table:
-    """What the model holds of each kept gram. As a gram: its discounted counts. As a context of others: one by their
-    total (0 if there is none), and the share of it that the lower order has (then 1)."""
+    """`_values` of the kept grams, in memory. Any other gram has the values of one that was never met."""
 
     def __init__(self, rows: DataFrame, counts: dict[str, list[float]], contexts: dict[str, str]):
-        """`rows` of `_kept`; `counts`: columns and their discounts, `contexts`: columns of totals and those of what
-        was taken off them."""
-        names = [*counts, *contexts, *contexts.values()]
-        table = rows.filter("kept").select("gram", *[F.col(c).cast("double").alias(c) for c in names]).toArrow()  # MAX_GRAMS rows at most
+        """`rows` of `_kept`."""
+        table = rows.filter("kept").select("gram", *_values(counts, contexts)).toArrow()  # MAX_GRAMS rows at most
         keys = table["gram"].to_numpy().view(np.uint64)
-        n = {c: table[c].to_numpy() for c in names}
-        total = {c: np.maximum(n[c], 1e-300) for c in contexts}
-        columns = [n[c] - np.array([0.0, *d])[np.minimum(n[c], 3).astype(np.int64)] for c, d in counts.items()]
-        columns += [np.where(n[c] > 0, 1 / total[c], 0.0) for c in contexts] + [np.where(n[c] > 0, n[t] / total[c], 1.0) for c, t in contexts.items()]
         self.hash = PerfectHash(keys)
-        self.values = np.zeros((len(keys) + 1, len(columns)), np.float32)
-        self.values[:, len(columns) - len(contexts) :] = 1
-        self.values[self.hash.find(keys)] = np.stack(columns, 1)
+        self.values = np.zeros((len(keys) + 1, table.num_columns - 1), np.float32)
+        self.values[:, self.values.shape[1] - len(contexts) :] = 1
+        self.values[self.hash.find(keys)] = np.stack([table[k].to_numpy() for k in range(1, table.num_columns)], 1)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """A row for each gram."""
@@ -203,17 +209,21 @@ class _Table:
 class ToxicityModel:
     """Tables of both classes and the curve. Class 0 is ordinary, 1 is toxic."""
 
-    def __init__(self, counts: DataFrame, scratch: Scratch):
-        """From `gram_counts`."""
+    def __init__(self, counts: DataFrame, scratch: Scratch, prune: bool = True):
+        """From `gram_counts`. Beyond MAX_GRAMS the model is pruned, or, without `prune`, the rows that are not in
+        memory are looked up by `differences` in the tables that `scratch` holds."""
+        self.rest: dict[int, DataFrame] = {}  # all rows of each order, where some are not in memory
         nothing = lambda names: [F.lit(0.0).alias(c) for c in names]
         # What a gram leaves to the lower order: its discount or, if it is not kept, all of its count.
-        left = lambda c, d: F.when(F.col("kept"), _taken(F.col(c), d)).otherwise(F.col(c).cast("double"))
+        left = lambda c, d: F.when(F.col("kept") | F.lit(not prune), _taken(F.col(c), d)).otherwise(F.col(c).cast("double"))
         context = F.shiftrightunsigned("gram", 16).alias("gram")
         top = counts.filter("n0 + n1 > 0")
         d = _discounts_of(top, "n0", "n1")
         # Of both classes, the grams whose shares differ most; the others are much the same in the shared lower orders.
         n0, n1 = (float(x or 0) for x in top.agg(F.sum("n0"), F.sum("n1")).first())
-        top = _kept(top, F.abs(F.col("n1") * F.lit(n0) - F.col("n0") * F.lit(n1)), scratch)
+        top, every = _kept(top, F.abs(F.col("n1") * F.lit(n0) - F.col("n0") * F.lit(n1)) if prune else F.col("n0") + F.col("n1"), scratch)
+        whole = [every]
+        full = {ORDER: top.select("gram", *_values(dict(zip(("n0", "n1"), d)), {}))}
         self.tables = {ORDER: _Table(top, dict(zip(("n0", "n1"), d)), {})}
         above = top.select(context, *[F.col(f"n{c}").cast("double").alias(f"c{c}") for c in (0, 1)], *[left(f"n{c}", d[c]).alias(f"t{c}") for c in (0, 1)])
         contexts = {"c0": "t0", "c1": "t1"}
@@ -223,11 +233,19 @@ class ToxicityModel:
             names = [*contexts, *contexts.values()]
             rows = types.select("gram", "n", *nothing(names)).unionByName(above.select("gram", *nothing("n"), *names))
             rows = rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
-            rows = _kept(rows, sum((F.col(c) for c in contexts), F.col("n")), scratch)
+            if m == 1 and not prune:
+                rows = scratch.save(rows).withColumn("kept", F.lit(True))  # a row for each of 2^16 characters at most
+            else:
+                rows, every = _kept(rows, sum((F.col(c) for c in contexts), F.col("n")), scratch)
+                whole.append(every)
             types = rows.filter("n > 0")
             (d,) = _discounts_of(types, "n")
+            full[m] = rows.select("gram", *_values({"n": d}, contexts))
             self.tables[m] = _Table(rows, {"n": d}, contexts)
             above, contexts = types.select(context, F.col("n").alias("c"), left("n", d).alias("t")), {"c": "t"}
+        if not prune and not all(whole):
+            self.rest = full
+        self.partial = {m for m, every in zip(range(ORDER, 1, -1), whole) if not every} if self.rest else set()
         row = above.agg(F.sum("c"), F.sum("t"), F.count("*")).first()
         # Of characters: one by their number, and what each has of those that were never met.
         self.base = (1.0 / (row[0] or 1), (row[1] or 1.0) / (row[0] or 1) / ((row[2] or 0) + 1))
@@ -238,7 +256,7 @@ class ToxicityModel:
         self._sent = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_sent"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_sent", "rest")}
 
     def sent(self, spark):
         """The model as a broadcast, made once."""
@@ -246,28 +264,69 @@ class ToxicityModel:
             self._sent = spark.sparkContext.broadcast(self)
         return self._sent
 
-    def probabilities(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """P(character | three before it) at each place as ordinary and as toxic, two columns."""
+    def probabilities(self, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """P(character | three before it) at each place as ordinary and as toxic, two columns; and at which places a
+        row may be among those that are not in memory, None if all are there."""
         every = np.arange(ORDER - 2, len(points))  # all that have two characters before them
         where = at - every[0]
         ctx = self.tables[1][points[every].view(np.int64)]
         p = ctx[where, 0] * self.base[0] + self.base[1]
+        unsure = np.zeros(len(at), bool) if self.partial else None
         for m in range(2, ORDER):
-            rows = self.tables[m].get(grams(points, every, m))
+            number = self.tables[m].hash.find(grams(points, every, m))
+            rows = self.tables[m].values[number]
+            if m in self.partial:
+                unsure |= (number[where] < 0) | (number[where - 1] < 0)
             up = ctx[where - 1]
             p = rows[where, 0] * up[:, 1] + up[:, 2] * p
             ctx = rows
-        own, up = self.tables[ORDER].get(grams(points, at, ORDER)), ctx[where - 1]
-        return own * up[:, 1:3] + up[:, 3:5] * p[:, None]
+        number, up = self.tables[ORDER].hash.find(grams(points, at, ORDER)), ctx[where - 1]
+        if ORDER in self.partial:
+            unsure |= number < 0
+        return self.tables[ORDER].values[number] * up[:, 1:3] + up[:, 3:5] * p[:, None], unsure
 
     def compare(self, data: np.ndarray, offsets: np.ndarray, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood as toxic less that as ordinary of each text, and its number of characters, after `lead` bytes."""
+        return self.compare_known(data, offsets, lead)[:2]
+
+    def compare_known(self, data: np.ndarray, offsets: np.ndarray, lead: int = 0) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """`compare` over the places whose rows are all in memory; the other places, in order of texts: the text, the
+        4-gram, and how often it is met."""
         points, at, text_of = characters(data, offsets, lead)
-        n = len(offsets) - 1
+        n, none = len(offsets) - 1, (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if not len(at):
-            return np.zeros(n), np.zeros(n)
-        p = self.probabilities(points, at)
-        return np.bincount(text_of, np.log(p[:, 1] / p[:, 0]), n), np.bincount(text_of, minlength=n)
+            return np.zeros(n), np.zeros(n), none
+        p, unsure = self.probabilities(points, at)
+        value = np.log(p[:, 1] / p[:, 0])
+        if unsure is None or not unsure.any():
+            return np.bincount(text_of, value, n), np.bincount(text_of, minlength=n), none
+        keys, owner = grams(points, at[unsure], ORDER), text_of[unsure]
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
+        times = np.diff(np.r_[first, len(keys)])
+        return np.bincount(text_of, np.where(unsure, 0.0, value), n), np.bincount(text_of, minlength=n), (owner[first], keys[first], times)
+
+    def values_of(self, met: DataFrame) -> DataFrame:
+        """gram, value of 4-grams (gram): log P as toxic less that as ordinary of the last character, from the written
+        tables, by the rule of `probabilities`."""
+        before = F.shiftrightunsigned("gram", 16)
+        cut = lambda c, m: c.bitwiseAND(F.lit((1 << 16 * m) - 1))
+        rows = met
+        # Of each order the gram that ends here, and (but for the highest) the one that ends a character before.
+        for m in range(1, ORDER + 1):
+            table = self.rest[m]
+            keys = {"g": F.col("gram")} if m == ORDER else {"g": cut(F.col("gram"), m), "c": cut(before, m)}
+            for kind, key in keys.items():
+                wanted = table.select(F.col("gram").alias(f"{kind}{m}"), *[F.col(c).cast("double").alias(f"{kind}{m}_{c}") for c in table.columns[1:]])
+                rows = rows.withColumn(f"{kind}{m}", key).join(wanted, f"{kind}{m}", "left")
+        v = lambda name, nothing: F.coalesce(F.col(name), F.lit(nothing))
+        p = v("g1_v0", 0.0) * F.lit(float(self.base[0])) + F.lit(float(self.base[1]))
+        for m in range(2, ORDER):
+            p = v(f"g{m}_v0", 0.0) * v(f"c{m - 1}_v1", 0.0) + v(f"c{m - 1}_v2", 1.0) * p
+        last = f"c{ORDER - 1}"
+        own = [v(f"g{ORDER}_v{k}", 0.0) * v(f"{last}_v{1 + k}", 0.0) + v(f"{last}_v{3 + k}", 1.0) * p for k in (0, 1)]
+        return rows.select("gram", F.log(own[1] / own[0]).alias("value"))
 
     def fit(self, difference: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
         """Put the middle of the curve where precision and recall are best together (F, with precision weighing
@@ -304,7 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int
     # Dealt by id at every size of the labels: a table that grows is no broadcast, and no text is sorted.
     rows = texts.join(marks.filter("not fits").select("doc_id", "toxic").hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
     counts = scratch.save(gram_counts(rows))
-    model = ToxicityModel(counts, scratch)
+    model = ToxicityModel(counts, scratch, prune=False)
     scratch.drop(counts)
     if not all(model.classes):
         return None
@@ -322,7 +381,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: Column, sample_docs: int
 
 
 def differences(df: DataFrame, model: ToxicityModel, text: str = "text", name: str = "difference") -> DataFrame:
-    """Add the log likelihood as toxic less that as ordinary, per character; 0 for null and empty texts."""
+    """Add the log likelihood as toxic less that as ordinary, per character; 0 for null and empty texts.
+
+    Where the model has rows that are not in memory, the table is written with what tasks know of each text; the grams
+    that they do not know are joined to the model's tables and summed by row."""
     small_batches(df.sparkSession)
     shared = model.sent(df.sparkSession)
 
@@ -335,7 +397,30 @@ def differences(df: DataFrame, model: ToxicityModel, text: str = "text", name: s
         textbytes.release()
         return pa.array(total / (length + SHORT))
 
-    return df.withColumn(name, F.arrow_udf(compare, "double")(F.coalesce(F.col(text), F.lit(""))))
+    def known(texts: pa.Array) -> pa.Array:
+        total, length = np.zeros(len(texts)), np.zeros(len(texts))
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for i, j, data, offsets, lead in textbytes.blocks(texts, lead=ORDER - 1):
+            more, n, (owner, keys, times) = shared.value.compare_known(data, offsets, lead)
+            total[i:j] += more
+            length[i:j] += n
+            parts.append((owner + i, keys, times))
+        textbytes.release()
+        owner, keys, times = (np.concatenate(p) for p in zip(*parts, strict=True))
+        at = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(texts)))].astype(np.int32)
+        met = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "times"])
+        return pa.StructArray.from_arrays([pa.array(total), pa.array(length), pa.ListArray.from_arrays(pa.array(at), met)], ["total", "length", "met"])
+
+    texts = F.coalesce(F.col(text), F.lit(""))
+    if not model.rest:
+        return df.withColumn(name, F.arrow_udf(compare, "double")(texts))
+    udf = F.arrow_udf(known, "total double, length double, met array<struct<gram:long,times:long>>")
+    rows = Scratch(df.sparkSession, "toxicity-scored").save(df.withColumn("__known", udf(texts)).withColumn("__row", F.monotonically_increasing_id()))
+    met = rows.select("__row", F.inline("__known.met"))
+    values = model.values_of(met.select("gram").distinct())
+    more = met.join(values, "gram").groupBy("__row").agg(F.sum(F.col("times") * F.col("value")).alias("__more"))
+    total = F.col("__known.total") + F.coalesce("__more", F.lit(0.0))
+    return rows.join(more, "__row", "left").withColumn(name, total / (F.col("__known.length") + F.lit(float(SHORT)))).drop("__known", "__row", "__more")
 
 
 def score(df: DataFrame, model: ToxicityModel | None, text: str = "text", name: str = "toxic_score") -> DataFrame:

@@ -192,6 +192,22 @@ def test_toxicity_beyond_the_bound_of_grams(spark, monkeypatch):
     assert figures[1][0] > 0.6 and figures[1][1] < 0.05
 
 
+def test_toxicity_scores_do_not_depend_on_the_bound_of_grams(spark, monkeypatch):
+    """Grams beyond the bound are looked up by joins, of texts that were learnt from and of others, rows that repeat too."""
+    rows = _tables(spark, 300)
+    asked = rows.select("doc_id", "text").unionByName(spark.createDataFrame([(2000, "unseen Ünseen qqq 漢 x"), (2000, "unseen Ünseen qqq 漢 x"), (None, None), (2001, "")], "doc_id long, text string"))
+    got = []
+    for most in (1 << 21, 500, 40):
+        monkeypatch.setattr(toxicity, "MAX_GRAMS", most)
+        model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.lit(True))
+        out = toxicity.score(asked, model)
+        assert out.columns == ["doc_id", "text", "toxic_score"]
+        got.append(sorted((r["doc_id"] or -1, r["toxic_score"]) for r in out.collect()))
+    for other in got[1:]:
+        assert [d for d, _ in other] == [d for d, _ in got[0]]
+        assert max(abs(a - b) for (_, a), (_, b) in zip(got[0], other)) < 1e-4
+
+
 def test_toxicity_held_out(spark):
     rows = _tables(spark)
     model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), F.col("doc_id") % 5 != 0)

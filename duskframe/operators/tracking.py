@@ -46,19 +46,32 @@ def before_gap(positives: DataFrame) -> DataFrame:
     return positives.withColumn("__first_bare", first).filter(F.col("__first_bare").isNull() | (F.col("id") < F.col("__first_bare"))).drop("__first_bare")
 
 
-def candidates(detections: DataFrame, images: DataFrame, width: int, height: int, key: str = "monitoring_session_id", in_order: bool = False) -> DataFrame:
+def candidates(detections: DataFrame, images: DataFrame, width: int, height: int, key: str = "monitoring_session_id", in_order: bool = False, features: DataFrame | None = None) -> DataFrame:
     """(id, previous_id, cost) of all positive detections with features, against those of the frame before.
 
     With `in_order` only those before the first without features of their photo count (`before_gap`).
+    With `features` (feature_id, cnn_features) detections have a feature_id in place of features. Those in use are met
+    by the pairs, so where many detections share them no detection is shuffled with features.
     """
+    late = features is not None and not in_order
+    if features is not None and in_order:
+        detections = detections.join(features, "feature_id", "left")
+    own = "feature_id" if late else "cnn_features"
     frames = number_frames(images, key).select(F.col("id").alias("image_id"), F.col(key).alias("session"), "frame_no")
     rows = detections.filter(F.col("binary_label") == POSITIVE_LABEL)
-    rows = (before_gap(rows.select("id", "image_id", "bbox", "cnn_features")) if in_order else rows).filter(F.col("cnn_features").isNotNull() & F.col("bbox").isNotNull())
-    rows = rows.select("id", "image_id", "bbox", "cnn_features").join(frames, "image_id")
-    before = rows.select(F.col("session").alias("s"), (F.col("frame_no") + 1).alias("f"), F.col("id").alias("previous_id"), F.col("bbox").alias("previous_box"), F.col("cnn_features").alias("previous_features"))
+    rows = (before_gap(rows.select("id", "image_id", "bbox", "cnn_features")) if in_order else rows).filter(F.col(own).isNotNull() & F.col("bbox").isNotNull())
+    used = None
+    if late:
+        known = features.filter(F.col("cnn_features").isNotNull()).join(rows.select("feature_id").distinct(), "feature_id", "left_semi")
+        used = Scratch(detections.sparkSession, "features").save(known.select("feature_id", "cnn_features"))
+    rows = rows.select("id", "image_id", "bbox", own).join(frames, "image_id")
+    before = rows.select(F.col("session").alias("s"), (F.col("frame_no") + 1).alias("f"), F.col("id").alias("previous_id"), F.col("bbox").alias("previous_box"), F.col(own).alias(f"previous_{own}"))
     pairs = rows.join(before, (F.col("session") == F.col("s")) & (F.col("frame_no") == F.col("f")))
     diag = geometry.diagonal(F.lit(float(width)), F.lit(float(height)))
-    return pairs.select("id", "previous_id", total_cost(F.col("cnn_features"), F.col("previous_features"), F.col("bbox"), F.col("previous_box"), diag).alias("cost"))
+    if late:
+        before = used.select(F.col("feature_id").alias("previous_feature_id"), F.col("cnn_features").alias("previous_cnn_features"))
+        pairs = pairs.join(used, "feature_id").join(before, "previous_feature_id")
+    return pairs.select("id", "previous_id", total_cost(F.col("cnn_features"), F.col("previous_cnn_features"), F.col("bbox"), F.col("previous_box"), diag).alias("cost"))
 
 
 def parents(pairs: DataFrame, threshold: float = TRACKING_COST_THRESHOLD) -> DataFrame:
@@ -88,12 +101,13 @@ def resolve_tracks(ids: DataFrame, links: DataFrame) -> DataFrame:
             return rows.select("id", "root", "frame")
 
 
-def track(detections: DataFrame, images: DataFrame, sessions: DataFrame, width: int, height: int, threshold: float = TRACKING_COST_THRESHOLD, key: str = "monitoring_session_id", in_order: bool = False) -> DataFrame:
+def track(detections: DataFrame, images: DataFrame, sessions: DataFrame, width: int, height: int, threshold: float = TRACKING_COST_THRESHOLD, key: str = "monitoring_session_id", in_order: bool = False, features: DataFrame | None = None) -> DataFrame:
     """id, sequence_id, sequence_frame, sequence_previous_id, sequence_previous_cost of all positive detections.
 
-    All tracks are computed anew. Detections without features are tracks of their own. `sessions` has id and day.
+    All tracks are computed anew. Detections without features are tracks of their own. `sessions` has id and day;
+    `features` as in `candidates`.
     """
-    links = parents(candidates(detections, images, width, height, key, in_order), threshold)
+    links = parents(candidates(detections, images, width, height, key, in_order, features), threshold)
     links = Scratch(detections.sparkSession, "links").save(links)
     mine = detections.filter(F.col("binary_label") == POSITIVE_LABEL)
     rows = resolve_tracks(mine.select("id"), links).join(links, "id", "left")

@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from duskframe.plans import catalog, oracle
+from duskframe.operators import tracking
+from duskframe.plans import adapters, catalog, oracle
+from duskframe.plans.versions import VersionedTable
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -45,3 +47,16 @@ def test_query(spark, duck, name):
     columns = [c[0] for c in found.description]
     assert sorted(df.columns) == sorted(columns)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(columns, found.fetchall())
+
+
+def test_stored_detections_are_rewritten_without_features(spark, monkeypatch):
+    written, write = [], VersionedTable._write
+    monkeypatch.setattr(VersionedTable, "_write", lambda self, rows, base: written.append(set(rows.columns)) or write(self, rows, base))
+    catalog.QUERIES["retracked_incrementally"](spark, DATA)
+    assert len(written) >= 4 and not any("cnn_features" in columns for columns in written)
+    x, i, _ = catalog._traps(spark, DATA)
+    features = adapters.features(spark, DATA)
+    for in_order in (False, True):
+        early = tracking.candidates(x.join(features, "feature_id", "left"), i, 1200, 800, in_order=in_order)
+        late = tracking.candidates(x, i, 1200, 800, in_order=in_order, features=features)
+        assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect()))

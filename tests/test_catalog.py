@@ -60,3 +60,13 @@ def test_stored_detections_are_rewritten_without_features(spark, monkeypatch):
         early = tracking.candidates(x.join(features, "feature_id", "left"), i, 1200, 800, in_order=in_order)
         late = tracking.candidates(x, i, 1200, 800, in_order=in_order, features=features)
         assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect()))
+
+
+def test_the_replayed_stream_is_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(catalog, "_place", lambda spark, name: str(tmp_path))
+    monkeypatch.setattr(catalog.stream_tracker, "run", lambda stream, out, *args, **options: os.makedirs(out) or type("Query", (), {"awaitTermination": lambda self: None})())
+    catalog._replayed(spark, DATA, "tracker", 3)
+    files = glob.glob(f"{tmp_path}/in/*.parquet")
+    assert 3 < len(files) <= 3 * spark.sparkContext.defaultParallelism
+    seen = [{r[0] for r in duckdb.sql(f"select distinct session from '{f}'").fetchall()} for f in sorted(files, key=os.path.getmtime)]
+    assert len(set().union(*seen)) > 0 and sum(len(s) for s in seen) <= 3 * len(set().union(*seen))
